@@ -1,0 +1 @@
+"""No streaming operators: every source, model and mart of this package is a batch table."""
