@@ -43,7 +43,7 @@ LONGEST_DELIVERY_DAYS = 45
 MONTHS_BEYOND_LAST_ORDER = 2
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -56,8 +56,8 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     person = F.when(key % 10 == 1, key - 1).otherwise(key)
     return (
-        _table(spark, sf_dir, "customer")
-        .join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        table(spark, sf_dir, "customer")
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             _text("c_custkey", "customer_id"),
             person.cast("string").alias("customer_unique_id"),
@@ -71,7 +71,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivery follows the last shipment, folded into 0..44 days after the order."""
     shipped = (
-        _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last_ship"))
+        table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last_ship"))
     )
     ordered = F.col("o_orderdate").cast("timestamp")
     days = F.pmod(F.datediff("last_ship", "o_orderdate"), F.lit(LONGEST_DELIVERY_DAYS))
@@ -82,7 +82,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     delivered = F.timestamp_add("DAY", days, ordered)
     return (
-        _table(spark, sf_dir, "orders")
+        table(spark, sf_dir, "orders")
         .join(shipped, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .select(
             _text("o_orderkey", "order_id"),
@@ -99,7 +99,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")) / 100
-    return _table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         _text("l_orderkey", "order_id"),
         F.col("l_linenumber").alias("payment_sequential"),
         F.col("l_returnflag").alias("payment_type"),
@@ -109,7 +109,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         _text("l_orderkey", "order_id"),
         F.col("l_linenumber").alias("order_item_id"),
         _text("l_partkey", "product_id"),
@@ -121,7 +121,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         _text("p_partkey", "product_id"),
         F.col("p_type").alias("product_category_name"),
         F.length("p_name").alias("product_name_lenght"),
@@ -133,7 +133,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = F.col("ts").cast("timestamp")
-    return _table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         _text("event_id", "review_id"),
         _text("user_id", "order_id"),
         (1 + F.col("value").cast("int") % 5).alias("review_score"),
@@ -143,17 +143,17 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def category_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return table(spark, sf_dir, "region").select("r_regionkey", "r_name")
 
 
 def spend_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order months, two beyond the last, for the first eight nations."""
-    bought = _table(spark, sf_dir, "orders").agg(
+    bought = table(spark, sf_dir, "orders").agg(
         F.to_date(F.min("o_orderdate")).alias("first"),
         F.add_months(F.to_date(F.max("o_orderdate")), MONTHS_BEYOND_LAST_ORDER).alias("last"),
     )
     states = (
-        _table(spark, sf_dir, "nation")
+        table(spark, sf_dir, "nation")
         .filter(F.col("n_nationkey") < MODELLED_STATES)
         .select(F.col("n_name").alias("customer_state"))
     )
@@ -180,7 +180,7 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def event_shop_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Purchase events as delivered orders; value hours to delivery, two days estimated."""
-    events = _table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events")
     bought = F.col("ts").cast("timestamp")
     delivered = F.timestamp_add("SECOND", F.floor(F.col("value") * 3600).cast("int"), bought)
     shop_orders = events.select(
