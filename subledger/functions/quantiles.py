@@ -2,21 +2,21 @@
 
 The built-in ``percentile`` keeps one map of all distinct values in a single
 reducer.  Spend totals are nearly all distinct, so that map grows with the number
-of customers.  Here the wanted ranks are located by three counting passes, each on
-a 16-bit slice of the value.  Every pass is a partial aggregation, and what
-reaches one task is at most 65,536 slice counts per rank below the leading slice.
+of customers.  Here the wanted ranks are located by two counting passes: over the
+values without their low 20 bits, then, only inside the slices that hold a wanted
+rank, over those 20 bits.  Both passes are partial aggregations.  One task orders the
+slice counts of a pass: at most 2**20 per rank in the second pass, and in the first
+as many as there are different totals of about ten thousand whole currency units.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from subledger.functions.money import CENTS, from_units, to_units
+from subledger.functions.money import CENTS, to_units
 
-SLICE_BITS = 16
-SLICES_BELOW_LEADING = 2
+LOW_BITS = 20
 
 
 def exact_quantiles(
@@ -28,90 +28,49 @@ def exact_quantiles(
     pass, so hand in a written table rather than a long lineage.
     """
     values = df.select(to_units(column, scale).alias("v")).filter("v is not null")
-    ranks = _locate_leading(values, probabilities)
-    for shift in range(SLICE_BITS * (SLICES_BELOW_LEADING - 1), -1, -SLICE_BITS):
-        ranks = _locate_slice(values, ranks, shift)
-    return _interpolate(ranks, len(probabilities), scale)
-
-
-def _wanted_ranks(total: Column, probabilities: Sequence[float]) -> Column:
-    wanted = []
-    for number, p in enumerate(probabilities, start=1):
-        position = (total - 1) * F.lit(float(p))
-        below, above = F.floor(position), F.ceil(position)
-        for side, rank in (("low", below), ("high", above)):
-            wanted.append(
-                F.struct(
-                    F.lit(number).alias("number"),
-                    F.lit(side).alias("side"),
-                    (position - below).alias("fraction"),
-                    rank.cast("bigint").alias("rank"),
-                )
-            )
-    return F.explode(F.array(*wanted))
+    ranks = _locate_value(values, _locate_slice(values, probabilities))
+    by_probability = ranks.groupBy("p", "position").agg(
+        F.expr(f"min(v) / {float(10**scale)}D").alias("low"),
+        F.expr(f"max(v) / {float(10**scale)}D").alias("high"),
+    )
+    interpolated = "low + (high - low) * (position - floor(position))"
+    return by_probability.agg(
+        *[
+            F.expr(f"max({interpolated}) filter (where p = {float(p)}D)").alias(f"q{i}")
+            for i, p in enumerate(probabilities, start=1)
+        ]
+    )
 
 
-def _locate_leading(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    shift = SLICE_BITS * SLICES_BELOW_LEADING
-    counts = values.groupBy(F.shiftright("v", shift).alias("prefix")).agg(F.count("*").alias("n"))
-    running = W.orderBy("prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.orderBy("prefix").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+def _locate_slice(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """The slice that holds each wanted rank, and the rank within that slice."""
+    counts = values.groupBy(F.shiftright("v", LOW_BITS).alias("slice")).agg(F.count("*").alias("n"))
+    wanted = ", ".join(f"{float(p)}D" for p in probabilities)
     return (
-        counts.select(
-            "prefix",
-            "n",
-            F.sum("n").over(running).alias("through"),
-            F.sum("n").over(whole).alias("total"),
+        counts.selectExpr(
+            "slice",
+            "sum(n) over (order by slice) - n as before",
+            "sum(n) over (order by slice) as through",
+            "sum(n) over (order by slice rows between unbounded preceding and unbounded following)"
+            " as total",
         )
-        .select("*", _wanted_ranks(F.col("total"), probabilities).alias("w"))
-        .select("w.*", "prefix", "n", "through")
-        .transform(_keep_holding_slice)
+        .selectExpr("*", f"explode(array({wanted})) as p")
+        .selectExpr("slice", "before", "through", "p", "(total - 1) * p as position")
+        .selectExpr("*", "explode(array_distinct(array(floor(position), ceil(position)))) as rank")
+        .filter("rank >= before and rank < through")
+        .selectExpr("slice", "p", "position", "rank - before as rank")
     )
 
 
-def _locate_slice(values: DataFrame, ranks: DataFrame, shift: int) -> DataFrame:
-    """Narrow each wanted rank to the next 16 bits inside its current prefix."""
-    parent = F.shiftright("v", shift + SLICE_BITS)
-    counts = (
-        values.select(parent.alias("parent"), F.shiftright("v", shift).alias("child"))
+def _locate_value(values: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The value at each wanted rank, counting only the slices that hold one."""
+    return (
+        values.withColumn("slice", F.shiftright("v", LOW_BITS))
         # two rows per asked-for probability, whatever the data
-        .join(F.broadcast(ranks.withColumnRenamed("prefix", "parent")), "parent")
-        .groupBy("number", "side", "fraction", "rank", F.col("child").alias("prefix"))
+        .join(F.broadcast(ranks), "slice")
+        .groupBy("p", "position", "rank", "v")
         .agg(F.count("*").alias("n"))
-    )
-    running = W.partitionBy("number", "side").orderBy("prefix")
-    through = F.sum("n").over(running.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return counts.withColumn("through", through).transform(_keep_holding_slice)
-
-
-def _keep_holding_slice(counts: DataFrame) -> DataFrame:
-    """Keep the slice that holds each rank; the rank becomes relative to that slice."""
-    before = F.col("through") - F.col("n")
-    return counts.filter((F.col("rank") >= before) & (F.col("rank") < F.col("through"))).select(
-        "number", "side", "fraction", (F.col("rank") - before).alias("rank"), "prefix"
-    )
-
-
-def _interpolate(ranks: DataFrame, how_many: int, scale: int) -> DataFrame:
-    def picked(number: int, name: str, side: str) -> Column:
-        wanted = (F.col("number") == number) & (F.col("side") == side)
-        return F.max(F.when(wanted, F.col(name)))
-
-    sides = [
-        column
-        for i in range(1, how_many + 1)
-        for column in (
-            from_units(picked(i, "prefix", "low"), scale).alias(f"low_{i}"),
-            from_units(picked(i, "prefix", "high"), scale).alias(f"high_{i}"),
-            picked(i, "fraction", "low").alias(f"fraction_{i}"),
-        )
-    ]
-    return ranks.agg(*sides).select(
-        *[
-            (
-                F.col(f"low_{i}")
-                + (F.col(f"high_{i}") - F.col(f"low_{i}")) * F.col(f"fraction_{i}")
-            ).alias(f"q{i}")
-            for i in range(1, how_many + 1)
-        ]
+        .selectExpr("*", "sum(n) over (partition by p, rank order by v) as through")
+        .filter("rank >= through - n and rank < through")
+        .select("p", "position", "v")
     )

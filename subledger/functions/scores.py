@@ -28,28 +28,26 @@ def enrollment_score(order_count: Column, delay_days: Column, total_spend: Colum
     )
 
 
-def renewal_score(
-    order_count: Column,
-    delay_days: Column,
-    total_spend: Column,
-    cadence_days: Column,
-    cycle_number: Column,
+def renewal_base(
+    order_count: Column, delay_days: Column, total_spend: Column, cadence_days: Column
 ) -> Column:
+    """The part of the renewal score that is the same in every cycle."""
     repeat = F.least(order_count - 1, F.lit(m.RENEW_REPEAT_ORDERS_COUNTED))
     cadence_signal = (F.lit(m.CADENCE_MAX_DAYS) - cadence_days) / F.lit(m.RENEW_CADENCE_SPAN_DAYS)
-    late_cycles = F.greatest(cycle_number - m.RENEW_FREE_CYCLES, F.lit(0))
-    return clamp(
+    return (
         F.lit(m.RENEW_BASE)
         + repeat * m.RENEW_PER_REPEAT_ORDER
         - F.greatest(delay_days, F.lit(0.0)) * m.RENEW_PER_DELAY_DAY
         + spend_signal(total_spend) * m.RENEW_SPEND_WEIGHT
         + cadence_signal * m.RENEW_CADENCE_WEIGHT
-        - late_cycles * m.RENEW_PER_LATE_CYCLE,
-        m.RENEW_MIN,
-        m.RENEW_MAX,
     )
 
 
+def renewal_score(base: Column, cycle_number: Column) -> Column:
+    late_cycles = F.greatest(cycle_number - m.RENEW_FREE_CYCLES, F.lit(0))
+    return clamp(base - late_cycles * m.RENEW_PER_LATE_CYCLE, m.RENEW_MIN, m.RENEW_MAX)
+
+
 def bounded_cadence(days: Column) -> Column:
     """Whole days (half to even) inside the modelled cadence range."""
     return clamp(F.bround(days, 0), m.CADENCE_MIN_DAYS, m.CADENCE_MAX_DAYS).cast("int")

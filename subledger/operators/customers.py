@@ -36,9 +36,10 @@ def customer_features(
 
     Orders are first folded to one row per person, state and active day.  That fold
     starts before the shuffle and uses fixed-width buffers only, so a person with a
-    third of all orders arrives as at most one row per day; the look-back and the
-    median run over those rows.  A positive gap can only open a day, hence nothing
-    is lost.  The state is that of the earliest order with one.
+    third of all orders arrives as at most one row per state and day; the look-back
+    and the median run over those rows, sorted, with one shuffle between them.  A
+    positive gap can only open a day, hence nothing is lost.  The state is that of the
+    earliest order with one.
     """
     delay, delay_units_per_day = _delay(elapsed)
     paid = orders_payments_left(
@@ -60,25 +61,26 @@ def customer_features(
             F.sum("delay").alias("delay"),
         )
     )
-    history = W.partitionBy("customer_unique_id").orderBy("opening", "customer_state")
-    before = history.rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("customer_unique_id").orderBy("opening").rowsBetween(
+        W.unboundedPreceding, -1
+    )
     gap = whole_days_between(F.max("closing").over(before), F.col("opening"), elapsed)
-    home = F.when(F.col("customer_state").isNotNull(), F.struct("opening", "customer_state"))
     return (
-        days.withColumn("gap_days", gap)
-        .groupBy("customer_unique_id")
+        _with_home_state(days)
+        .withColumn("gap_days", gap)
+        .transform(_with_middle_gap)
+        .groupBy("customer_unique_id", "home")
         .agg(
-            F.min(home).alias("home"),
             F.to_date(F.min("opening")).alias("first_order_date"),
             F.sum("orders").alias("order_count"),
             F.sum("rows").alias("rows"),
             F.sum("cents").alias("cents"),
             F.sum("delay").alias("delay"),
-            F.median(F.when(F.col("gap_days") > 0, F.col("gap_days"))).alias("observed_cadence_days"),
+            F.avg("middle_gap").alias("observed_cadence_days"),
         )
         .select(
             "customer_unique_id",
-            F.col("home.customer_state").alias("customer_state"),
+            F.col("home").alias("customer_state"),
             "first_order_date",
             "order_count",
             (from_units(F.col("cents")) / F.col("rows")).alias("avg_order_value"),
@@ -91,6 +93,32 @@ def customer_features(
     )
 
 
+def _with_home_state(rows: DataFrame) -> DataFrame:
+    """``home``: the state of the person's earliest row that has one."""
+    history = W.partitionBy("customer_unique_id").orderBy("opening", "customer_state")
+    whole = history.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return rows.withColumn("home", F.first("customer_state", ignorenulls=True).over(whole))
+
+
+def _with_middle_gap(rows: DataFrame) -> DataFrame:
+    """``middle_gap`` holds a person's one or two middle positive gaps; their mean is the median.
+
+    Ranking sorts rows that already lie together, where a median aggregate would keep
+    a value map per person.
+    """
+    person = W.partitionBy("customer_unique_id")
+    positive = F.when(F.col("gap_days") > 0, F.col("gap_days"))
+    return (
+        rows.withColumn("positive", positive)
+        .withColumn("rank", F.row_number().over(person.orderBy(F.asc_nulls_last("positive"))))
+        .withColumn("gaps", F.count("positive").over(person))
+        .withColumn(
+            "middle_gap",
+            F.when(F.expr("rank in ((gaps + 1) div 2, (gaps + 2) div 2)"), F.col("positive")),
+        )
+    )
+
+
 def int_customer_features(order_facts: DataFrame) -> DataFrame:
     """Order count, revenue and state per person, from the order facts."""
     delivered = order_facts.filter(F.col("order_status") == m.DELIVERED)
@@ -104,11 +132,10 @@ def int_customer_features(order_facts: DataFrame) -> DataFrame:
             F.sum(to_units("payment_value")).alias("cents"),
         )
     )
-    home = F.when(F.col("customer_state").isNotNull(), F.struct("opening", "customer_state"))
     return (
-        by_state.groupBy("customer_unique_id")
+        _with_home_state(by_state)
+        .groupBy("customer_unique_id", "home")
         .agg(
-            F.min(home).alias("home"),
             F.to_date(F.min("opening")).alias("first_order_date"),
             F.sum("orders").alias("order_count"),
             F.sum("rows").alias("rows"),
@@ -116,7 +143,7 @@ def int_customer_features(order_facts: DataFrame) -> DataFrame:
         )
         .select(
             "customer_unique_id",
-            F.col("home.customer_state").alias("customer_state"),
+            F.col("home").alias("customer_state"),
             "first_order_date",
             "order_count",
             from_units(F.col("cents")).alias("observed_revenue"),

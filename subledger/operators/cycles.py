@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 
 from subledger.functions import model_values as m
 from subledger.functions.hashing import unit_interval
-from subledger.functions.scores import billing_amount
-from subledger.operators.profiles import PERSON, enrolled_customers, renewal_probability
+from subledger.functions.scores import billing_amount, renewal_score
+from subledger.operators.profiles import PERSON, enrolled_customers, with_renewal_base
 
 
 def _lapses(cycle: int) -> Column:
-    draw = unit_interval(PERSON, F.lit(m.TAG_RENEW), F.lit(cycle))
-    return F.when(~(draw < renewal_probability(F.lit(cycle))), F.lit(cycle))
+    draw = unit_interval(F.col(PERSON), F.lit(m.TAG_RENEW), F.lit(cycle))
+    return F.when(~(draw < renewal_score(F.col("renewal_base"), F.lit(cycle))), F.lit(cycle))
 
 
 def billing_cycles(profiles: DataFrame, max_cycles: int = m.MAX_CYCLES) -> DataFrame:
@@ -26,14 +26,14 @@ def billing_cycles(profiles: DataFrame, max_cycles: int = m.MAX_CYCLES) -> DataF
     cycle = F.col("cycle_number")
     renewed = F.col("lapse").isNull() | (cycle < F.col("lapse"))
     return (
-        enrolled_customers(profiles)
+        with_renewal_base(enrolled_customers(profiles))
         .select("*", lapse.alias("lapse"))
         .withColumn(
             "cycle_number",
             F.explode(F.sequence(F.lit(1), F.coalesce("lapse", F.lit(max_cycles)))),
         )
         .select(
-            F.concat(F.lit(m.SUBSCRIPTION_PREFIX), PERSON).alias("subscription_id"),
+            F.concat(F.lit(m.SUBSCRIPTION_PREFIX), F.col(PERSON)).alias("subscription_id"),
             "customer_unique_id",
             "cycle_number",
             F.date_add("first_order_date", F.col("cadence_days") * (cycle - 1)).alias("billing_date"),

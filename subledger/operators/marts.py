@@ -1,13 +1,16 @@
 """Marts over the billing cycles and over observed revenue and spend."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subledger.functions import model_values as m
 from subledger.functions.money import exact_sum, from_units, to_units
 
-ACTIVE_SUBSCRIPTION = F.when(F.col("renewed") == 1, F.col("subscription_id"))
+
+def active_subscription() -> Column:
+    """The subscription id on rows of an active cycle, else NULL."""
+    return F.when(F.col("renewed") == 1, F.col("subscription_id"))
 
 
 def by_subscription(cycles: DataFrame) -> DataFrame:
@@ -83,7 +86,7 @@ def retention(cycles: DataFrame, key: str) -> DataFrame:
     per_cycle = (
         cycles.filter(F.col(key).isNotNull())
         .groupBy(key, "cycle_number")
-        .agg(F.count_distinct(ACTIVE_SUBSCRIPTION).alias("retained_subscribers"))
+        .agg(F.count_distinct(active_subscription()).alias("retained_subscribers"))
     )
     first_cycle = F.when(F.col("cycle_number") == 1, F.col("retained_subscribers"))
     size = F.max(first_cycle).over(W.partitionBy(key))

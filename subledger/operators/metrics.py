@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from subledger.functions import model_values as m
 from subledger.functions.money import exact_sum, from_units
-from subledger.operators.marts import ACTIVE_SUBSCRIPTION, by_subscription
+from subledger.operators.marts import active_subscription, by_subscription
 
 
 def _first_of_one_row(df: DataFrame) -> Column:
@@ -42,7 +42,7 @@ def cohort_retained_left(cycles: DataFrame, target_cycle: int = m.RETENTION_CYCL
     active = (
         cycles.filter(F.col("cycle_number").isin(1, target_cycle) & (F.col("renewed") == 1))
         .groupBy("value_segment", "cycle_number")
-        .agg(F.count_distinct(ACTIVE_SUBSCRIPTION).alias("active"))
+        .agg(F.count_distinct(active_subscription()).alias("active"))
     )
 
     def in_cycle(k: int) -> Column:

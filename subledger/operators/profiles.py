@@ -9,11 +9,12 @@ from subledger.functions.quantiles import exact_quantiles
 from subledger.functions.scores import (
     bounded_cadence,
     enrollment_score,
+    renewal_base,
     renewal_score,
     spend_signal,
 )
 
-PERSON = F.col("customer_unique_id")
+PERSON = "customer_unique_id"
 
 
 def stable_hash_split(df: DataFrame, *columns: str, out: str = "u") -> DataFrame:
@@ -98,24 +99,28 @@ def enrollment_probability() -> Column:
     )
 
 
-def renewal_probability(cycle: Column) -> Column:
-    return renewal_score(
+def with_renewal_base(profiles: DataFrame) -> DataFrame:
+    """Adds ``renewal_base``, worked out once per person and not once per cycle."""
+    base = renewal_base(
         F.col("order_count"),
         F.col("avg_delivery_delay_days"),
         F.col("total_spend"),
         F.col("cadence_days"),
-        cycle,
     )
+    return profiles.withColumn("renewal_base", base)
 
 
 def enrolled_customers(profiles: DataFrame) -> DataFrame:
     """People whose fixed draw lies below their enrolment score."""
-    return profiles.filter(unit_interval(PERSON, F.lit(m.TAG_ENROLL)) < enrollment_probability())
+    return profiles.filter(unit_interval(F.col(PERSON), F.lit(m.TAG_ENROLL)) < enrollment_probability())
 
 
 def renewal_scores(profiles: DataFrame, max_cycles: int = m.MAX_CYCLES) -> DataFrame:
     """One row per person and cycle from the second on, with its renewal score."""
-    cycles = F.explode(F.sequence(F.lit(2), F.lit(max_cycles)))
-    return profiles.withColumn("cycle_number", cycles).withColumn(
-        "renewal_score", renewal_probability(F.col("cycle_number"))
+    later_cycles = F.array(*[F.lit(k) for k in range(2, max_cycles + 1)])
+    return (
+        with_renewal_base(profiles)
+        .withColumn("cycle_number", F.explode(later_cycles))
+        .withColumn("renewal_score", renewal_score(F.col("renewal_base"), F.col("cycle_number")))
+        .drop("renewal_base")
     )

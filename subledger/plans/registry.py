@@ -17,13 +17,18 @@ from subledger.operators.orders import (
     orders_payments_left,
     payments_by_order,
 )
-from subledger.operators.staging import STAGED_SOURCES, stage_source, stg_subscription_cycles
+from subledger.operators.staging import (
+    STAGED_SOURCES,
+    stage_source,
+    staging_models,
+    stg_subscription_cycles,
+)
 from subledger.plans import pipeline
 from subledger.schemas import RAW_SCHEMAS, TIMESTAMP_COLUMNS
 from subledger.sources import files, star_schema
 from subledger.sources.contract import source_contract
 from subledger.sources.files import RawFile
-from subledger.sources.modelled import marketing_spend
+from subledger.sources.modelled import catalog_tiers, marketing_spend
 from subledger.sources.shared_folder import new_path, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +130,10 @@ def _staging(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_source(name, raw_tables(spark, sf_dir)[name])
 
 
+def _staged_models(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return staging_models(raw_tables(spark, sf_dir))
+
+
 # --- shared inputs -----------------------------------------------------------
 
 
@@ -158,10 +167,6 @@ def _over(build: Callable[..., DataFrame], source: Query, *args) -> Query:
     return lambda spark, sf_dir: build(source(spark, sf_dir), *args)
 
 
-def _report(build: Callable[..., DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(_models(spark, sf_dir))
-
-
 # --- joins and aggregations ----------------------------------------------------
 
 
@@ -378,14 +383,14 @@ def queries() -> dict[str, Query]:
         "customer_profiles": _profiles,
         "billing_cycles": _cycles,
         "marketing_spend": _over(marketing_spend, star_schema.spend_spine),
-        "catalog_tiers": lambda s, d: raw_tables(s, d)["catalog_overrides"],
+        "catalog_tiers": _over(catalog_tiers, star_schema.products),
         # quality
-        "dq_not_null": _report(pipeline.not_null_report),
-        "dq_unique": _report(pipeline.unique_report),
-        "dq_accepted_values": _report(pipeline.accepted_values_report),
-        "dq_non_negative": _report(pipeline.non_negative_report),
-        "dq_rate_bounds": _report(pipeline.rate_bounds_report),
-        "dq_unique_cycle": _report(pipeline.unique_cycle_report),
+        "dq_not_null": _over(pipeline.not_null_report, _models),
+        "dq_unique": _over(pipeline.unique_report, _staged_models),
+        "dq_accepted_values": _over(pipeline.accepted_values_report, _staged_models),
+        "dq_non_negative": _over(pipeline.non_negative_report, _models),
+        "dq_rate_bounds": _over(pipeline.rate_bounds_report, _models),
+        "dq_unique_cycle": _over(pipeline.unique_cycle_report, _models),
         "dq_metric_gates": _over(quality.metric_gates, summary_metrics),
         "metrics_crosscheck": metrics_crosscheck,
     }

@@ -5,6 +5,8 @@
 as orders.
 """
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +106,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("payment_sequential"),
         F.col("l_returnflag").alias("payment_type"),
         F.col("l_linenumber").alias("payment_installments"),
-        F.round(value, 2).alias("payment_value"),
+        (F.floor(value * 100 + 0.5) / F.lit(100.0)).alias("payment_value"),
     )
 
 
@@ -162,28 +164,48 @@ def spend_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+class SourceTables(Mapping[str, DataFrame]):
+    """Sources by name, each planned when it is first asked for."""
+
+    def __init__(self, builders: dict[str, Callable[[SparkSession, str], DataFrame]], spark, sf_dir):
+        self._builders, self._args, self._built = builders, (spark, sf_dir), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name](*self._args)
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
     """All nine raw sources by name."""
-    built = {
-        "customers": customers(spark, sf_dir),
-        "orders": orders(spark, sf_dir),
-        "order_items": order_items(spark, sf_dir),
-        "payments": payments(spark, sf_dir),
-        "products": products(spark, sf_dir),
-        "reviews": reviews(spark, sf_dir),
-        "category_translation": category_translation(spark, sf_dir),
-        "marketing_spend": marketing_spend(spend_spine(spark, sf_dir)),
-    }
-    built["catalog_overrides"] = catalog_tiers(built["products"])
-    return built
-
-
-def event_shop_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return SourceTables(
+        {
+            "customers": customers,
+            "orders": orders,
+            "order_items": order_items,
+            "payments": payments,
+            "products": products,
+            "reviews": reviews,
+            "category_translation": category_translation,
+            "marketing_spend": lambda s, d: marketing_spend(spend_spine(s, d)),
+            "catalog_overrides": lambda s, d: catalog_tiers(products(s, d)),
+        },
+        spark,
+        sf_dir,
+    )
+
+
+def event_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchase events as delivered orders; value hours to delivery, two days estimated."""
-    events = table(spark, sf_dir, "events")
     bought = F.col("ts").cast("timestamp")
     delivered = F.timestamp_add("SECOND", F.floor(F.col("value") * 3600).cast("int"), bought)
-    shop_orders = events.select(
+    return table(spark, sf_dir, "events").select(
         _text("event_id", "order_id"),
         _text("user_id", "customer_id"),
         F.when(F.col("event_type") == "purchase", m.DELIVERED).otherwise("processing").alias("order_status"),
@@ -193,16 +215,27 @@ def event_shop_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         delivered.alias("order_delivered_customer_date"),
         F.timestamp_add("DAY", F.lit(2), bought).alias("order_estimated_delivery_date"),
     )
-    shop_payments = events.select(
+
+
+def event_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
         _text("event_id", "order_id"),
         F.lit(1).alias("payment_sequential"),
         F.col("event_type").alias("payment_type"),
         F.lit(1).alias("payment_installments"),
         F.col("value").alias("payment_value"),
     )
-    return {
-        "customers": customers(spark, sf_dir),
-        "orders": shop_orders,
-        "payments": shop_payments,
-        "order_items": order_items(spark, sf_dir),
-    }
+
+
+def event_shop_tables(spark: SparkSession, sf_dir: str) -> SourceTables:
+    """The same customers and items with the events as orders and payments."""
+    return SourceTables(
+        {
+            "customers": customers,
+            "orders": event_orders,
+            "payments": event_payments,
+            "order_items": order_items,
+        },
+        spark,
+        sf_dir,
+    )
