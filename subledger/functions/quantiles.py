@@ -68,9 +68,9 @@ def _locate_value(values: DataFrame, ranks: DataFrame) -> DataFrame:
         values.withColumn("slice", F.shiftright("v", LOW_BITS))
         # two rows per asked-for probability, whatever the data
         .join(F.broadcast(ranks), "slice")
-        .groupBy("p", "position", "rank", "v")
+        .groupBy("p", "position", "slice", "rank", "v")
         .agg(F.count("*").alias("n"))
-        .selectExpr("*", "sum(n) over (partition by p, rank order by v) as through")
+        .selectExpr("*", "sum(n) over (partition by p, slice, rank order by v) as through")
         .filter("rank >= through - n and rank < through")
         .select("p", "position", "v")
     )

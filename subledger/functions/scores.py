@@ -49,8 +49,12 @@ def renewal_score(base: Column, cycle_number: Column) -> Column:
 
 
 def bounded_cadence(days: Column) -> Column:
-    """Whole days (half to even) inside the modelled cadence range."""
-    return clamp(F.bround(days, 0), m.CADENCE_MIN_DAYS, m.CADENCE_MAX_DAYS).cast("int")
+    """Whole days (half to even) inside the modelled cadence range; NULL stays NULL.
+
+    ``least`` and ``greatest`` skip NULLs, so an unknown cadence must not reach them.
+    """
+    bounded = clamp(F.bround(days, 0), m.CADENCE_MIN_DAYS, m.CADENCE_MAX_DAYS)
+    return F.when(days.isNotNull(), bounded.cast("int"))
 
 
 def billing_amount(total_spend: Column, order_count: Column) -> Column:
