@@ -5,14 +5,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subledger.functions import model_values as m
-from subledger.functions.money import from_units, to_units
+from subledger.functions.money import from_units
 from subledger.operators.orders import (
     DAY_IN_MICROS,
     delivered_orders,
+    folded_orders,
     orders_customers,
     orders_payments_left,
     whole_days_between,
-    with_order_marker,
 )
 
 
@@ -42,25 +42,9 @@ def customer_features(
     earliest order with one.
     """
     delay, delay_units_per_day = _delay(elapsed)
-    paid = orders_payments_left(
-        orders_customers(delivered_orders(orders), customers), payments
-    ).withColumn("delay", delay)
-    days = (
-        with_order_marker(paid)
-        .groupBy(
-            "customer_unique_id",
-            "customer_state",
-            F.to_date("order_purchase_timestamp").alias("day"),
-        )
-        .agg(
-            F.min("order_purchase_timestamp").alias("opening"),
-            F.max("order_purchase_timestamp").alias("closing"),
-            F.sum("counts_order").alias("orders"),
-            F.count("*").alias("rows"),
-            F.sum(to_units("payment_value")).alias("cents"),
-            F.sum("delay").alias("delay"),
-        )
-    )
+    paid = orders_payments_left(orders_customers(delivered_orders(orders), customers), payments)
+    day = F.to_date("order_purchase_timestamp").alias("day")
+    days = folded_orders(paid, "customer_state", day, delay=delay)
     before = W.partitionBy("customer_unique_id").orderBy("opening").rowsBetween(
         W.unboundedPreceding, -1
     )
@@ -122,18 +106,8 @@ def _with_middle_gap(rows: DataFrame) -> DataFrame:
 def int_customer_features(order_facts: DataFrame) -> DataFrame:
     """Order count, revenue and state per person, from the order facts."""
     delivered = order_facts.filter(F.col("order_status") == m.DELIVERED)
-    by_state = (
-        with_order_marker(delivered)
-        .groupBy("customer_unique_id", "customer_state")
-        .agg(
-            F.min("order_purchase_timestamp").alias("opening"),
-            F.sum("counts_order").alias("orders"),
-            F.count("payment_value").alias("rows"),
-            F.sum(to_units("payment_value")).alias("cents"),
-        )
-    )
     return (
-        _with_home_state(by_state)
+        _with_home_state(folded_orders(delivered, "customer_state"))
         .groupBy("customer_unique_id", "home")
         .agg(
             F.to_date(F.min("opening")).alias("first_order_date"),

@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subledger.functions import model_values as m
-from subledger.functions.money import exact_sum
+from subledger.functions.money import exact_sum, to_units
 
 # Item prices and freight may carry fractions of a cent.
 ITEM_SCALE = 4
@@ -85,15 +85,38 @@ def int_order_facts(
     )
 
 
-def with_order_marker(rows: DataFrame) -> DataFrame:
-    """``counts_order`` is 1 on one row per (person, order id), 0 on repeats.
+def folded_orders(rows: DataFrame, *grain: Column | str, delay: Column | None = None) -> DataFrame:
+    """Orders at ``grain`` with their times, number of rows, cents and delay.
 
-    Its sum is the distinct order count at any coarser grain.  Rows that come out of
-    the ``order_id`` joins already lie together, so the window needs no shuffle.
+    ``orders`` counts distinct order ids: its sum at any coarser grain is exact.  To
+    that end the rows are first folded per order id too, which also takes in copies
+    of an order before they meet, and one row per (person, order id) is marked.  Rows
+    out of the ``order_id`` joins already lie together, so neither step shuffles.
     """
-    repeats = W.partitionBy("order_id", "customer_unique_id").orderBy("order_purchase_timestamp")
+    keys = [F.col(g) if isinstance(g, str) else g for g in grain]
+    sums = {
+        "rows": F.count("payment_value"),
+        "cents": F.sum(to_units("payment_value")),
+        "delay": F.sum(delay if delay is not None else F.lit(0)),
+    }
+    per_order = rows.groupBy("customer_unique_id", "order_id", *keys).agg(
+        F.min("order_purchase_timestamp").alias("opening"),
+        F.max("order_purchase_timestamp").alias("closing"),
+        *[total.alias(name) for name, total in sums.items()],
+    )
+    repeats = W.partitionBy("order_id", "customer_unique_id").orderBy("opening")
     first = (F.row_number().over(repeats) == 1) & F.col("order_id").isNotNull()
-    return rows.withColumn("counts_order", first.cast("bigint"))
+    names = [c for c in per_order.columns if c not in {"order_id", "opening", "closing", *sums}]
+    return (
+        per_order.withColumn("counts_order", first.cast("bigint"))
+        .groupBy(*names)
+        .agg(
+            F.min("opening").alias("opening"),
+            F.max("closing").alias("closing"),
+            F.sum("counts_order").alias("orders"),
+            *[F.sum(name).alias(name) for name in sums],
+        )
+    )
 
 
 def whole_days_between(earlier: Column, later: Column, elapsed: bool) -> Column:

@@ -4,13 +4,15 @@ from pyspark.sql import SparkSession
 
 # Calendar days and months are those of UTC.  Partition counts start high and are
 # merged at run time by size; skewed join partitions are split at run time, also
-# where that costs one more shuffle.
+# where that costs one more shuffle.  A shuffled join hashes its smaller side instead
+# of sorting both when every partition of that side was measured to be small.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 

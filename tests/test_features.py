@@ -101,6 +101,17 @@ def test_a_third_of_the_orders_from_one_person(spark, elapsed):
     check(spark, orders, customers, payments, elapsed)
 
 
+def test_a_third_of_the_orders_copies_of_one(spark):
+    rng = random.Random(5)
+    customers = [customer(f"c{i}", f"p{i // 2}", f"S{i % 5}") for i in range(20)]
+    orders = [
+        order(f"o{i}", f"c{rng.randrange(20)}", START + timedelta(hours=rng.randrange(9000)))
+        for i in range(600)
+    ]
+    orders += [order("o1", "c3", START + timedelta(days=rng.randrange(2))) for _ in range(300)]
+    check(spark, orders, customers, [payment(f"o{i}", 3.5) for i in range(500)], elapsed=False)
+
+
 def test_int_customer_features_agree_with_features(spark):
     rng = random.Random(3)
     customers = [customer(f"c{i}", f"p{i % 7}", f"S{i}") for i in range(20)]

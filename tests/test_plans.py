@@ -38,7 +38,7 @@ def test_features_shuffle_orders_once_per_join_key(without_broadcast, bronze):
         "customer_id",  # orders
         "customer_id",  # customers
         "customer_unique_id",  # one row per person, state and day
-        "customer_unique_id, customer_state, _groupingexpression",  # the same, folded before
+        "customer_unique_id, customer_state, day",  # the same, folded before
         "order_id",  # orders
         "order_id",  # payments, folded before
     ]
