@@ -24,6 +24,17 @@ def all_of(*reports: DataFrame) -> DataFrame:
     return combined
 
 
+class QualityFailure(ValueError):
+    """At least one check did not pass."""
+
+
+def require_passed(report: DataFrame) -> None:
+    """Stop on failed checks; ``report`` holds one status row per check."""
+    failed = [r["check"] for r in report.filter("passed = 0").collect()]
+    if failed:
+        raise QualityFailure("failed checks: " + "; ".join(sorted(failed)))
+
+
 def not_null_status(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """One status row per column, all from a single pass over the table."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])

@@ -11,14 +11,19 @@ from subledger.operators.cycles import billing_cycles
 from subledger.operators.orders import int_order_facts
 from subledger.operators.profiles import customer_profiles
 from subledger.operators.staging import staging_models, stg_subscription_cycles
+from subledger.schemas import RAW_SCHEMAS
 from subledger.sources.contract import require_sources
 from subledger.sources.files import (
     RawFile,
+    csv_scan,
+    csv_sink,
     cycle_table_write,
+    dedupe_rows,
     ingest_audit,
     json_sink,
     parquet_scan,
 )
+from subledger.sources.modelled import catalog_tiers, marketing_spend, standard_spine
 from subledger.sources.shared_folder import staged
 
 MARTS = [
@@ -150,13 +155,39 @@ def unique_cycle_report(built: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def with_modelled_files(
+    spark: SparkSession, files: Mapping[str, RawFile], root: str
+) -> dict[str, RawFile]:
+    """Add marketing spend and catalog attributes, written as CSV, where no file is given."""
+    complete = dict(files)
+    products = files["products"]
+    modelled = {
+        "marketing_spend": lambda: marketing_spend(standard_spine(spark)),
+        "catalog_overrides": lambda: catalog_tiers(
+            dedupe_rows(csv_scan(spark, products.path, products.schema).select("product_id"))
+        ),
+    }
+    for name, build in modelled.items():
+        if name not in files:
+            path = f"{root}/{name}.csv"
+            csv_sink(build(), path)
+            complete[name] = RawFile(path, schema=RAW_SCHEMAS[name])
+    return complete
+
+
 def run(
     spark: SparkSession,
     files: Mapping[str, RawFile],
     root: str,
     min_cohort: int = m.MIN_COHORT_SIZE,
+    min_order_rows: int = m.MIN_ORDER_ROWS,
 ) -> dict[str, DataFrame]:
-    """Everything once: CSV files in, bronze, cycles, marts, audit and metrics under ``root``."""
+    """Everything once: CSV files in, bronze, cycles, marts, audit and metrics under ``root``.
+
+    Marketing spend and catalog attributes are modelled when ``files`` has none.  Stops
+    at a missing source or column, at a failed table check, and at a metric gate.
+    """
+    files = with_modelled_files(spark, files, f"{root}/modelled")
     audit = ingest_audit(spark, files, f"{root}/bronze")
     json_sink(audit, f"{root}/ingest_audit")
     raw = parquet_scan(spark, f"{root}/bronze", files)
@@ -166,10 +197,17 @@ def run(
     }
     cycle_table = cycle_table_write(cycles(staged_raw), f"{root}/subscription_cycles")
     tables = model_materialize(models(raw, cycle_table), f"{root}/marts")
-    record = metrics.summary_metrics(raw, cycle_table, min_cohort)
-    json_sink(record, f"{root}/summary_metrics")
     tables["ingest_audit"] = audit
-    tables["summary_metrics"] = spark.read.schema(record.schema).json(f"{root}/summary_metrics")
-    tables["quality_report"] = quality_report(tables)
-    tables["metric_gates"] = quality.metric_gates(tables["summary_metrics"])
+    tables["quality_report"] = _kept(quality_report(tables), f"{root}/quality_report")
+    quality.require_passed(tables["quality_report"])
+    record = metrics.summary_metrics(raw, cycle_table, min_cohort)
+    tables["summary_metrics"] = _kept(record, f"{root}/summary_metrics")
+    tables["metric_gates"] = quality.metric_gates(tables["summary_metrics"], min_order_rows)
+    quality.require_passed(tables["metric_gates"])
     return tables
+
+
+def _kept(report: DataFrame, path: str) -> DataFrame:
+    """A small report, written as JSON and read back."""
+    json_sink(report, path)
+    return report.sparkSession.read.schema(report.schema).json(path)

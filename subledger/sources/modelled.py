@@ -6,7 +6,7 @@ layout can take their place.
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subledger.functions import model_values as m
@@ -25,9 +25,21 @@ def month_state_channel_spine(
     months = F.sequence(
         F.trunc(first_month, "MM"), F.trunc(last_month, "MM"), F.expr("interval 1 month")
     )
-    return (
-        states.select("customer_state", F.explode(months).alias("month"))
-        .select("month", "customer_state", F.explode(base).alias("channel", "base_spend"))
+    return states.select("customer_state", F.explode(months).alias("month")).select(
+        "month", "customer_state", F.explode(base).alias("channel", "base_spend")
+    )
+
+
+def standard_spine(spark: SparkSession) -> DataFrame:
+    """The spine over the model's own months, states and channels."""
+    states = spark.range(1).select(
+        F.explode(F.array(*[F.lit(s) for s in m.SPEND_STATES])).alias("customer_state")
+    )
+    return month_state_channel_spine(
+        states,
+        F.to_date(F.lit(m.SPEND_FIRST_MONTH)),
+        F.to_date(F.lit(m.SPEND_LAST_MONTH)),
+        m.CHANNEL_BASE_SPEND,
     )
 
 
@@ -35,7 +47,8 @@ def marketing_spend(spine: DataFrame) -> DataFrame:
     """Spend, impressions and clicks, fixed by the hash of month, state and channel."""
     u = F.col("u")
     share = F.lit(m.SPEND_FLOOR_SHARE) + F.lit(m.SPEND_RANDOM_SHARE) * u
-    return spine.withColumn("u", unit_interval(F.col("month"), F.col("customer_state"), F.col("channel"))).select(
+    draw = unit_interval(F.col("month"), F.col("customer_state"), F.col("channel"))
+    return spine.withColumn("u", draw).select(
         "month",
         "customer_state",
         "channel",
