@@ -1,11 +1,13 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from subledger.llm import byte_bpe, licenses, secrets, token_counts, topk
+from subledger.llm import byte_bpe, licenses, ngram_join, secrets, substring_dedup, token_counts, topk
 
 
 def queries() -> dict:
     return {
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op7_license_scan": licenses.op7_license_scan,
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_exact_topk": topk.op9_exact_topk,
@@ -14,4 +16,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_topk": topk.OP9_SQL}
+    return {
+        "op2_substring_dedup": substring_dedup.OP2_SQL,
+        "op5_ngram_join": ngram_join.OP5_SQL,
+        "op9_exact_topk": topk.OP9_SQL,
+    }
