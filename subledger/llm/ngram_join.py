@@ -39,7 +39,8 @@ from subledger.sources.shared_folder import staged
 
 N, PERCENT = 5, 80
 SEVERAL = 0xFFFF  # an n-gram of several documents of its batch
-STAR_ROUNDS = 6
+PAIRS_PER_ENTRY = 4  # all pairs of an n-gram's sets are tried at once if they are this few
+STAR_ROUNDS = 12
 
 
 def shingled(texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,6 +262,7 @@ def linked(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     Pairs within a component that other links have joined already may be left out.
     """
     entries = staged(_prefixes(sets, percent), "prefixes")
+    budget = PAIRS_PER_ENTRY * entries.count()
     links, tried, labels, turn = None, None, None, 0
     while True:
         if labels is None:
@@ -273,20 +275,23 @@ def linked(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             F.min(F.struct("name", "n", "place", "label")).alias("head"),
             F.min("label").alias("low"),
             F.max("label").alias("high"),
+            F.count("*").alias("sets"),
         )
-        heads = staged(heads.where("low < high").select("gram", "head.*"), "heads")
-        if heads.isEmpty():
+        heads = staged(heads.where("low < high").select("gram", "sets", "head.*"), "heads")
+        left = heads.agg(F.sum(F.col("sets").cast("double") * (F.col("sets") - 1) / 2)).first()[0]
+        if left is None:
             break
         turn += 1
+        final = left <= budget or turn > STAR_ROUNDS
         open_ = staged(marked.join(heads.select("gram"), "gram"), "open")
-        pairs = _candidates(heads if turn <= STAR_ROUNDS else open_, open_, percent)
+        pairs = _candidates(open_ if final else heads, open_, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         tried = pairs if tried is None else staged(tried.unionByName(pairs), "tried")
         found = staged(_verified(pairs, sets, percent), "links")
         links = found if links is None else staged(links.unionByName(found), "all_links")
-        if turn > STAR_ROUNDS:  # all pairs of what was left have been tried
+        if final:  # all pairs of what was left have been tried
             break
         labels = staged(components(links), "labels")
         left = open_.drop("label").join(heads.select("gram", "name"), ["gram", "name"], "left_anti")
