@@ -1,11 +1,23 @@
 """The registered queries of this subpackage and their SQL, where SQL can express them."""
 
-from subledger.llm import byte_bpe, licenses, ngram_join, secrets, substring_dedup, token_counts, topk
+from subledger.llm import (
+    byte_bpe,
+    decontamination,
+    licenses,
+    ngram_join,
+    quality,
+    secrets,
+    substring_dedup,
+    token_counts,
+    topk,
+)
 
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_decontamination": decontamination.op3_decontamination,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_ngram_join": ngram_join.op5_ngram_join,
         "op7_license_scan": licenses.op7_license_scan,
