@@ -253,16 +253,19 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def encoded(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encoded(df: DataFrame, ranks_path: str, key: str = "doc_id", text: str = "text", check: bool = False) -> DataFrame:
     """``key`` and the ids of ``text`` (null: none) as an array; other columns are left out.
 
-    ``ranks_path`` names a rank file that every executor can open.
+    ``ranks_path`` names a rank file that every executor can open. With ``check`` all ids are
+    decoded again; a text that does not come back ends the job.
     """
 
     def run(batches):
         for batch in batches:
             for texts in slices(batch.column(1)):
                 ids, rows = coder(ranks_path).encode(texts)
+                if check and "".join(coder(ranks_path).decode(ids)).encode() != texts.data.tobytes():
+                    raise ValueError("a text does not come back from its ids")
                 lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids, pa.int32()))
                 keys = batch.column(0).slice(texts.first, texts.last - texts.first)
                 yield pa.RecordBatch.from_arrays([keys, lists], ["key", "ids"])

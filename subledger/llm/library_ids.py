@@ -7,23 +7,30 @@ import numpy as np
 from subledger.llm.pieces import PieceCache
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte.
+
+    Visible Latin-1 characters stand for themselves, the rest for what follows U+00FF.
+    """
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(0x100 + others.index(b)) for b in range(256)]
+
+
 @cache
 def library_cache(path: str) -> PieceCache:
     """Ids of whole texts by a byte-level tokenizer file that every executor can open.
 
-    A byte-level tokenizer encodes the pieces of its split one by one, so distinct pieces
+    The library's model merges the pieces of its split one by one, so distinct pieces
     suffice. Special tokens' strings count as text.
     """
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    library.no_truncation()
-    library.no_padding()
+    model = Tokenizer.from_file(path).model
+    letters = dict(enumerate(byte_letters()))
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
-        texts = [p.decode() for p in pieces]
-        return [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
 
     return PieceCache(encode)
 

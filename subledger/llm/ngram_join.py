@@ -299,13 +299,14 @@ def linked(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return links if links is not None else entries.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
 
 
-def near_duplicates(df: DataFrame, n: int = N, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles and component_id, the least key reachable by links.
+def classes(df: DataFrame, n: int = N, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: doc, version (hash of the text), n_shingles, component_id, and stays.
 
     Texts are lower-cased in A-Z and split at white space. Two rows link if the sets of their
     n-word shingles share ``percent`` % of their union; a text of fewer words counts as one
     shingle. Rows without words are linked with nothing. Null keys name no component: the
-    least key that is not null does, for a row alone its own.
+    least key that is not null does, for a row alone its own. ``stays`` marks the row of each
+    component that has the least key, or rows of equal key and text if there are several.
     """
     docs = df.select(
         df[key].alias("key"), df[key].cast("long").alias("doc"), F.xxhash64(df[text]).alias("version"), df[text].alias("text")
@@ -323,23 +324,49 @@ def near_duplicates(df: DataFrame, n: int = N, percent: int = PERCENT, key: str
     enough = rows.where((F.col("n") > 0) & (F.col("shared") * 100 >= F.col("n") * percent))
     chosen = enough.groupBy("name").agg(F.min(F.struct("doc", "version")).alias("row"))
     chosen = staged(chosen.select("name", "row.*"), "distinct_sets")
-    keys = chosen.select("doc", "version")
     if chosen.count() <= KEY_BROADCAST:  # spares the other documents a shuffle
-        keys = F.broadcast(keys)
-    same = ["doc", "version"]
-    match = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in same]
-    texts = docs.alias("d").join(keys.alias("c"), match, "left_semi")
-    texts = texts.alias("d").join(chosen.alias("c"), match).select("c.name", "d.text")
+        chosen = F.broadcast(chosen)
+    match = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("doc", "version")]
+    texts = docs.alias("d").join(chosen.alias("c"), match).select("c.name", "d.text")
     sets = staged(_sets(texts.dropDuplicates(["name"]), n), "grams")
     labels = staged(components(linked(sets, percent)), "components")
+    last = F.lit((1 << 63) - 1)
     out = rows.join(labels.withColumnRenamed("node", "name"), "name", "left")
-    out = staged(out.withColumn("label", F.coalesce("label", "name")), "labelled_rows")
-    least = staged(out.groupBy("label").agg(F.min("doc").alias("component")), "least")
-    out = out.join(least, "label").select(
-        F.col("doc").alias(key), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"),
+    out = out.withColumn("label", F.coalesce("label", "name"))
+    out = staged(out.withColumn("order", F.struct(F.coalesce("doc", last).alias("doc"), "version")), "labelled_rows")
+    least = out.groupBy("label").agg(F.min("doc").alias("component"), F.min("order").alias("first"))
+    out = out.join(staged(least, "least"), "label")
+    alone = F.col("n") == 0
+    return out.select(
+        "doc", "version", F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc")).otherwise(F.col("component")).alias("component_id"),
+        (alone | (F.col("order") == F.col("first"))).alias("stays"),
     )
-    return out
+
+
+def near_duplicates(df: DataFrame, n: int = N, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, n_shingles and component_id, as ``classes`` defines them."""
+    found = classes(df, n, percent, key, text)
+    return found.select(F.col("doc").alias(key), "n_shingles", "component_id")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it new."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, with its own columns; rows without words all stay."""
+    order, version = fresh(df, "order_key"), fresh(df, "text_version")
+    last = F.lit((1 << 63) - 1)
+    keep = classes(df, key=key, text=text).where("stays")
+    keep = keep.select(F.coalesce("doc", last).alias(order), F.col("version").alias(version))
+    keep = staged(keep.distinct(), "kept_rows")
+    marked = df.withColumns({order: F.coalesce(F.col(key).cast("long"), last), version: F.xxhash64(text)})
+    kept = marked.join(keep, [order, version], "left_semi")
+    return kept.dropDuplicates([order, version]).select(*df.columns)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

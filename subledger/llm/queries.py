@@ -4,6 +4,7 @@ from subledger.llm import (
     byte_bpe,
     decontamination,
     licenses,
+    mixing_coder,
     ngram_join,
     quality,
     secrets,
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_decontamination": decontamination.op3_decontamination,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_ngram_join": ngram_join.op5_ngram_join,
+        "op6_token_output": mixing_coder.op6_token_output,
         "op7_license_scan": licenses.op7_license_scan,
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_exact_topk": topk.op9_exact_topk,

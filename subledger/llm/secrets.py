@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from subledger.llm.batches import with_column
 from subledger.llm.text import documents
 
 KINDS = ("assign", "access", "hex", "jwt", "der", "openssh", "wrapped")
@@ -198,6 +199,32 @@ def scanned(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return df.select(df[key], df[text]).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+def redacted_text(text: str | None) -> str | None:
+    """The text with every find replaced by its kind in angle brackets; overlapping ones as one."""
+    spans = sorted((a, b, kind) for kind, a, b in (matched(text) + confirmed(text) if text else ()))
+    if not spans:
+        return text
+    out, at = [], 0
+    for a, b, kind in spans:
+        if a >= at:
+            out += [text[at:a], f"<{kind}>"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def redacted(df: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """All rows and columns of ``df`` with secrets taken out of the text, and its new length."""
+
+    def make(columns: list[pa.Array]) -> pa.Array:
+        return pa.array([redacted_text(t) for t in columns[0].to_pylist()], pa.string())
+
+    out = with_column(df, [text], make, text, "string", replace=True)
+    if n_chars not in df.columns:
+        return out
+    length = F.length(text).cast(df.schema[n_chars].dataType)
+    return out.withColumn(n_chars, F.coalesce(length, F.col(n_chars)))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scanned(documents(spark, sf_dir, "doc_id", "text"))
     sums = F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256")

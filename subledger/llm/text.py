@@ -151,6 +151,7 @@ def grams(hashes: np.ndarray, n: int, base=GRAM_BASE) -> np.ndarray:
 def small_batches(spark: SparkSession) -> None:
     """Few rows an Arrow batch, since a row holds a whole document."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
