@@ -20,14 +20,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        low = staged(low, "large_star")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = staged(large.distinct(), "large_edges")
-        least = staged(large.groupBy("a").agg(F.min("b").alias("low")), "small_star")
+        large = staged(large.distinct(), "large_star")
+        least = large.groupBy("a").agg(F.min("b").alias("low"))
         hung = large.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = hung.union(least.select("a", F.col("low").alias("b"))).where("a <> b")
-        edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        edges = staged(edges, "edges")
+        edges = hung.union(least.select("a", F.col("low").alias("b"))).distinct()
+        edges = staged(edges, "small_star")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -7,13 +7,16 @@ buckets; a bucket tells the batches which of theirs occur elsewhere.
 
 What stays is folded to one row per distinct set. Its n-grams are counted again, ordered from
 rare to frequent, and only a prefix joins: sets that reach the threshold share an n-gram of
-both prefixes. Candidates pass a filter on their lengths, on the place of the shared n-gram
-and on the suffixes, and each remaining pair is verified once, on the whole sets.
-
-A frequent n-gram does not pair all its sets. In each round its first set meets the others
-that are not yet known to belong to the same component, and then leaves. Sets of one
-component need no further verification, as only the components are asked for; no link
-between different components is left out.
+both prefixes. Candidates pass filters on their lengths, on the place of the shared n-gram,
+on parity bits of the sets and on the suffixes, and each remaining pair is verified once, on
+the whole sets.
+
+A frequent n-gram does not pair all its sets. First one of them meets the others. What is
+linked then is one component, and pairs within it need no verification, as only the
+components are asked for. In further rounds a few more sets of each n-gram that still spans
+components meet those of other components. As soon as the pairs that a set outside of its
+n-gram's largest component can form are few for the number of n-grams (or the rounds are
+over), those are tried at once. No link between different components is left out.
 """
 
 import numpy as np
@@ -39,8 +42,10 @@ from subledger.sources.shared_folder import staged
 
 N, PERCENT = 5, 80
 SEVERAL = 0xFFFF  # an n-gram of several documents of its batch
-PAIRS_PER_ENTRY = 4  # all pairs of an n-gram's sets are tried at once if they are this few
-STAR_ROUNDS = 12
+PAIRS_PER_ENTRY = 2  # pairs across components are tried at once if they are this few
+TURNS, STARS = 2, 8  # rounds after the first, sets of an n-gram that meet all others in one
+BITS = 512
+ENTRY = ("name", "n", "place", "label", "bits")
 
 
 def shingled(texts, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,9 +192,23 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
                 values, bounds = shingled(texts, n)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
                 part = batch.column(0).slice(texts.first, texts.last - texts.first)
-                yield pa.RecordBatch.from_arrays([part, lists], ["name", "grams"])
+                bits = parities(values, bounds)
+                yield pa.RecordBatch.from_arrays([part, lists, bits], ["name", "grams", "bits"])
+
+    return df.select("name", "text").mapInArrow(run, "name binary, grams array<long>, bits array<long>")
+
 
-    return df.select("name", "text").mapInArrow(run, "name binary, grams array<long>")
+def parities(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each set ``BITS`` bits, whether an odd number of its members falls on them.
+
+    Two sets differ in at least as many members as in bits.
+    """
+    n = len(bounds) - 1
+    row = np.repeat(np.arange(n), np.diff(bounds))
+    at = row * BITS + (mixed(values) & np.uint64(BITS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * BITS).astype(np.uint8) & 1
+    packed = np.packbits(odd).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (BITS // 64), pa.int32()), pa.array(packed))
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
@@ -240,63 +259,75 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
     prefix = F.slice("shared", 1, F.greatest(length - alone, F.lit(0)))
     entries = shared.select("name", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "entry"))
-    return entries.select("entry.gram", "name", "n", (F.col("alone") + F.col("at")).alias("place"))
+    entries = entries.select("entry.gram", "name", "n", (F.col("alone") + F.col("at")).alias("place"))
+    return entries.join(sets.select("name", "bits"), "name")
 
 
 def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs of entries of one n-gram that the length and place filters leave, each once."""
-    a = left.select("gram", *(F.col(c).alias(f"{c}_a") for c in ("name", "n", "place", "label")))
-    b = right.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("name", "n", "place", "label")))
+    """Pairs of entries of one n-gram that the length, place and bit filters leave, each once."""
+    a = left.select("gram", *(F.col(c).alias(f"{c}_a") for c in ENTRY))
+    b = right.select("gram", *(F.col(c).alias(f"{c}_b") for c in ENTRY))
+    apart = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(BITS // 64)), F.lit(0))
     fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (
         # the shared n-gram and all that can follow it on the shorter side
         F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * (100 + percent)
         >= (F.col("n_a") + F.col("n_b")) * percent
-    )
+    ) & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
     pairs = a.join(b, "gram").where((F.col("label_a") != F.col("label_b")) & (F.col("name_a") != F.col("name_b")) & fits)
     return pairs.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).distinct()
 
 
+def _heads(marked: DataFrame, turn: int) -> DataFrame:
+    """Of each n-gram whose sets are in several components some sets, chosen by hash."""
+    hashed = [F.xxhash64("name", F.lit(turn * 100 + k)).alias("hash") for k in range(1 if turn == 0 else STARS)]
+    entry = [F.col(c) for c in ENTRY]
+    chosen = [F.min(F.struct(h, *entry)).alias(f"head{k}") for k, h in enumerate(hashed)]
+    found = marked.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), *chosen)
+    found = found.where("low < high")
+    some = F.array_distinct(F.transform(F.array(*(f"head{k}" for k in range(len(chosen)))), lambda h: h.dropFields("hash")))
+    return found.select("gram", F.explode(some).alias("head")).select("gram", "head.*")
+
+
+def _outsiders(marked: DataFrame) -> DataFrame:
+    """n-grams in several components: their sets, and those outside the largest component."""
+    parts = marked.groupBy("gram", "label").agg(F.count("*").alias("sets"))
+    found = parts.groupBy("gram").agg(
+        F.sum("sets").alias("sets"), F.max(F.struct("sets", "label")).alias("largest")
+    )
+    return found.where("sets > largest.sets").select(
+        "gram", "sets", (F.col("sets") - F.col("largest.sets")).alias("outside"), F.col("largest.label").alias("main")
+    )
+
+
 def linked(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that join the components of sets (name, grams), and no others.
 
     Pairs within a component that other links have joined already may be left out.
     """
-    entries = staged(_prefixes(sets, percent), "prefixes")
+    entries = staged(_prefixes(sets, percent).withColumn("label", F.col("name")), "prefixes")
     budget = PAIRS_PER_ENTRY * entries.count()
-    links, tried, labels, turn = None, None, None, 0
-    while True:
-        if labels is None:
-            marked = entries.withColumn("label", F.col("name"))
-        else:
-            marked = entries.join(labels.withColumnRenamed("node", "name"), "name", "left")
-            marked = marked.withColumn("label", F.coalesce("label", "name"))
+    tried = staged(_candidates(_heads(entries, 0), entries, percent), "pairs")
+    links = staged(_verified(tried, sets, percent), "links")
+    for turn in range(1, TURNS + 1):
+        labels = staged(components(links), "labels").withColumnRenamed("node", "name").withColumnRenamed("label", "new")
+        marked = entries.join(labels, "name", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
         marked = staged(marked, "labelled")
-        heads = marked.groupBy("gram").agg(
-            F.min(F.struct("name", "n", "place", "label")).alias("head"),
-            F.min("label").alias("low"),
-            F.max("label").alias("high"),
-            F.count("*").alias("sets"),
-        )
-        heads = staged(heads.where("low < high").select("gram", "sets", "head.*"), "heads")
-        left = heads.agg(F.sum(F.col("sets").cast("double") * (F.col("sets") - 1) / 2)).first()[0]
+        outside = staged(_outsiders(marked), "open_grams")
+        left = outside.agg(F.sum(F.col("sets").cast("double") * F.col("outside"))).first()[0]
         if left is None:
             break
-        turn += 1
-        final = left <= budget or turn > STAR_ROUNDS
-        open_ = staged(marked.join(heads.select("gram"), "gram"), "open")
-        pairs = _candidates(open_ if final else heads, open_, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        entries = staged(marked.join(outside.select("gram", "main"), "gram"), "open")
+        final = left <= budget or turn == TURNS
+        some = entries.where("label <> main") if final else _heads(entries, turn)
+        pairs = _candidates(some, entries, percent).join(tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
-        tried = pairs if tried is None else staged(tried.unionByName(pairs), "tried")
         found = staged(_verified(pairs, sets, percent), "links")
-        links = found if links is None else staged(links.unionByName(found), "all_links")
-        if final:  # all pairs of what was left have been tried
+        links = staged(links.unionByName(found), "all_links")
+        if final:  # every pair of different components has been tried
             break
-        labels = staged(components(links), "labels")
-        left = open_.drop("label").join(heads.select("gram", "name"), ["gram", "name"], "left_anti")
-        entries = staged(left, "entries")
-    return links if links is not None else entries.select(F.col("name").alias("a"), F.col("name").alias("b")).limit(0)
+        tried = staged(tried.unionByName(pairs), "tried")
+        entries = entries.drop("main")
+    return links
 
 
 def classes(df: DataFrame, n: int = N, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
