@@ -215,7 +215,8 @@ def _sample(docs: DataFrame, keys: DataFrame) -> list:
                 lists = [pa.array(columns, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(rows, pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["key", "label", "columns", "counts", "page"])
 
-    chosen = docs.join(F.broadcast(keys), docs["doc_id"] == keys["key"]).select("key", "label", *INPUTS)
+    own = docs.select(docs["doc_id"].alias("own_key"), *(docs[c] for c in INPUTS))
+    chosen = own.join(F.broadcast(keys), F.col("own_key") == F.col("key")).select("key", "label", *INPUTS)
     schema = "key long, label int, columns array<int>, counts array<float>, page array<double>"
     return chosen.mapInArrow(run, schema).toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
 
