@@ -1,8 +1,9 @@
 """Exact money sums.
 
 Adding doubles gives a result that depends on the order in which tasks finish.
-Amounts are therefore summed as whole units (cents by default) in a bigint and
-turned back into a double once, at the end.
+Amounts are therefore summed as decimals with ten digits after the point and turned
+back into a double once, at the end.  What no such decimal holds (NaN, infinities,
+amounts from 10^17 on) is summed apart.  Bills, which are whole cents, are summed as such.
 """
 
 from pyspark.sql import Column
@@ -21,6 +22,23 @@ def from_units(units: Column, scale: int = CENTS) -> Column:
     return units / F.lit(float(10**scale))
 
 
-def exact_sum(amount: Column | str, scale: int = CENTS) -> Column:
+def exact_parts(amount: str) -> dict[str, Column]:
+    """Two aggregates that add up again at any coarser grain; ``amount_of`` joins them."""
+    column = F.col(amount)
+    held = F.abs(column) < F.lit(1e17)  # false for NaN, which counts as larger
+    return {
+        "amount": F.sum(F.when(held, column).cast("decimal(28,10)")),
+        "odd_amount": F.sum(F.when(~held, column)),
+    }
+
+
+def amount_of(amount: Column, odd_amount: Column) -> Column:
+    """The double that both parts stand for; NULL when nothing was summed."""
+    exact = amount.cast("double")
+    return F.when(odd_amount.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + odd_amount)
+
+
+def exact_sum(amount: str) -> Column:
     """Order-independent sum of an amount column; NULL when nothing was summed."""
-    return from_units(F.sum(to_units(amount, scale)), scale)
+    parts = exact_parts(amount)
+    return amount_of(parts["amount"], parts["odd_amount"])

@@ -4,7 +4,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from subledger.functions import model_values as m
-from subledger.functions.money import to_units
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
@@ -57,13 +56,7 @@ def bounded_cadence(days: Column) -> Column:
     return F.when(days.isNotNull(), bounded.cast("int"))
 
 
-def billing_amount(total_spend: Column, order_count: Column) -> Column:
-    """Average order value to the cent, half up, computed on whole cents.
-
-    A two-order average can end on exactly half a cent, where rounding a double
-    would depend on how that double happened to be summed.
-    """
-    cents = to_units(total_spend)
-    rounded = F.floor((2 * cents + order_count) / (F.lit(2.0) * order_count))
-    floor_cents = F.lit(int(m.MIN_BILLING_AMOUNT * 100)).cast("bigint")
-    return F.greatest(F.coalesce(rounded, floor_cents), floor_cents) / F.lit(100.0)
+def billing_amount(avg_order_value: Column) -> Column:
+    """Average order value, but at least the least bill, to the cent, half up."""
+    amount = F.greatest(avg_order_value, F.lit(float(m.MIN_BILLING_AMOUNT)))
+    return F.floor(amount * 100 + 0.5) / F.lit(100.0)

@@ -37,7 +37,7 @@ def billing_cycles(profiles: DataFrame, max_cycles: int = m.MAX_CYCLES) -> DataF
             "customer_unique_id",
             "cycle_number",
             F.date_add("first_order_date", F.col("cadence_days") * (cycle - 1)).alias("billing_date"),
-            F.when(renewed, billing_amount(F.col("total_spend"), F.col("order_count")))
+            F.when(renewed, billing_amount(F.col("avg_order_value")))
             .otherwise(0.0)
             .alias("billing_amount"),
             renewed.cast("int").alias("renewed"),

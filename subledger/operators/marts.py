@@ -46,16 +46,16 @@ def mart_customer_ltv(cycles: DataFrame) -> DataFrame:
 
 
 def with_cohort_month(cycles: DataFrame) -> DataFrame:
-    """Cycles at (subscription, cycle) grain with the month of the subscription's first bill.
+    """Every cycle row with the month of its subscription's first bill."""
+    first_bill = F.min("billing_date").over(W.partitionBy("subscription_id"))
+    return cycles.withColumn("cohort_month", F.trunc(first_bill, "MM"))
 
-    Folding to that grain first bounds the look-up of the first bill by the number
-    of cycles of one subscription.
-    """
-    grain = cycles.groupBy("subscription_id", "cycle_number").agg(
+
+def by_cycle(cycles: DataFrame) -> DataFrame:
+    """One row per subscription and cycle, however many copies there are."""
+    return cycles.groupBy("subscription_id", "cycle_number").agg(
         F.min("billing_date").alias("billing_date"), F.max("renewed").alias("renewed")
     )
-    first_bill = F.min("billing_date").over(W.partitionBy("subscription_id"))
-    return grain.withColumn("cohort_month", F.trunc(first_bill, "MM"))
 
 
 def cohort_sizes(cycles: DataFrame, key: str) -> DataFrame:
@@ -108,7 +108,7 @@ def mart_segment_retention(cycles: DataFrame) -> DataFrame:
 
 
 def mart_cohort_retention(cycles: DataFrame) -> DataFrame:
-    return retention(with_cohort_month(cycles), "cohort_month")
+    return retention(with_cohort_month(by_cycle(cycles)), "cohort_month")
 
 
 def revenue_by_month_state(order_facts: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Headline metrics and the analyst and dashboard queries over the marts."""
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -194,11 +194,20 @@ def kpi_snapshot(kpi_mart: DataFrame) -> DataFrame:
     return kpi_mart.select("*")
 
 
-def segment_retention_pivot(segment_mart: DataFrame) -> DataFrame:
-    """Cycles down, segments across; naming the segments spares Spark a job to find them."""
+def segment_retention_pivot(
+    segment_mart: DataFrame, segments: Sequence[str] = tuple(m.VALUE_SEGMENTS)
+) -> DataFrame:
+    """Cycles down, segments across; naming the segments spares Spark a job to find them.
+
+    A segment that is not named ends the job, so none is left out unseen.
+    """
+    label = F.col("value_segment")
+    unknown = F.raise_error(F.concat(F.lit("segment not listed: "), F.coalesce(label, F.lit("NULL"))))
+    listed = F.when(label.isin(*segments), label).otherwise(unknown)
     return (
-        segment_mart.groupBy("cycle_number")
-        .pivot("value_segment", m.VALUE_SEGMENTS)
+        segment_mart.withColumn("value_segment", listed)
+        .groupBy("cycle_number")
+        .pivot("value_segment", list(segments))
         .agg(F.max("retention_rate"))
     )
 

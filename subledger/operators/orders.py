@@ -5,12 +5,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subledger.functions import model_values as m
-from subledger.functions.money import exact_sum, to_units
-
-# Item prices and freight may carry fractions of a cent.
-ITEM_SCALE = 4
+from subledger.functions.money import exact_parts, exact_sum
+from subledger.sources.shared_folder import staged
 
 DAY_IN_MICROS = 86_400_000_000
+COPY_CHUNK = 1 << 16
 
 
 def delivered_orders(orders: DataFrame) -> DataFrame:
@@ -27,8 +26,8 @@ def payments_by_order(payments: DataFrame) -> DataFrame:
 def items_by_order(order_items: DataFrame) -> DataFrame:
     return order_items.groupBy("order_id").agg(
         F.count("*").alias("item_count"),
-        exact_sum("price", ITEM_SCALE).alias("item_revenue"),
-        exact_sum("freight_value", ITEM_SCALE).alias("freight_value"),
+        exact_sum("price").alias("item_revenue"),
+        exact_sum("freight_value").alias("freight_value"),
     )
 
 
@@ -86,7 +85,7 @@ def int_order_facts(
 
 
 def folded_orders(rows: DataFrame, *grain: Column | str, delay: Column | None = None) -> DataFrame:
-    """Orders at ``grain`` with their times, number of rows, cents and delay.
+    """Orders at ``grain`` with their times, number of rows, amounts and delay.
 
     ``orders`` counts distinct order ids: its sum at any coarser grain is exact.  To
     that end the rows are first folded per order id too, which also takes in copies
@@ -96,7 +95,7 @@ def folded_orders(rows: DataFrame, *grain: Column | str, delay: Column | None =
     keys = [F.col(g) if isinstance(g, str) else g for g in grain]
     sums = {
         "rows": F.count("payment_value"),
-        "cents": F.sum(to_units("payment_value")),
+        **exact_parts("payment_value"),
         "delay": F.sum(delay if delay is not None else F.lit(0)),
     }
     per_order = rows.groupBy("customer_unique_id", "order_id", *keys).agg(
@@ -134,33 +133,46 @@ def order_gaps(
     bought: str = "order_purchase_timestamp",
     elapsed: bool = False,
 ) -> DataFrame:
-    """``gap_days`` since the person's previous order; NULL on the first one.
+    """``gap_days`` since the person's previous order row; NULL on the first one.
+
+    As a look-back over all rows of a person by time and order id gives it: a copy of an
+    order follows 0 days after it, rows without a person are one person's, and a row
+    without a time has no gap.
 
-    Only the first order of a day can be a day or more after the previous order.
-    So the look-back runs over one row per person and active day, a group the
-    calendar bounds however many orders the person has; its result goes back to
-    that one order by its own key.  Among equal times the smallest id is first.
+    Only the first order of a day can be a day or more after the previous order.  So the
+    look-back runs over one row per person and active day, a group the calendar bounds
+    however many orders the person has.  Copies are counted first and written, which the
+    later steps share; the order id that opens a day is looked for among the rows of that
+    moment alone.
     """
-    by_day = rows.groupBy(person, F.to_date(bought).alias("day")).agg(
-        F.min(F.struct(bought, order_id)).alias("opening"), F.max(bought).alias("closing")
+    copies = rows.groupBy(person, order_id, bought).agg(F.count("*").alias("copies"))
+    copies = staged(copies, "order_copies")
+    by_day = (
+        copies.filter(F.col(bought).isNotNull())
+        .groupBy(person, F.to_date(bought).alias("day"))
+        .agg(F.min(bought).alias("opening"), F.max(bought).alias("closing"))
     )
-    history = W.partitionBy(person).orderBy("day")
+    before = F.lag("closing").over(W.partitionBy(person).orderBy("day"))
     openings = by_day.select(
-        F.col(person),
-        F.col(f"opening.{bought}").alias(bought),
-        F.col(f"opening.{order_id}").alias(order_id),
-        whole_days_between(
-            F.lag("closing").over(history), F.col(f"opening.{bought}"), elapsed
-        ).alias("opening_gap"),
+        F.col(person).alias("who"),
+        "opening",
+        whole_days_between(before, F.col("opening"), elapsed).alias("opening_gap"),
         F.lit(True).alias("opens_day"),
     )
-    return (
-        rows.select(person, order_id, bought)
-        .join(openings, [person, order_id, bought], "left")
-        .select(
-            person,
-            order_id,
-            bought,
-            F.when(F.col("opens_day"), F.col("opening_gap")).otherwise(0).alias("gap_days"),
-        )
+    at_opening = F.col(person).eqNullSafe(F.col("who")) & (F.col(bought) == F.col("opening"))
+    placed = copies.join(openings, at_opening, "left").drop("who", "opening")
+    moment = W.partitionBy(person, bought).orderBy(order_id)
+    is_opener = F.col("opens_day") & (F.row_number().over(moment) == 1)
+    first_gap = F.when(is_opener, F.col("opening_gap")).otherwise(0)
+    # Copies come back in chunks, so that very many of one order are no large array.
+    last_chunk = F.floor((F.col("copies") - 1) / F.lit(COPY_CHUNK))
+    chunks = placed.filter(F.col("opens_day")).withColumn("first_gap", first_gap).unionByName(
+        placed.filter(F.col("opens_day").isNull()).withColumn("first_gap", F.lit(0))
+    )
+    chunks = chunks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
+    size = F.least(F.lit(COPY_CHUNK), F.col("copies") - F.col("chunk") * COPY_CHUNK)
+    each = chunks.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
+    gap = F.when((F.col("chunk") == 0) & (F.col("copy") == 1), F.col("first_gap")).otherwise(0)
+    return each.select(
+        person, order_id, bought, F.when(F.col(bought).isNotNull(), gap).cast("int").alias("gap_days")
     )

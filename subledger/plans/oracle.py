@@ -19,6 +19,16 @@ def cents_of(expression: str) -> str:
     return f"cast(round_even({expression} * 100, 0) as bigint)"
 
 
+def exact(expression: str) -> str:
+    """A double as the decimal it prints as."""
+    return f"cast(cast({expression} as varchar) as decimal(28,10))"
+
+
+def double_of(total: str) -> str:
+    """The double nearest to a sum of such decimals."""
+    return f"cast(cast({total} as varchar) as double)"
+
+
 def clamp(expression: str, low: float, high: float) -> str:
     return f"greatest({low}::double, least({high}::double, {expression}))"
 
@@ -63,12 +73,12 @@ def _features(
         late, per_day = "date_diff('day', due, arrived)", "1.0"
     return f"""
 {prefix}_pay as (
-  select order_id, cast(sum({cents_of('payment_value')}) as bigint) / 100.0::double as payment_value
+  select order_id, {double_of('sum('+exact('payment_value')+')')} as payment_value
   from {payments} group by order_id
 ), {prefix}_rows as (
   select *, row_number() over (partition by customer_unique_id order by bought, order_id) as nth
   from (select customer_unique_id, customer_state, order_id, order_purchase_timestamp as bought,
-               {cents_of('ifnull(payment_value, 0)')} as cents,
+               {exact('coalesce(payment_value, 0)')} as amount,
                order_delivered_customer_date as arrived, order_estimated_delivery_date as due
         from r_customers join {orders} using (customer_id) left join {prefix}_pay using (order_id)
         where order_status = 'delivered') delivered
@@ -83,12 +93,12 @@ def _features(
 ), {prefix}_totals as (
   select customer_unique_id, cast(min(bought) as date) as first_order_date,
          arg_min(customer_state, (bought, customer_state)) as customer_state,
-         count(distinct order_id) as order_count, count(*) as n, cast(sum(cents) as bigint) as cents,
+         count(distinct order_id) as order_count, count(*) as n, {double_of('sum(amount)')} as total_spend,
          cast(sum(case when {late} > 0 then {late} else 0 end) as bigint) as late
   from {prefix}_rows group by customer_unique_id
 ), {prefix} as (
   select customer_unique_id, customer_state, first_order_date, order_count,
-         cents / 100.0::double / n as avg_order_value, cents / 100.0::double as total_spend,
+         total_spend / n as avg_order_value, total_spend,
          late / {per_day}::double / n as avg_delivery_delay_days, observed_cadence_days
   from {prefix}_totals left join {prefix}_cadence using (customer_unique_id)
 )"""
@@ -134,8 +144,7 @@ def _cycles(profiles: str, out: str) -> str:
          cast(k as integer) as cycle_number,
          cast(first_order_date + cast(cadence_days * (k - 1) as integer) as date) as billing_date,
          case when lapse is null or k < lapse
-              then greatest(cast(floor((2 * {cents_of('total_spend')} + order_count)
-                                       / (2.0::double * order_count)) as bigint), 500)
+              then cast(floor(greatest(avg_order_value, {m.MIN_BILLING_AMOUNT}::double) * 100 + 0.5::double) as bigint)
                    / 100.0::double
               else 0.0::double end as billing_amount,
          case when lapse is null or k < lapse then 1 else 0 end as renewed,
@@ -278,7 +287,7 @@ r_spine as (
                  date_trunc('month', (select min(o_orderdate) from orders)),
                  date_trunc('month', (select max(o_orderdate) from orders) + interval 2 month),
                  interval 1 month)) as month) months
-  cross join (select n_name from nation where n_nationkey < 8) states
+  cross join (select n_name from nation) states
   cross join (values {', '.join(f"('{c}', {b})" for c, b in m.CHANNEL_BASE_SPEND.items())})
     as channels(channel, base_spend)
 )"""),
@@ -313,14 +322,14 @@ e_payments as (
 )"""),
     "pay": (("r_payments",), f"""
 pay as (
-  select order_id, cast(sum({cents_of('payment_value')}) as bigint) / 100.0::double as payment_value
+  select order_id, {double_of('sum('+exact('payment_value')+')')} as payment_value
   from r_payments group by order_id
 )"""),
-    "items": (("r_order_items",), """
+    "items": (("r_order_items",), f"""
 items as (
   select order_id, count(*) as item_count,
-         cast(sum(cast(round_even(price * 10000, 0) as bigint)) as bigint) / 10000.0::double as item_revenue,
-         cast(sum(cast(round_even(freight_value * 10000, 0) as bigint)) as bigint) / 10000.0::double
+         {double_of('sum('+exact('price')+')')} as item_revenue,
+         {double_of('sum('+exact('freight_value')+')')}
            as freight_value
   from r_order_items group by order_id
 )"""),
@@ -336,14 +345,14 @@ facts as (
     "revenue": (("facts",), f"""
 revenue as (
   select order_month as month, customer_state,
-         cast(sum({cents_of('payment_value')}) as bigint) / 100.0::double as observed_revenue_brl,
+         {double_of('sum('+exact('payment_value')+')')} as observed_revenue_brl,
          count(distinct order_id) as orders
   from facts where order_status = 'delivered' group by 1, 2
 )"""),
     "spend": (("r_marketing_spend",), f"""
 spend as (
   select month, customer_state,
-         cast(sum({cents_of('spend_brl')}) as bigint) / 100.0::double as marketing_spend_brl
+         {double_of('sum('+exact('spend_brl')+')')} as marketing_spend_brl
   from r_marketing_spend group by 1, 2
 )"""),
     "efficiency": (("revenue", "spend"), """
@@ -403,7 +412,7 @@ kpis as (
     "ltv": (("cycles",), f"""
 ltv as (
   select subscription_id, customer_unique_id, min(value_segment) as value_segment,
-         cast(sum({cents_of('billing_amount')}) as bigint) / 100.0::double as synthetic_ltv_brl,
+         {double_of('sum('+exact('billing_amount')+')')} as synthetic_ltv_brl,
          count(*) filter (where renewed = 1) as active_cycles, max(churned_this_cycle) as churned
   from cycles group by subscription_id, customer_unique_id
 )"""),
@@ -413,8 +422,8 @@ person_facts as (
          arg_min(customer_state, (order_purchase_timestamp, customer_state)) as customer_state,
          min(cast(order_purchase_timestamp as date)) as first_order_date,
          count(distinct order_id) as order_count,
-         cast(sum({cents_of('payment_value')}) as bigint) / 100.0::double as observed_revenue,
-         cast(sum({cents_of('payment_value')}) as bigint) / 100.0::double / count(payment_value)
+         {double_of('sum('+exact('payment_value')+')')} as observed_revenue,
+         {double_of('sum('+exact('payment_value')+')')} / count(payment_value)
            as avg_order_value
   from facts where order_status = 'delivered' group by 1
 )"""),
@@ -572,7 +581,7 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_rows": "select distinct * from (select * from lineitem union all select * from lineitem)",
         "bronze_write": sql("select * from r_payments", "r_payments"),
         "bronze_ingest": sql(
-            "select 'orders' as name, count(*) as rows, 8 as columns from r_orders", "r_orders"
+            "select 'orders' as name, count(*) as rows, 9 as columns from r_orders", "r_orders"
         ),
         "ingest_audit": sql(_audit(), *RAW_PARTS),
         "parquet_scan": sql(counts(RAW, "name", "rows"), *RAW_PARTS),
@@ -705,9 +714,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "summary_metrics": sql("select * from summary", "summary"),
         "monthly_revenue_vs_spend": sql(
-            f"select month, cast(sum({cents_of('observed_revenue_brl')}) as bigint) / 100.0::double"
+            f"select month, {double_of('sum('+exact('observed_revenue_brl')+')')}"
             " as observed_revenue_brl,"
-            f" cast(sum({cents_of('marketing_spend_brl')}) as bigint) / 100.0::double"
+            f" {double_of('sum('+exact('marketing_spend_brl')+')')}"
             " as mock_marketing_spend_brl from efficiency group by 1",
             "efficiency",
         ),

@@ -12,7 +12,7 @@ from subledger.operators.orders import int_order_facts
 from subledger.operators.profiles import customer_profiles
 from subledger.operators.staging import staging_models, stg_subscription_cycles
 from subledger.schemas import RAW_SCHEMAS
-from subledger.sources.contract import require_sources
+from subledger.sources.contract import require_files, require_sources
 from subledger.sources.files import (
     RawFile,
     csv_scan,
@@ -185,8 +185,13 @@ def run(
     """Everything once: CSV files in, bronze, cycles, marts, audit and metrics under ``root``.
 
     Marketing spend and catalog attributes are modelled when ``files`` has none.  Stops
-    at a missing source or column, at a failed table check, and at a metric gate.
+    at a missing source or column before any work, at a failed table check, and at a
+    metric gate.  The session must run in UTC, as days and months are those of UTC.
     """
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"the session's time zone is {zone}; set spark.sql.session.timeZone to UTC")
+    require_files(spark, files)
     files = with_modelled_files(spark, files, f"{root}/modelled")
     audit = ingest_audit(spark, files, f"{root}/bronze")
     json_sink(audit, f"{root}/ingest_audit")

@@ -2,18 +2,15 @@
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subledger.schemas import RAW_SCHEMAS, fields
-from subledger.sources.files import row_counts
+from subledger.sources.files import MissingSources, RawFile, header_columns, row_counts
 
 VIOLATION_SCHEMA = "source string, missing_column string"
-
-
-class MissingSources(ValueError):
-    """A required source or column is absent."""
-
+MODELLED = ("marketing_spend", "catalog_overrides")
 
 def missing_columns(tables: Mapping[str, DataFrame], name: str) -> list[str]:
     if name not in tables:
@@ -38,6 +35,24 @@ def require_sources(tables: Mapping[str, DataFrame]) -> None:
         raise MissingSources("missing inputs: " + "; ".join(problems))
 
 
+def require_files(spark: SparkSession, files: Mapping[str, RawFile]) -> None:
+    """Paths and headers of all sources, before anything is parsed or written.
+
+    Sources that can be modelled may be absent altogether.
+    """
+    headers = {}
+    for name, source in files.items():
+        try:
+            headers[name] = header_columns(spark, source.path)
+        except AnalysisException:  # no such path, or an empty file
+            continue
+    wanted = [name for name in RAW_SCHEMAS if name in files or name not in MODELLED]
+    problems = {name: missing_columns(headers, name) for name in wanted}
+    told = [f"{name}: {', '.join(missing)}" for name, missing in problems.items() if missing]
+    if told:
+        raise MissingSources("missing inputs: " + "; ".join(told))
+
+
 def source_contract(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One status row per source at hand: rows, missing columns, passed (0/1)."""
     counts = row_counts(tables)

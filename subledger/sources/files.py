@@ -3,14 +3,18 @@
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from subledger.schemas import CYCLES_SCHEMA, typed_columns
+from subledger.schemas import CYCLES_SCHEMA, fields, typed_columns
 
 AUDIT_SCHEMA = "name string, rows bigint, columns int, source string"
 
 
+class MissingSources(ValueError):
+    """A required source or column is absent."""
+
+
 @dataclass(frozen=True)
 class RawFile:
     """One raw input: where it lies, which columns are timestamps, its layout if known."""
@@ -21,10 +25,42 @@ class RawFile:
 
 
 def csv_scan(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Headered CSV.  Without a declared schema Spark reads the file twice to infer one."""
-    reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    return reader.csv(path)
+    """Headered CSV; columns are known by their names in the header, in its order.
+
+    Declared columns must be there and are cast strictly: text that is no such number or
+    date ends the job, except that timestamps which cannot be read become NULL.  Columns
+    beyond the declared ones stay, as text.  Without a declared schema Spark reads the file
+    twice to infer one.
+    """
+    if not schema:
+        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+    text, declared = header_columns(spark, path), dict(fields(schema))
+    missing = [name for name in declared if name not in text.columns]
+    if missing:
+        raise MissingSources(f"{path}: no column {', '.join(missing)}")
+    return text.select(
+        *[strict(name, declared[name]) if name in declared else F.col(f"`{name}`") for name in text.columns]
+    )
+
+
+def header_columns(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file as text under the names of its header; only the header is read at first."""
+    return spark.read.option("header", True).csv(path)
+
+
+def strict(name: str, kind: str) -> Column:
+    """A text column as ``kind``; whole numbers may be written with a zero fraction."""
+    text = F.col(f"`{name}`")
+    if kind == "string":
+        return text
+    if kind == "timestamp":
+        return F.try_to_timestamp(text).alias(name)
+    value = text.try_cast(kind)
+    if kind in ("int", "bigint"):
+        number = text.try_cast("double")
+        value = F.coalesce(value, F.when(number == F.rint(number), number.try_cast(kind)))
+    problem = F.concat(F.lit(f"column {name}: no {kind}: "), text)
+    return F.when(text.isNotNull() & value.isNull(), F.raise_error(problem)).otherwise(value).alias(name)
 
 
 def parse_ts_if_present(df: DataFrame, columns: Iterable[str]) -> DataFrame:

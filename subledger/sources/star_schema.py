@@ -39,7 +39,6 @@ STAR_SCHEMAS = {
     ),
 }
 
-MODELLED_STATES = 8
 ESTIMATED_DAYS = 30
 LONGEST_DELIVERY_DAYS = 45
 MONTHS_BEYOND_LAST_ORDER = 2
@@ -149,16 +148,12 @@ def category_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spend_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order months, two beyond the last, for the first eight nations."""
+    """Order months, two beyond the last, for every nation."""
     bought = table(spark, sf_dir, "orders").agg(
         F.to_date(F.min("o_orderdate")).alias("first"),
         F.add_months(F.to_date(F.max("o_orderdate")), MONTHS_BEYOND_LAST_ORDER).alias("last"),
     )
-    states = (
-        table(spark, sf_dir, "nation")
-        .filter(F.col("n_nationkey") < MODELLED_STATES)
-        .select(F.col("n_name").alias("customer_state"))
-    )
+    states = table(spark, sf_dir, "nation").select(F.col("n_name").alias("customer_state"))
     return month_state_channel_spine(
         states, bought.select("first").scalar(), bought.select("last").scalar(), m.CHANNEL_BASE_SPEND
     )

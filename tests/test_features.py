@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from subledger.functions.quantiles import exact_quantiles
 from subledger.operators.customers import customer_features, int_customer_features
-from subledger.operators.orders import int_order_facts, order_gaps, orders_customers
+from subledger.operators.orders import int_order_facts, order_gaps, orders_customers, payments_by_order
 from subledger.schemas import RAW_SCHEMAS
 from tests import brute
 
@@ -181,3 +181,29 @@ def test_orders_without_a_customer_drop_out(spark):
     o, c, _ = frames(spark, [order("o1", "c1", START), order("o2", "x", START)], [customer("c1", "p", "SP")], [])
     assert [r.order_id for r in orders_customers(o, c).collect()] == ["o1"]
     assert date(2020, 1, 1) == START.date()
+
+
+@pytest.mark.parametrize("elapsed", [False, True])
+def test_order_gaps_of_copies_and_nulls(spark, elapsed):
+    at = lambda day, hour=0: START + timedelta(days=day, hours=hour)
+    rows = [
+        ("a", "1", at(0)), ("a", "1", at(0)), ("a", "2", at(10)), ("a", "2", at(10)), ("a", "2", at(10, 5)),
+        ("a", "3", at(10)), ("a", None, at(14)), ("a", "4", None), ("a", "4", None),
+        (None, "5", at(1)), (None, "6", at(5)), (None, None, at(8)), (None, None, at(8)), ("b", None, at(3)),
+    ]
+    df = spark.createDataFrame(rows, "customer_unique_id string, order_id string, order_purchase_timestamp timestamp")
+    got = sorted(map(str, ([r.customer_unique_id, r.order_id, r.gap_days] for r in order_gaps(df, elapsed=elapsed).collect())))
+    expected = [
+        ["a", "1", None], ["a", "1", 0], ["a", "2", 10], ["a", "2", 0], ["a", "2", 0], ["a", "3", 0],
+        ["a", None, 3 if elapsed else 4], ["a", "4", None], ["a", "4", None],
+        [None, "5", None], [None, "6", 4], [None, None, 3], [None, None, 0], ["b", None, None],
+    ]
+    assert got == sorted(map(str, expected))
+
+
+def test_amounts_below_a_cent_and_odd_ones(spark):
+    rows = [("a", 0.004)] * 5 + [("b", float("nan")), ("b", 1.0), ("c", None), ("d", float("inf")), ("d", 2.0), ("e", 1e18)]
+    df = spark.createDataFrame(rows, "order_id string, payment_value double")
+    got = {r.order_id: r.payment_value for r in payments_by_order(df).collect()}
+    assert got["a"] == 0.02 and got["b"] != got["b"] and got["c"] is None
+    assert got["d"] == float("inf") and got["e"] == 1e18

@@ -176,3 +176,19 @@ def test_metric_gates_threshold(spark):
     record = spark.createDataFrame([(100, 2, 5)], "real_orders bigint, customer_segments bigint, synthetic_subscribers bigint")
     assert [r.passed for r in quality.metric_gates(record).collect()] == [0, 1, 1]
     assert [r.passed for r in quality.metric_gates(record, 99).collect()] == [1, 1, 1]
+
+
+def test_an_unlisted_segment_stops_the_pivot(spark):
+    mart = spark.createDataFrame([(1, "value_1", 1.0), (1, "gold", 0.5)], "cycle_number int, value_segment string, retention_rate double")
+    with pytest.raises(Exception, match="segment not listed: gold"):
+        metrics.segment_retention_pivot(mart).collect()
+    row = metrics.segment_retention_pivot(mart, ["gold", "value_1"]).first()
+    assert (row.gold, row.value_1) == (0.5, 1.0)
+
+
+def test_cohort_month_keeps_every_row(spark):
+    rows = [("s", 1, date(2020, 1, 31), 1)] * 2 + [("s", 2, date(2020, 3, 1), 0)]
+    df = spark.createDataFrame(rows, "subscription_id string, cycle_number int, billing_date date, renewed int")
+    got = marts.with_cohort_month(df).collect()
+    assert len(got) == 3 and {r.cohort_month for r in got} == {date(2020, 1, 1)}
+    assert marts.mart_cohort_retention(df).count() == 2

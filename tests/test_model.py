@@ -100,9 +100,10 @@ def test_a_single_cycle_never_lapses(spark):
 
 
 def test_amounts_have_a_floor_and_round_half_up(spark):
-    df = spark.createDataFrame([(5.35, 2), (0.0, 1), (10.01, 2), (20.0, 3)], "spend double, n int")
-    got = [r[0] for r in df.select(scores.billing_amount(F.col("spend"), F.col("n"))).collect()]
-    assert got == [5.0, 5.0, 5.01, 6.67]
+    averages = [(2.675,), (0.0,), (80.125,), (20.0 / 3,), (125.0,), (None,)]
+    df = spark.createDataFrame(averages, "average double")
+    got = [r[0] for r in df.select(scores.billing_amount(F.col("average"))).collect()]
+    assert got == [5.0, 5.0, 80.13, 6.67, 125.0, 5.0]
 
 
 def test_cadence_rounds_half_to_even_inside_its_range(spark):

@@ -7,7 +7,7 @@ import pytest
 
 from subledger.operators.quality import QualityFailure
 from subledger.plans import pipeline
-from subledger.schemas import RAW_SCHEMAS, TIMESTAMP_COLUMNS
+from subledger.schemas import RAW_SCHEMAS, TIMESTAMP_COLUMNS, fields
 from subledger.sources import contract, files, shared_folder, star_schema
 from subledger.sources.files import RawFile
 
@@ -47,6 +47,60 @@ def test_partitioned_bronze(spark, tmp_path):
     assert (tmp_path / "t" / "k=a").is_dir()
 
 
+LAYOUT = "order_id string, n int, value double, day date, at timestamp"
+
+
+def csv_of(tmp_path, text):
+    path = tmp_path / "given.csv"
+    path.write_text(text)
+    return str(path)
+
+
+def test_columns_are_known_by_name(spark, tmp_path):
+    path = csv_of(tmp_path, "value,note,day,at,order_id,n\n10.5,hi,2020-01-02,2020-01-02 03:04:05,a,3.0\n,,,oops,,\n")
+    df = files.csv_scan(spark, path, LAYOUT)
+    assert df.columns == ["value", "note", "day", "at", "order_id", "n"]
+    first, second = df.collect()
+    assert (first.order_id, first.n, first.value, first.note) == ("a", 3, 10.5, "hi")
+    assert (first.day, first["at"]) == (datetime(2020, 1, 2).date(), datetime(2020, 1, 2, 3, 4, 5))
+    assert list(second) == [None] * 6
+
+
+def test_missing_columns_and_bad_numbers_stop_the_scan(spark, tmp_path):
+    with pytest.raises(contract.MissingSources, match="order_id"):
+        files.csv_scan(spark, csv_of(tmp_path, "id,n,value,day,at\n"), LAYOUT)
+    for row in ("a,1,\"1.234,50\",,", "a,1.5,1,,", "a,x,1,,", "a,1,1,02.01.2020,"):
+        with pytest.raises(Exception, match="USER_RAISED_EXCEPTION|no (int|double|date)"):
+            files.csv_scan(spark, csv_of(tmp_path, f"order_id,n,value,day,at\n{row}\n"), LAYOUT).collect()
+
+
+def test_nothing_is_written_when_a_source_is_missing(spark, tmp_path):
+    out = tmp_path / "out"
+    with pytest.raises(contract.MissingSources, match="products"):
+        pipeline.run(spark, {}, str(out))
+    given = {}
+    for name, layout in RAW_SCHEMAS.items():
+        header = ",".join(column for column, _ in fields(layout)) or "a"
+        path = tmp_path / f"{name}.csv"
+        path.write_text(header.replace("customer_unique_id,", "") + "\n")
+        given[name] = RawFile(str(path), (), layout or None)
+    with pytest.raises(contract.MissingSources, match="customers: customer_unique_id$"):
+        pipeline.run(spark, given, str(out))
+    given["reviews"] = RawFile(str(tmp_path / "nowhere.csv"))
+    with pytest.raises(contract.MissingSources, match="reviews: \\*"):
+        pipeline.run(spark, given, str(out))
+    assert not out.exists()
+
+
+def test_other_time_zones_are_refused(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        with pytest.raises(ValueError, match="Berlin"):
+            pipeline.run(spark, {}, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_contract_names_what_is_missing(spark):
     raw = dict(star_schema.raw_tables(spark, SF))
     contract.require_sources(raw)
@@ -109,7 +163,7 @@ def test_whole_pipeline_from_csv(spark, tmp_path):
     assert (record.real_orders, record.synthetic_subscribers, record.synthetic_billing_cycles) == (15000, 445, 1955)
     assert (record.best_segment, record.worst_segment) == ("value_4", "value_1")
     assert tables["mart_cohort_retention"].count() == 352
-    assert tables["mart_marketing_efficiency"].count() == 1882
+    assert tables["mart_marketing_efficiency"].count() == 2050
     report = tables["quality_report"].collect()
     assert len(report) == 16 and all(r.passed for r in report)
     assert [r.passed for r in tables["metric_gates"].collect()] == [1, 1, 1]
