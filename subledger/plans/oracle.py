@@ -162,8 +162,8 @@ def _retention(cycles: str, key: str, out: str) -> str:
   group by {key}, cycle_number
 ), {out} as (
   select shown.{key}, shown.cycle_number, started.n as cohort_size,
-         ifnull(kept.n, 0) as retained_subscribers,
-         round(ifnull(kept.n, 0) / started.n, 4) as retention_rate
+         coalesce(kept.n, 0) as retained_subscribers,
+         round(coalesce(kept.n, 0) / started.n, 4) as retention_rate
   from (select distinct {key}, cycle_number from {cycles}) shown
   join {out}_active started on started.{key} = shown.{key} and started.cycle_number = 1
   left join {out}_active kept on kept.{key} = shown.{key} and kept.cycle_number = shown.cycle_number
@@ -184,7 +184,7 @@ def _segments(cycles: str, out: str) -> str:
     return f"""
 {out} as (
   select *, retained_subscribers::double / cohort_size as retention_rate
-  from (select value_segment, len(list_distinct(list(subscription_id) filter (where cycle_number = 1))) as cohort_size,
+  from (select value_segment, count(distinct subscription_id) filter (where cycle_number = 1) as cohort_size,
                count(*) filter (where cycle_number = 3) as retained_subscribers
         from (select distinct value_segment, cycle_number, subscription_id
               from {cycles} where renewed = 1) active
@@ -336,11 +336,12 @@ items as (
     "facts": (("r_orders", "r_customers", "pay", "items"), """
 facts as (
   select order_id, customer_unique_id, customer_state, order_status, order_purchase_timestamp,
-         make_date(year(order_purchase_timestamp), month(order_purchase_timestamp), 1) as order_month,
-         ifnull(payment_value, 0) as payment_value, ifnull(item_count, 0) as item_count,
-         ifnull(item_revenue, 0) as item_revenue, ifnull(freight_value, 0) as freight_value
-  from r_customers join r_orders using (customer_id)
-  left join (select * from pay full join items using (order_id)) sums using (order_id)
+         cast(date_trunc('month', order_purchase_timestamp) as date) as order_month,
+         coalesce(payment_value, 0) as payment_value, coalesce(item_count, 0) as item_count,
+         coalesce(item_revenue, 0) as item_revenue, coalesce(freight_value, 0) as freight_value
+  from r_orders join r_customers using (customer_id)
+  left join pay using (order_id)
+  left join items using (order_id)
 )"""),
     "revenue": (("facts",), f"""
 revenue as (
@@ -388,7 +389,7 @@ efficiency as (
     "segment_mart": (("cycles",), _retention("cycles", "value_segment", "segment_mart")),
     "cohort_base": (("cycles",), """
 cohort_base as (
-  select subscription_id, cycle_number, renewed, make_date(year(first_bill), month(first_bill), 1) as cohort_month
+  select subscription_id, cycle_number, renewed, cast(date_trunc('month', first_bill) as date) as cohort_month
   from cycles
   join (select subscription_id, min(billing_date) as first_bill from cycles group by subscription_id) started
     using (subscription_id)
@@ -402,7 +403,7 @@ cohort_sizes as (
     "kpis": (("by_sub",), """
 kpis as (
   select count(*) as synthetic_subscribers,
-         count(*) filter (where churned = 0) as active_subscriptions,
+         sum(case when churned = 0 then 1 else 0 end)::bigint as active_subscriptions,
          round(avg(churned), 4) as churn_rate,
          round(cast(sum(ltv_cents) as bigint) / 100.0::double / count(*), 2) as avg_ltv_brl,
          round(cast(sum(ltv_cents) as bigint) / 100.0::double, 2) as synthetic_recurring_revenue_brl,
@@ -413,7 +414,7 @@ kpis as (
 ltv as (
   select subscription_id, customer_unique_id, min(value_segment) as value_segment,
          {double_of('sum('+exact('billing_amount')+')')} as synthetic_ltv_brl,
-         count(*) filter (where renewed = 1) as active_cycles, max(churned_this_cycle) as churned
+         sum(renewed)::bigint as active_cycles, max(churned_this_cycle) as churned
   from cycles group by subscription_id, customer_unique_id
 )"""),
     "person_facts": (("facts",), f"""
@@ -701,10 +702,9 @@ def oracle_sql() -> dict[str, str]:
         "segment_retention_cycle3": sql("select * from segments", "segments"),
         "retention_spread": sql("select * from spread", "spread"),
         "retention_spread_sql": sql(
-            "select top as highest_retention, bottom as lowest_retention,"
-            " (top - bottom) * 100 as spread_percentage_points"
-            " from (select max(retention_rate) as top, min(retention_rate) as bottom"
-            " from segment_mart where cycle_number = 3) ends",
+            "select max(retention_rate) as highest_retention, min(retention_rate) as lowest_retention,"
+            " (max(retention_rate) - min(retention_rate)) * 100 as spread_percentage_points"
+            " from segment_mart where cycle_number = 3",
             "segment_mart",
         ),
         "churn_rate": sql("select avg(churned) as churn_rate from by_sub", "by_sub"),
