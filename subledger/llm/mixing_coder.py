@@ -27,8 +27,8 @@ from subledger.sources.shared_folder import new_path, staged
 
 MAGIC = b"MXR1"
 HEADER = struct.Struct("<4sIIIII")  # magic, ids, lanes, vocabulary, checksum of the ids, documents
-BLOCK_IDS = 1 << 20
-LANES, LEAST_STEPS = 4096, 256
+BLOCK_IDS = 1 << 21
+LANES, LEAST_STEPS = 8192, 256
 TOTAL_BITS = 24  # resolution of a step's distribution
 ORDER0_BITS = 20
 REBUILD = 8  # steps between new order-0 tables
