@@ -230,6 +230,9 @@ def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that reach the threshold, decided on the whole sets."""
+    if pairs.count() * 16 <= KEY_BROADCAST:  # spares the sets of no pair a shuffle
+        named = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        sets = sets.join(F.broadcast(named), "name", "left_semi")
     with_a = pairs.join(sets.select(F.col("name").alias("a"), F.col("grams").alias("of_a")), "a")
     both = with_a.join(sets.select(F.col("name").alias("b"), F.col("grams").alias("of_b")), "b")
 
