@@ -302,18 +302,19 @@ def _outsiders(marked: DataFrame) -> DataFrame:
     )
 
 
-def linked(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that join the components of sets (name, grams), and no others.
+def grouped(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node, label: the component of each set (name, grams) that any link reaches.
 
-    Pairs within a component that other links have joined already may be left out.
+    Pairs within a component that other links have joined already need not be tried. Each
+    round's links join the components so far, which stand as one edge a set.
     """
     entries = staged(_prefixes(sets, percent).withColumn("label", F.col("name")), "prefixes")
     budget = PAIRS_PER_ENTRY * entries.count()
     tried = staged(_candidates(_heads(entries, 0), entries, percent), "pairs")
-    links = staged(_verified(tried, sets, percent), "links")
+    labels = staged(components(staged(_verified(tried, sets, percent), "links")), "labels")
     for turn in range(1, TURNS + 1):
-        labels = staged(components(links), "labels").withColumnRenamed("node", "name").withColumnRenamed("label", "new")
-        marked = entries.join(labels, "name", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+        known = labels.select(F.col("node").alias("name"), F.col("label").alias("new"))
+        marked = entries.join(known, "name", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
         marked = staged(marked, "labelled")
         outside = staged(_outsiders(marked), "open_grams")
         left = outside.agg(F.sum(F.col("sets").cast("double") * F.col("outside"))).first()[0]
@@ -325,12 +326,14 @@ def linked(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         pairs = _candidates(some, entries, percent).join(tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         found = staged(_verified(pairs, sets, percent), "links")
-        links = staged(links.unionByName(found), "all_links")
+        if not found.isEmpty():
+            so_far = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+            labels = staged(components(so_far.unionByName(found)), "labels")
         if final:  # every pair of different components has been tried
             break
         tried = staged(tried.unionByName(pairs), "tried")
         entries = entries.drop("main")
-    return links
+    return labels
 
 
 def classes(df: DataFrame, n: int = N, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -363,7 +366,7 @@ def classes(df: DataFrame, n: int = N, percent: int = PERCENT, key: str = "doc_i
     match = [F.col(f"d.{c}").eqNullSafe(F.col(f"c.{c}")) for c in ("doc", "version")]
     texts = docs.alias("d").join(chosen.alias("c"), match).select("c.name", "d.text")
     sets = staged(_sets(texts.dropDuplicates(["name"]), n), "grams")
-    labels = staged(components(linked(sets, percent)), "components")
+    labels = grouped(sets, percent)
     last = F.lit((1 << 63) - 1)
     out = rows.join(labels.withColumnRenamed("node", "name"), "name", "left")
     out = out.withColumn("label", F.coalesce("label", "name"))
