@@ -2,21 +2,25 @@
 
 The built-in ``percentile`` keeps one map of all distinct values in a single
 reducer.  Spend totals are nearly all distinct, so that map grows with the number
-of customers.  Here the wanted ranks are located by two counting passes: over the
-values without their low 20 bits, then, only inside the slices that hold a wanted
-rank, over those 20 bits.  Both passes are partial aggregations.  One task orders the
-slice counts of a pass: at most 2**20 per rank in the second pass, and in the first
-as many as there are different totals of about ten thousand whole currency units.
+of customers.  Here the wanted ranks are narrowed down by levels of sixteen bits:
+every level counts the values within the slices that hold a wanted rank, by their
+next bits, so a level yields at most 2**16 counts per slice, whatever the amounts.
+Four levels cover all of a 64-bit integer; the first starts at the bits in which the
+least and the greatest value differ, so amounts of ordinary size need one or two.
 """
 
 from collections.abc import Sequence
+from functools import reduce
+from math import ceil, floor
+from operator import or_
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subledger.functions.money import CENTS, to_units
 
-LOW_BITS = 20
+LEVEL_BITS = 16
 
 
 def exact_quantiles(
@@ -25,52 +29,54 @@ def exact_quantiles(
     """One row ``q1, q2, …``: linearly interpolated quantiles; NULL when there is no value.
 
     ``column`` holds amounts in whole 10**-scale units.  ``df`` is scanned once per
-    pass, so hand in a written table rather than a long lineage.
+    level and once for the range, so hand in a written table rather than a long lineage.
     """
     values = df.select(to_units(column, scale).alias("v")).filter("v is not null")
-    ranks = _locate_value(values, _locate_slice(values, probabilities))
-    by_probability = ranks.groupBy("p", "position").agg(
-        F.expr(f"min(v) / {float(10**scale)}D").alias("low"),
-        F.expr(f"max(v) / {float(10**scale)}D").alias("high"),
-    )
-    interpolated = "low + (high - low) * (position - floor(position))"
-    return by_probability.agg(
-        *[
-            F.expr(f"max({interpolated}) filter (where p = {float(p)}D)").alias(f"q{i}")
-            for i, p in enumerate(probabilities, start=1)
-        ]
-    )
-
+    low, high, total = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    places = [(total - 1) * p for p in probabilities]
+    at = _values_at(values, low, high, {f(x) for x in places for f in (floor, ceil)}) if total else {}
+    row = []
+    for place in places:
+        if not total:
+            row.append(None)
+            continue
+        below, above = (at[f(place)] / float(10**scale) for f in (floor, ceil))
+        row.append(below + (above - below) * (place - floor(place)))
+    names = ", ".join(f"q{i} double" for i in range(1, len(row) + 1))
+    return df.sparkSession.createDataFrame([tuple(row)], names)
 
-def _locate_slice(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:
-    """The slice that holds each wanted rank, and the rank within that slice."""
-    counts = values.groupBy(F.shiftright("v", LOW_BITS).alias("slice")).agg(F.count("*").alias("n"))
-    wanted = ", ".join(f"{float(p)}D" for p in probabilities)
-    return (
-        counts.selectExpr(
-            "slice",
-            "sum(n) over (order by slice) - n as before",
-            "sum(n) over (order by slice) as through",
-            "sum(n) over (order by slice rows between unbounded preceding and unbounded following)"
-            " as total",
-        )
-        .selectExpr("*", f"explode(array({wanted})) as p")
-        .selectExpr("slice", "before", "through", "p", "(total - 1) * p as position")
-        .selectExpr("*", "explode(array_distinct(array(floor(position), ceil(position)))) as rank")
-        .filter("rank >= before and rank < through")
-        .selectExpr("slice", "p", "position", "rank - before as rank")
-    )
 
+def _values_at(values: DataFrame, low: int, high: int, ranks: set[int]) -> dict[int, int]:
+    """The value at each rank, counted from 0; one row per rank and level comes back.
 
-def _locate_value(values: DataFrame, ranks: DataFrame) -> DataFrame:
-    """The value at each wanted rank, counting only the slices that hold one."""
-    return (
-        values.withColumn("slice", F.shiftright("v", LOW_BITS))
-        # two rows per asked-for probability, whatever the data
-        .join(F.broadcast(ranks), "slice")
-        .groupBy("p", "position", "slice", "rank", "v")
-        .agg(F.count("*").alias("n"))
-        .selectExpr("*", "sum(n) over (partition by p, slice, rank order by v) as through")
-        .filter("rank >= through - n and rank < through")
-        .select("p", "position", "v")
-    )
+    A prefix is a value's distance from the least one without its last ``bits`` bits; of
+    each open prefix it is known how many values come before it.
+    """
+    distance = F.col("v") - F.lit(low)
+    bits = (high - low).bit_length()
+    found = {rank: (0, 0) for rank in ranks}  # prefix, values before it
+    while bits:
+        step = min(LEVEL_BITS, bits)
+        prefixes = sorted({prefix for prefix, _ in found.values()})
+        inside = values.filter(F.shiftright(distance, bits).isin(prefixes))
+        bits -= step
+        counts = inside.groupBy(F.shiftright(distance, bits).alias("part")).agg(F.count("*").alias("n"))
+        # at most 2**16 counts in a window
+        through = F.sum("n").over(W.partitionBy("prefix").orderBy("part"))
+        counts = counts.withColumn("prefix", F.shiftright("part", step)).withColumn("through", through)
+        wanted = [
+            (F.col("prefix") == prefix)
+            & (F.col("through") > rank - before)
+            & (F.col("through") - F.col("n") <= rank - before)
+            for rank, (prefix, before) in found.items()
+        ]
+        hits = counts.filter(reduce(or_, wanted)).select("prefix", "part", "n", "through").collect()
+        found = {
+            rank: next(
+                (hit.part, before + hit.through - hit.n)
+                for hit in hits
+                if hit.prefix == prefix and hit.through - hit.n <= rank - before < hit.through
+            )
+            for rank, (prefix, before) in found.items()
+        }
+    return {rank: low + prefix for rank, (prefix, _) in found.items()}
