@@ -42,8 +42,8 @@ def exact_quantiles(
             continue
         below, above = (at[f(place)] / float(10**scale) for f in (floor, ceil))
         row.append(below + (above - below) * (place - floor(place)))
-    names = ", ".join(f"q{i} double" for i in range(1, len(row) + 1))
-    return df.sparkSession.createDataFrame([tuple(row)], names)
+    constants = [F.lit(value).cast("double").alias(f"q{i}") for i, value in enumerate(row, start=1)]
+    return df.sparkSession.range(1).select(*constants)
 
 
 def _values_at(values: DataFrame, low: int, high: int, ranks: set[int]) -> dict[int, int]:
