@@ -5,6 +5,7 @@ re-read, not a recomputation, and the file sizes tell the planner how large the
 table really is before it chooses a join.
 """
 
+import re
 import tempfile
 import uuid
 
@@ -18,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # nor local-cluster
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
