@@ -1,14 +1,20 @@
-"""Benchmark passages in documents: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark passages in documents: rare seeds, then Smith-Waterman alignment.
 
-An item's seeds are the rarest half of its n-grams, counted over all documents; a passage
-that very many documents hold keeps seeds all the same, as rarity is judged within an item.
-Where seeds of one item lie close together in a document, the words there are aligned with
-the item's: a match adds 2, a change or a gap takes 1. The best local score, as a share of
-the score of the item with itself, says how much of it the document holds, edited or not.
+A match adds 2, a changed, added or missing word takes 1. The best local score, as a share of
+the score of the item with itself, says how much of it the document holds, edited or not. An
+alignment is a leak from ``LEAK`` on.
+
+Seeds are pairs of neighbouring words. An alignment with few enough edits for its score has a
+least number of intact pairs, in a bounded number of words (``demands``). An item leaves out
+its commonest pairs, but so few that ``AGREEING`` of the intact ones are always seeds. Where
+seeds lie close enough together, a bound on the score is taken from the words the item has,
+and what can reach the score is aligned. So no alignment from ``LEAK`` on is passed over.
+Items too short for that have single words for seeds.
 
 Items are sent to the tasks in batches of bounded size, each of which meets all documents.
 """
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,9 +28,8 @@ from subledger.llm.batches import added, with_column
 from subledger.llm.text import ALPHANUMERIC, documents, grams, slices, span_hashes, words_of
 from subledger.sources.shared_folder import staged
 
-N = 3
-LEAST_SEEDS = 8  # an item keeps at least so many of its n-grams
-AGREEING = 2  # seeds that propose an alignment
+N = 3  # least words of an item
+AGREEING = 2  # seeds that propose an alignment, or all that one surely has if those are fewer
 LEAK = 0.6  # share of an item's own score
 ITEM_BATCH = 8192
 FILTER_BITS = 20
@@ -33,18 +38,43 @@ FILTER_BITS = 20
 class Items(NamedTuple):
     ids: list
     words: list[np.ndarray]  # hashes
-    seeds: np.ndarray  # ascending n-gram hashes
-    bounds: np.ndarray  # of each seed's places
-    places: np.ndarray  # item, first word
+    widths: np.ndarray  # words of each item's seeds
+    agreeing: np.ndarray  # seeds of each item that an alignment surely has
+    spans: np.ndarray  # words of a document that an alignment takes at most
+    seeds: np.ndarray  # ascending hashes
+    bounds: np.ndarray  # of each seed's owners
+    owners: np.ndarray  # items
+    times: np.ndarray  # how often an owner has the seed
     filter: np.ndarray
 
-    def hits(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of seeds, and which seeds."""
-        near = np.flatnonzero(self.filter[(values & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
-        at = np.searchsorted(self.seeds, values[near])
-        at[at == len(self.seeds)] = 0
-        true = self.seeds[at] == values[near]
-        return near[true], at[true]
+    def hits(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and positions of seeds in the words of a slice, and which seeds."""
+        found = []
+        for width in np.unique(self.widths[self.owners]).tolist():
+            values = grams(hashes, width)
+            near = np.flatnonzero(self.filter[(values & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
+            at = np.searchsorted(self.seeds, values[near])
+            at[at == len(self.seeds)] = 0
+            true = self.seeds[at] == values[near]
+            where, at = near[true], at[true]
+            row = np.searchsorted(rows, where, side="right") - 1
+            inside = where + width <= rows[row + 1]
+            found.append((row[inside], where[inside], at[inside]))
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, np.int64),) * 3
+
+
+def demands(length: int, least: float) -> tuple[int, int, int]:
+    """Words of a seed, seeds an alignment surely has, and words of a document it takes at most.
+
+    Of m matches and e edits the score is 2 m - e. The matches form at most e + 1 runs, so at
+    least m - e - 1 pairs are intact: the score less m, less 1. The alignment takes at most
+    m + e words, three times m less the score. m is at most the length.
+    """
+    score = max(1, math.ceil(2 * length * least - 1e-6))
+    pairs = score - length - 1
+    if pairs >= 1:
+        return 2, pairs, 3 * length - score
+    return 1, -(-score // 2), 3 * length - score
 
 
 def lower_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -54,19 +84,32 @@ def lower_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         yield part.first, span_hashes(part.data, words.starts, words.ends), words.rows
 
 
-def items_of(ids: list, texts: pa.Array, chosen: set[int] | None = None) -> Items:
-    """Items under their n-grams, or under the chosen ones; those under N words have none."""
+def items_of(ids: list, texts: pa.Array, least: float) -> Items:
+    """Items under all their seeds; those under N words have none."""
     words: list[np.ndarray] = []
     for _, hashes, rows in lower_slices(texts):
         words += [hashes[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)]
-    found = [(int(g), i, k) for i, w in enumerate(words) for k, g in enumerate(grams(w, N))]
-    found = sorted(f for f in found if chosen is None or (f[1], f[2]) in chosen)
-    every = np.array([f[0] for f in found], dtype=np.uint64)
-    seeds, first = np.unique(every, return_index=True)
+    asked = np.array([demands(len(w), least) for w in words], dtype=np.int64).reshape(-1, 3)
+    sure = np.minimum(asked[:, 1], AGREEING)
+    every, owners, times = [np.empty(0, np.uint64)], [], []
+    for i, w in enumerate(words):
+        if len(w) >= N:
+            own, n = np.unique(grams(w, int(asked[i, 0])), return_counts=True)
+            every.append(own)
+            owners += [i] * len(own)
+            times += n.tolist()
+    none = Items(ids, words, asked[:, 0], sure, asked[:, 2], *[np.empty(0, np.int64)] * 5)
+    return under(none, np.concatenate(every), np.array(owners, np.int64), np.array(times, np.int64))
+
+
+def under(items: Items, every: np.ndarray, owners: np.ndarray, times: np.ndarray) -> Items:
+    """The items under these seeds."""
+    order = np.argsort(every, kind="stable")
+    seeds, first = np.unique(every[order], return_index=True)
     near = np.zeros(1 << FILTER_BITS, dtype=bool)
     near[(seeds & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-    places = np.array([f[1:] for f in found], dtype=np.int64).reshape(-1, 2)
-    return Items(ids, words, seeds, np.append(first, len(found)), places, near)
+    bounds = np.append(first, len(every))
+    return items._replace(seeds=seeds, bounds=bounds, owners=owners[order], times=times[order], filter=near)
 
 
 def seed_counts(docs: DataFrame, items: Items) -> np.ndarray:
@@ -76,10 +119,8 @@ def seed_counts(docs: DataFrame, items: Items) -> np.ndarray:
         for batch in batches:
             total = np.zeros(len(items.seeds), dtype=np.int64)
             for _, hashes, rows in lower_slices(batch.column(0)):
-                where, which = items.hits(grams(hashes, N))
-                row = np.searchsorted(rows, where, side="right")
-                inside = where + N <= rows[np.minimum(row, len(rows) - 1)]
-                pairs = np.unique(row[inside] * len(items.seeds) + which[inside])
+                row, _, which = items.hits(hashes, rows)
+                pairs = np.unique(row * len(items.seeds) + which)
                 total += np.bincount(pairs % len(items.seeds), minlength=len(items.seeds))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
@@ -92,17 +133,20 @@ def seed_counts(docs: DataFrame, items: Items) -> np.ndarray:
     return counts
 
 
-def rarest(items: Items, counts: np.ndarray) -> set[tuple[int, int]]:
-    """Item and place of the seeds each item keeps."""
-    per_item: dict[int, list[tuple[int, int]]] = {}
-    for s in range(len(items.seeds)):
-        for item, k in items.places[items.bounds[s] : items.bounds[s + 1]].tolist():
-            per_item.setdefault(item, []).append((int(counts[s]), k))
-    return {
-        (item, k)
-        for item, found in per_item.items()
-        for _, k in sorted(found)[: max(LEAST_SEEDS, (len(found) + 1) // 2)]
-    }
+def rarest(items: Items, counts: np.ndarray, least: float) -> Items:
+    """The items without their commonest seeds; enough stay for all alignments to be proposed.
+
+    What occurs nowhere takes no place of what does: it is the number left out that is bounded.
+    """
+    which = np.repeat(np.arange(len(items.seeds)), np.diff(items.bounds))
+    spare = [demands(len(w), least)[1] - int(n) for w, n in zip(items.words, items.agreeing, strict=True)]
+    stay = counts[which] > 0
+    for at in np.lexsort((-counts[which], items.owners)).tolist():
+        owner, n = int(items.owners[at]), int(items.times[at])
+        if n <= spare[owner]:
+            spare[owner] -= n
+            stay[at] = False
+    return under(items, items.seeds[which[stay]], items.owners[stay], items.times[stay])
 
 
 def local_score(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -120,41 +164,59 @@ def local_score(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def aligned(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
-    """Share of the item's own score, and the bounds of the aligned words."""
+def aligned(item: np.ndarray, words: np.ndarray, least: float) -> tuple[float, int, int]:
+    """Share of the item's own score, and the bounds of the aligned words if it is enough."""
     best, end = local_score(item, words)
-    if not best:
+    if best / (2 * len(item)) < least:
         return 0.0, 0, 0
     back, length = local_score(item[::-1], words[:end][::-1])
     return best / (2 * len(item)), end - length, end
 
 
+def regions(items: Items, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Row, item and word bounds of all parts of a slice where an alignment can be."""
+    row, where, which = items.hits(hashes, rows)
+    many = np.diff(items.bounds)[which]
+    at = np.repeat(items.bounds[which] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    item, row, where = items.owners[at], np.repeat(row, many), np.repeat(where, many)
+    key = row * len(items.words) + item
+    order = np.lexsort((where, key))
+    key, item, row, where = key[order], item[order], row[order], where[order]
+    last = np.arange(len(key)) + items.agreeing[item] - 1
+    there = last < len(key)
+    last[~there] = 0
+    end = where[last] + items.widths[item]
+    there &= (key[last] == key) & (end - where <= items.spans[item])
+    key, item, row = key[there], item[there], row[there]
+    low = np.maximum(rows[row], end[there] - items.spans[item])
+    high = np.minimum(rows[row + 1], where[there] + items.spans[item])
+    opens = np.ones(len(key), dtype=bool)
+    opens[1:] = (key[1:] != key[:-1]) | (low[1:] > high[:-1])
+    firsts = np.flatnonzero(opens)
+    closes = np.append(firsts[1:], len(key))[: len(firsts)] - 1
+    yield from zip(row[firsts].tolist(), item[firsts].tolist(), low[firsts].tolist(), high[closes].tolist(), strict=True)
+
+
+def most(own: np.ndarray, words: np.ndarray) -> int:
+    """No local alignment scores more: words that the item lacks take 1 each."""
+    at = np.searchsorted(own, words)
+    at[at == len(own)] = 0
+    total = np.zeros(len(words) + 1, dtype=np.int64)
+    np.cumsum(np.where(own[at] == words, 2, -1), out=total[1:])
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 def leaks_of(items: Items, hashes: np.ndarray, rows: np.ndarray, least: float) -> dict[int, list]:
     """By row of a slice: item, score, first and last word bound of its best alignment."""
-    where, which = items.hits(grams(hashes, N))
-    if not len(where):
-        return {}
-    times = np.diff(items.bounds)[which]
-    place = items.places[np.repeat(items.bounds[which] - np.cumsum(times) + times, times) + np.arange(times.sum())]
-    where = np.repeat(where, times)
-    row = np.searchsorted(rows, where, side="right") - 1
-    inside = where + N <= rows[row + 1]
-    row, item, diagonal, seed = row[inside], place[inside, 0], (where - place[:, 1])[inside], place[inside, 1]
-    order = np.lexsort((diagonal, item, row))
-    row, item, diagonal, seed = row[order], item[order], diagonal[order], seed[order]
-    sizes = np.array([len(w) for w in items.words])
-    opens = np.ones(len(row), dtype=bool)
-    opens[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > sizes[item[1:]])
-    firsts = np.flatnonzero(opens)
     out: dict[int, dict] = {}
-    for a, b in zip(firsts.tolist(), np.append(firsts[1:], len(row)).tolist(), strict=True):
-        i, r = int(item[a]), int(row[a])
+    known: dict[int, np.ndarray] = {}
+    for r, i, low, high in regions(items, hashes, rows):
         own = items.words[i]
-        if len(np.unique(seed[a:b])) < min(AGREEING, max(1, len(own) - N + 1)):
+        if i not in known:
+            known[i] = np.unique(own)
+        if most(known[i], hashes[low:high]) / (2 * len(own)) < least:
             continue
-        low = max(int(rows[r]), int(diagonal[a]) - len(own) // 2)
-        high = min(int(rows[r + 1]), int(diagonal[b - 1]) + len(own) + len(own) // 2)
-        score, first, last = aligned(own, hashes[low:high])
+        score, first, last = aligned(own, hashes[low:high], least)
         if score >= least:
             begin = low - int(rows[r])
             held = out.setdefault(r, {}).get(i)
@@ -177,9 +239,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK, text:
     for b in range(n_batches):
         some = items.where(F.pmod(F.xxhash64("row"), F.lit(n_batches)) == b).orderBy("row").toArrow()
         ids, texts = some["item_id"].to_pylist(), some["text"].combine_chunks()
-        whole = items_of(ids, texts)
+        whole = items_of(ids, texts, least)
         counts = seed_counts(docs.select(docs[text].alias("text")), whole)
-        every.append(items_of(ids, texts, rarest(whole, counts)))
+        every.append(rarest(whole, counts, least))
     kind = "array<struct<item_id:long,score:double,first_word:long,last_word:long>>"
     entry = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
     out, names = docs, []
