@@ -2,13 +2,15 @@
 
 A match adds 2, a changed, added or missing word takes 1. The best local score, as a share of
 the score of the item with itself, says how much of it the document holds, edited or not. An
-alignment is a leak from ``LEAK`` on.
+alignment is a leak from ``LEAK`` on, whatever the item's length also if it scores as much as
+``LONG`` unbroken words: an excerpt of a long item.
 
 Seeds are pairs of neighbouring words. An alignment with few enough edits for its score has a
 least number of intact pairs, in a bounded number of words (``demands``). An item leaves out
 its commonest pairs, but so few that ``AGREEING`` of the intact ones are always seeds. Where
 seeds lie close enough together, a bound on the score is taken from the words the item has,
-and what can reach the score is aligned. So no alignment from ``LEAK`` on is passed over.
+and what can reach the score is aligned. So no alignment from ``LEAK`` on is passed over, and none
+of an excerpt that scores enough and is at ``LEAK`` or more of that part of the item.
 Items too short for that have single words for seeds.
 
 Items are sent to the tasks in batches of bounded size, each of which meets all documents.
@@ -31,6 +33,7 @@ from subledger.sources.shared_folder import staged
 N = 3  # least words of an item
 AGREEING = 2  # seeds that propose an alignment, or all that one surely has if those are fewer
 LEAK = 0.6  # share of an item's own score
+LONG = 25  # words whose score is a leak whatever share of the item they are
 ITEM_BATCH = 8192
 FILTER_BITS = 20
 
@@ -40,6 +43,7 @@ class Items(NamedTuple):
     words: list[np.ndarray]  # hashes
     widths: np.ndarray  # words of each item's seeds
     agreeing: np.ndarray  # seeds of each item that an alignment surely has
+    reaches: np.ndarray  # words of a document that hold so many seeds of it
     spans: np.ndarray  # words of a document that an alignment takes at most
     seeds: np.ndarray  # ascending hashes
     bounds: np.ndarray  # of each seed's owners
@@ -63,18 +67,26 @@ class Items(NamedTuple):
         return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.empty(0, np.int64),) * 3
 
 
-def demands(length: int, least: float) -> tuple[int, int, int]:
-    """Words of a seed, seeds an alignment surely has, and words of a document it takes at most.
+def demands(length: int, least: float) -> tuple[int, int, int, int]:
+    """Words of a seed, seeds an alignment surely has, in how many words, and words it takes at most.
 
     Of m matches and e edits the score is 2 m - e. The matches form at most e + 1 runs, so at
     least m - e - 1 pairs are intact: the score less m, less 1. The alignment takes at most
-    m + e words, three times m less the score. m is at most the length.
+    m + e words, three times m less the score. m is at most the words of the item's part.
+
+    A part that is long enough for ``LONG`` at ``least`` can be cut into pieces that just are;
+    one of them has ``least`` of its own score, and has the seeds.
     """
-    score = max(1, math.ceil(2 * length * least - 1e-6))
-    pairs = score - length - 1
+    own, long = max(1, math.ceil(2 * length * least - 1e-6)), 2 * LONG
+    score, pairs = min(own, long), own - length - 1
+    reach = span = 3 * length - score
+    if own > long:
+        piece = int(long / (2 * least)) + 1
+        pairs = min(pairs, long - piece)
+        reach = min(reach, math.ceil((3 - 2 * least) * (2 * piece - 1)))
     if pairs >= 1:
-        return 2, pairs, 3 * length - score
-    return 1, -(-score // 2), 3 * length - score
+        return 2, pairs, reach, span
+    return 1, -(-score // 2), span, span
 
 
 def lower_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -89,7 +101,7 @@ def items_of(ids: list, texts: pa.Array, least: float) -> Items:
     words: list[np.ndarray] = []
     for _, hashes, rows in lower_slices(texts):
         words += [hashes[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)]
-    asked = np.array([demands(len(w), least) for w in words], dtype=np.int64).reshape(-1, 3)
+    asked = np.array([demands(len(w), least) for w in words], dtype=np.int64).reshape(-1, 4)
     sure = np.minimum(asked[:, 1], AGREEING)
     every, owners, times = [np.empty(0, np.uint64)], [], []
     for i, w in enumerate(words):
@@ -98,7 +110,7 @@ def items_of(ids: list, texts: pa.Array, least: float) -> Items:
             every.append(own)
             owners += [i] * len(own)
             times += n.tolist()
-    none = Items(ids, words, asked[:, 0], sure, asked[:, 2], *[np.empty(0, np.int64)] * 5)
+    none = Items(ids, words, asked[:, 0], sure, asked[:, 2], asked[:, 3], *[np.empty(0, np.int64)] * 5)
     return under(none, np.concatenate(every), np.array(owners, np.int64), np.array(times, np.int64))
 
 
@@ -186,7 +198,7 @@ def regions(items: Items, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tupl
     there = last < len(key)
     last[~there] = 0
     end = where[last] + items.widths[item]
-    there &= (key[last] == key) & (end - where <= items.spans[item])
+    there &= (key[last] == key) & (end - where <= items.reaches[item])
     key, item, row = key[there], item[there], row[there]
     low = np.maximum(rows[row], end[there] - items.spans[item])
     high = np.minimum(rows[row + 1], where[there] + items.spans[item])
@@ -214,10 +226,11 @@ def leaks_of(items: Items, hashes: np.ndarray, rows: np.ndarray, least: float) -
         own = items.words[i]
         if i not in known:
             known[i] = np.unique(own)
-        if most(known[i], hashes[low:high]) / (2 * len(own)) < least:
+        enough = min(least, LONG / len(own))
+        if most(known[i], hashes[low:high]) / (2 * len(own)) < enough:
             continue
-        score, first, last = aligned(own, hashes[low:high], least)
-        if score >= least:
+        score, first, last = aligned(own, hashes[low:high], enough)
+        if score >= enough:
             begin = low - int(rows[r])
             held = out.setdefault(r, {}).get(i)
             if held is None or score > held[1]:
@@ -228,7 +241,8 @@ def leaks_of(items: Items, hashes: np.ndarray, rows: np.ndarray, least: float) -
 def with_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK, text: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` and an array of the items each holds.
 
-    An entry has the item's id, the score (0 to 1) and the bounds of the aligned words, of
+    A leak is an alignment with the ``least`` share of the item's own score, or with the score
+    of ``LONG`` unbroken words. An entry has the item's id, the score (0 to 1) and the bounds of the aligned words, of
     lower-cased words of letters and digits. Items that are null or have fewer than three words
     are in no document; items with equal texts are all reported.
     """

@@ -60,3 +60,36 @@ def test_a_word_in_every_few_replaced(spark, pace):
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     for texts in ([" ".join(copy)], [" ".join(copy), " ".join(item)]):
         assert decontamination.clean(documents(spark, texts), bench).count() == 0
+
+
+def test_excerpts_of_long_items(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("the of and".split()) if rng.random() < 0.3 else f"q{rng.randrange(4000)}"
+    items = [" ".join(word() for _ in range(n)) for n in (45, 57, 70, 90, 150, 400)]
+    texts, found = [], {}
+    for n in range(120):
+        own = items[n % len(items)].split()
+        size = rng.randrange(15, min(len(own), 120))
+        at = rng.randrange(len(own) - size)
+        own = own[at : at + size]
+        if n % 2:
+            pace = rng.choice([5, 6, 9])
+            own = [f"n{rng.randrange(1 << 30)}" if k % pace == pace - 1 else w for k, w in enumerate(own)]
+        texts.append(" ".join([word() for _ in range(60)] + own + [word() for _ in range(60)]))
+    own = items[1].split()
+    texts.append(" ".join(own[10:40]))  # 30 words of 57: 0.53
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for r in decontamination.with_leaks(documents(spark, texts), bench).select("doc_id", "leaks").collect():
+        found |= {(r.doc_id, x.item_id): x.score for x in r.leaks}
+    parts = 0
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            own = words(item)
+            best = smith_waterman(own, words(text))
+            leak = best >= min(2 * decontamination.LONG, 2 * len(own) * decontamination.LEAK)
+            parts += leak and best < 2 * len(own) * decontamination.LEAK
+            assert ((d, i) in found) == leak
+            assert not leak or found[d, i] == pytest.approx(best / (2 * len(own)))
+    assert parts > 20
+    assert found[len(texts) - 1, 1] == pytest.approx(30 / 57)
+    assert decontamination.clean(documents(spark, texts[-1:]), bench).count() == 0
