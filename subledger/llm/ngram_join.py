@@ -161,7 +161,7 @@ def _shared_in_bucket(table: pa.Table) -> pa.Table:
             docs = docs[(twice[at] == own) & (docs != SEVERAL)]
             if len(docs):
                 batches.append(number)
-                counts.append(np.bincount(docs).astype(np.uint16).tobytes())
+                counts.append(np.bincount(docs).astype(np.uint32).tobytes())
     return pa.table(
         {
             "batch": pa.concat_arrays([*lists["batch"].chunks, pa.array(batches, pa.int64())]),
@@ -177,7 +177,7 @@ def _shared_in_batch(table: pa.Table) -> pa.Table:
     total = np.array([d["shared"] for d in docs])
     for counts in table["counts"]:
         if counts.is_valid:
-            own = np.frombuffer(counts.as_buffer(), dtype=np.uint16)
+            own = np.frombuffer(counts.as_buffer(), dtype=np.uint32)
             total[: len(own)] += own
     out = {name: [d[name] for d in docs] for name in ("doc", "version", "n", "name")}
     return pa.table(out | {"shared": total}, schema=pa.schema(

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from subledger.llm import ngram_join, substring_dedup
@@ -149,3 +150,16 @@ def test_bounds_never_exceed_the_difference():
         assert ngram_join.suffix_bound(a, b, 3) <= apart
         bits = ngram_join.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).to_pylist()
         assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(*bits, strict=True)) <= apart
+
+
+def test_many_shared_ngrams_in_one_bucket():
+    n = 70_000  # beyond sixteen bits
+    own, who = np.arange(n, dtype=np.uint32).tobytes(), np.zeros(n, np.uint16).tobytes()
+    docs = [[{"doc": d, "version": 1, "n": n, "name": b"s%d" % d, "shared": 0}] for d in (0, 1)]
+    bucket = pa.table(
+        {"batch": [0, 1, 0, 1], "grams": [None, None, own, own], "who": [None, None, who, who], "docs": [*docs, None, None]}
+    )
+    found = ngram_join._shared_in_bucket(bucket)
+    for batch in (0, 1):
+        counted = ngram_join._shared_in_batch(found.filter(pa.array([b == batch for b in found["batch"].to_pylist()])))
+        assert counted["shared"].to_pylist() == [n]
