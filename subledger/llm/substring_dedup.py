@@ -52,6 +52,10 @@ def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
     """Where the least of each ``width`` neighbours is, the first of equal ones."""
+    most = 1 << PLACE_BITS
+    if len(values) > most:  # pieces overlap, so that each window is whole in one
+        begins = range(0, len(values) - width + 1, most - width + 1)
+        return np.concatenate([least_places(values[k : k + most], width) + k for k in begins])
     low = np.uint64((1 << PLACE_BITS) - 1)
     least = (values & ~low) | np.arange(len(values), dtype=np.uint64)
     span = 1

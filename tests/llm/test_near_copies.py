@@ -163,3 +163,12 @@ def test_many_shared_ngrams_in_one_bucket():
     for batch in (0, 1):
         counted = ngram_join._shared_in_batch(found.filter(pa.array([b == batch for b in found["batch"].to_pylist()])))
         assert counted["shared"].to_pylist() == [n]
+
+
+@pytest.mark.parametrize("n", [63, 64, 65, 500])
+def test_anchors_beyond_the_places_that_fit(monkeypatch, n):
+    monkeypatch.setattr(substring_dedup, "PLACE_BITS", 6)
+    values = np.random.default_rng(2).integers(0, 1 << 12, n, dtype=np.uint64)
+    coarse = (values >> np.uint64(6)).tolist()
+    expected = [min(range(k, k + 43), key=lambda i: (coarse[i], i)) for k in range(n - 42)]
+    assert substring_dedup.least_places(values, 43).tolist() == expected
