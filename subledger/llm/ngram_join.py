@@ -16,9 +16,13 @@ linked then is one component, and pairs within it need no verification, as only
 components are asked for. In further rounds a few more sets of each n-gram that still spans
 components meet those of other components. As soon as the pairs that a set outside of its
 n-gram's largest component can form are few for the number of n-grams (or the rounds are
-over), those are tried at once. No link between different components is left out.
+over), those are tried at once. No link between different components is left out. The sets of
+an n-gram of many sets then meet by bands of length, and there in blocks of a bounded number
+of sets, each a join key of its own.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -44,6 +48,7 @@ N, PERCENT = 5, 80
 SEVERAL = 0xFFFF  # an n-gram of several documents of its batch
 PAIRS_PER_ENTRY = 2  # pairs across components are tried at once if they are this few
 TURNS, STARS = 2, 8  # rounds after the first, sets of an n-gram that meet all others in one
+BLOCK = 1024  # about so many sets of either side meet under one key of the last step
 BITS = 512
 ENTRY = ("name", "n", "place", "label", "bits")
 
@@ -266,17 +271,17 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return entries.join(sets.select("name", "bits"), "name")
 
 
-def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs of entries of one n-gram that the length, place and bit filters leave, each once."""
-    a = left.select("gram", *(F.col(c).alias(f"{c}_a") for c in ENTRY))
-    b = right.select("gram", *(F.col(c).alias(f"{c}_b") for c in ENTRY))
+def _candidates(left: DataFrame, right: DataFrame, percent: int, on: tuple[str, ...] = ("gram",)) -> DataFrame:
+    """Pairs of entries of one n-gram (and block) that the length, place and bit filters leave, each once."""
+    a = left.select(*on, *(F.col(c).alias(f"{c}_a") for c in ENTRY))
+    b = right.select(*on, *(F.col(c).alias(f"{c}_b") for c in ENTRY))
     apart = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(BITS // 64)), F.lit(0))
     fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (
         # the shared n-gram and all that can follow it on the shorter side
         F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * (100 + percent)
         >= (F.col("n_a") + F.col("n_b")) * percent
     ) & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
-    pairs = a.join(b, "gram").where((F.col("label_a") != F.col("label_b")) & (F.col("name_a") != F.col("name_b")) & fits)
+    pairs = a.join(b, list(on)).where((F.col("label_a") != F.col("label_b")) & (F.col("name_a") != F.col("name_b")) & fits)
     return pairs.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")).distinct()
 
 
@@ -302,6 +307,23 @@ def _outsiders(marked: DataFrame) -> DataFrame:
     )
 
 
+def _in_blocks(entries: DataFrame, percent: int, outside: bool) -> DataFrame:
+    """Entries of the open n-grams under the bands and blocks in which they meet the others.
+
+    Each set outside the main component meets every set of a length that may fit, once: it goes
+    to the neighbouring bands too, and to one row of blocks, the others to one column.
+    """
+    width = max(math.log(100 / percent) * 1.001, 1e-3)  # lengths that fit are at most one band apart
+    band = F.floor(F.log("n") / width)
+    wide = F.array(band - 1, band, band + 1) if outside else F.array(band)
+    bands = F.when(F.col("sets") > BLOCK, wide).otherwise(F.array(F.lit(0).cast("long")))
+    rows, columns = (F.ceil(F.col(c) / BLOCK) for c in ("outside", "sets"))
+    own = F.pmod(F.xxhash64("name"), rows if outside else columns)
+    others = F.sequence(F.lit(0).cast("long"), (columns if outside else rows) - 1)
+    blocks = F.transform(others, lambda k: own * columns + k if outside else k * columns + own)
+    return entries.withColumn("band", F.explode(bands)).withColumn("block", F.explode(blocks))
+
+
 def grouped(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """node, label: the component of each set (name, grams) that any link reaches.
 
@@ -320,11 +342,14 @@ def grouped(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         left = outside.agg(F.sum(F.col("sets").cast("double") * F.col("outside"))).first()[0]
         if left is None:
             break
-        entries = staged(marked.join(outside.select("gram", "main"), "gram"), "open")
+        entries = staged(marked.join(outside, "gram"), "open")
         final = left <= budget or turn == TURNS
-        some = entries.where("label <> main") if final else _heads(entries, turn)
-        pairs = _candidates(some, entries, percent).join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
+        if final:
+            some, every = _in_blocks(entries.where("label <> main"), percent, True), _in_blocks(entries, percent, False)
+            pairs = _candidates(some, every, percent, ("gram", "band", "block"))
+        else:
+            pairs = _candidates(_heads(entries, turn), entries, percent)
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = staged(_verified(pairs, sets, percent), "links")
         if not found.isEmpty():
             so_far = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
@@ -332,7 +357,7 @@ def grouped(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         if final:  # every pair of different components has been tried
             break
         tried = staged(tried.unionByName(pairs), "tried")
-        entries = entries.drop("main")
+        entries = entries.drop("main", "sets", "outside")
     return labels
 
 

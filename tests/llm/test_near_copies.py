@@ -172,3 +172,30 @@ def test_anchors_beyond_the_places_that_fit(monkeypatch, n):
     coarse = (values >> np.uint64(6)).tolist()
     expected = [min(range(k, k + 43), key=lambda i: (coarse[i], i)) for k in range(n - 42)]
     assert substring_dedup.least_places(values, 43).tolist() == expected
+
+
+def test_last_step_meets_in_blocks(spark, tmp_path, corpus, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "TURNS", 1)
+    monkeypatch.setattr(ngram_join, "STARS", 1)
+    folder = with_tables(spark, tmp_path, documents=documents(spark, corpus).repartition(3))
+    assert sorted(map(tuple, ngram_join.op5_ngram_join(spark, folder).collect())) == joined(corpus)
+
+
+def test_blocks_are_bounded_and_miss_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    lengths = {f"s{k}": 50 + k % 150 for k in range(400)}
+    rows = [(7, name, n, int(name[1:]) < 300, 400, 300) for name, n in lengths.items()]
+    rows += [(8, name, 10, True, 2, 2) for name in ("s0", "s1")]
+    entries = spark.createDataFrame(rows, "gram long, name string, n int, out boolean, sets long, outside long")
+    found = []
+    for outside, some in ((True, entries.where("out")), (False, entries)):
+        under = {}
+        for r in ngram_join._in_blocks(some, 80, outside).collect():
+            under.setdefault((r.gram, r.band, r.block), []).append(r.name)
+        assert max(map(len, under.values())) <= 3 * 20
+        found.append(under)
+    pairs = Counter((k[0], a, b) for k, names in found[0].items() for a in names for b in found[1].get(k, ()))
+    assert set(pairs.values()) == {1}
+    fits = {(7, a, b) for a in lengths if int(a[1:]) < 300 for b in lengths if 5 * min(lengths[a], lengths[b]) >= 4 * max(lengths[a], lengths[b])}
+    assert fits <= pairs.keys() and {(8, a, b) for a in ("s0", "s1") for b in ("s0", "s1")} <= pairs.keys()
