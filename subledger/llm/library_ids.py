@@ -1,5 +1,6 @@
 """Token ids by the tokenizers library, which sees each distinct piece of text once a worker."""
 
+import json
 from functools import cache
 
 import numpy as np
@@ -17,22 +18,35 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(0x100 + others.index(b)) for b in range(256)]
 
 
+def added_tokens(description: dict) -> dict[bytes, int]:
+    """Strings that a tokenizer file takes out of the text before its split, and their ids."""
+    added = description.get("added_tokens") or []
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens that depend on what is around them are not supported")
+    return {t["content"].encode(): t["id"] for t in added}
+
+
 @cache
-def library_cache(path: str) -> PieceCache:
+def library_cache(path: str, special: bool = True) -> PieceCache:
     """Ids of whole texts by a byte-level tokenizer file that every executor can open.
 
     The library's model merges the pieces of its split one by one, so distinct pieces
-    suffice. Special tokens' strings count as text.
+    suffice. Strings of added tokens become their ids, as ``Tokenizer.encode`` has it; without
+    ``special`` they count as text, as if ``encode_special_tokens`` were set.
     """
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path).model
-    letters = dict(enumerate(byte_letters()))
+    tokenizer = Tokenizer.from_file(path)
+    model, letters = tokenizer.model, dict(enumerate(byte_letters()))
+    added = added_tokens(json.loads(tokenizer.to_str())) if special else {}
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
-        return [[t.id for t in model.tokenize(p.decode("latin-1").translate(letters))] for p in pieces]
+        return [
+            [added[p]] if p in added else [t.id for t in model.tokenize(p.decode("latin-1").translate(letters))]
+            for p in pieces
+        ]
 
-    return PieceCache(encode)
+    return PieceCache(encode, whole=tuple(added))
 
 
 def with_end(ids: np.ndarray, rows: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,9 +3,11 @@
 from subledger.llm import (
     byte_bpe,
     decontamination,
+    filter_audit,
     licenses,
     mixing_coder,
     ngram_join,
+    pair_index,
     quality,
     secrets,
     substring_dedup,
@@ -26,6 +28,8 @@ def queries() -> dict:
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_exact_topk": topk.op9_exact_topk,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op13_pair_index_bpe": pair_index.op13_pair_index_bpe,
     }
 
 
@@ -34,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_substring_dedup": substring_dedup.OP2_SQL,
         "op5_ngram_join": ngram_join.OP5_SQL,
         "op9_exact_topk": topk.OP9_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
     }

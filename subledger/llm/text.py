@@ -1,10 +1,12 @@
 """Words and hashes of whole Arrow string columns, by array arithmetic over their bytes.
 
-Hashes are 64-bit polynomials over random byte values, finished by a mixing step. Equal
-words always get equal hashes. Where a collision could change a result, callers compare
-the bytes, or key by two hashes.
+Equal words always get equal hashes. ``word_hashes`` chains eight bytes at a time through a
+mixing step and takes a seed, so two seeds give two independent hashes; ``span_hashes`` are
+64-bit polynomials, which some long words of two letters can be made to share. Where a
+collision could change a result, callers compare the bytes, or use ``word_hashes``.
 """
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -69,6 +71,50 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base=B
     return out
 
 
+#: How many of eight bytes count, as a mask by their number.
+TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+CHAINED = 64  # bytes of a word beyond which a digest of the whole word is taken
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each ``data[start:end]``; words of up to eight bytes and equal length never collide."""
+    at, sizes = eights(data), ends - starts
+    key = _odd(100 + seed)
+    out = mixed(mixed(sizes.astype(np.uint64) ^ key) ^ (at[starts] & TAIL[np.minimum(sizes, 8)]))
+    more, done = np.flatnonzero(sizes > 8), 8
+    while len(more) and done < CHAINED:
+        part = at[starts[more] + done] & TAIL[np.minimum(sizes[more] - done, 8)]
+        out[more] = mixed((out[more] * key) ^ part)
+        done += 8
+        more = more[sizes[more] > done]
+    for i in more.tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key.tobytes())
+        out[i] = np.frombuffer(digest.digest(), dtype=np.uint64)[0]
+    return out
+
+
+def same_spans(one: np.ndarray, starts: np.ndarray, two: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ``one[start:start + size]`` and ``two[other:other + size]`` hold the same bytes."""
+    left, right = eights(one), eights(two)
+    same = ((left[starts] ^ right[others]) & TAIL[np.minimum(sizes, 8)]) == 0
+    more, done = np.flatnonzero(same & (sizes > 8)), 8
+    while len(more) and done < CHAINED:
+        mask = TAIL[np.minimum(sizes[more] - done, 8)]
+        same[more] = ((left[starts[more] + done] ^ right[others[more] + done]) & mask) == 0
+        done += 8
+        more = more[same[more] & (sizes[more] > done)]
+    for i in more.tolist():
+        a, b, n = starts[i], others[i], sizes[i]
+        same[i] = np.array_equal(one[a : a + n], two[b : b + n])
+    return same
+
+
 class Texts(NamedTuple):
     """Rows ``first`` to ``last`` of a batch, as one run of UTF-8 bytes."""
 

@@ -61,7 +61,8 @@ def write_flat(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key="
         for batch in batches:
             key_type = batch.column(0).type
             for texts in slices(batch.column(1)):
-                ids, _ = with_end(*library_cache(tokenizer_path).encoded(texts), end_id)
+                # an added token's string is text here: its id may be the separator
+                ids, _ = with_end(*library_cache(tokenizer_path, special=False).encoded(texts), end_id)
                 held.append(ids)
                 size += len(ids)
                 if out := list(blocks(False)):

@@ -17,6 +17,21 @@ def awkward_texts() -> list[str | None]:
     return [None, "", " ", "\n\n", "one", "one", *texts, long, long, "Ünïcode " * 50, "a" * 3000]
 
 
+def special_texts() -> list[str]:
+    """The string of an added token alone, at both ends, inside words, cut, and nested."""
+    end = "<|endoftext|>"
+    return [
+        end, f"a {end} b", f"{end} b", f"a {end}", f"a{end}b", f"don'{end}t", f"  {end}  {end}\n", end * 3,
+        "<|endoftext|", "|endoftext|>", "<|<|endoftext|>|>", f"é{end}中", f"x  {end}'s", end.upper(), "<|endof", "text|>",
+    ]
+
+
+def two_letter_words(size: int) -> list[str]:
+    """Two words of two letters that polynomial hashes modulo 2^64 take for one."""
+    bits = [bin(i).count("1") % 2 for i in range(size)]
+    return ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+
+
 def documents(spark: SparkSession, texts=None, extra: bool = True, first: int = 0) -> DataFrame:
     texts = awkward_texts() if texts is None else texts
     rows = [

@@ -7,7 +7,7 @@ import tiktoken
 
 from subledger.llm import byte_bpe
 from subledger.llm.byte_bpe import Transducer, Utf8Stream, decoded, read_ranks
-from tests.llm.common import awkward_texts, documents, with_tables
+from tests.llm.common import awkward_texts, documents, special_texts, two_letter_words, with_tables
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -37,8 +37,8 @@ def test_transducer_follows_the_merges():
 
 
 def test_query_equals_the_library(spark, tmp_path, library):
-    folder = with_tables(spark, tmp_path, documents=documents(spark))
-    texts = awkward_texts()
+    texts = [*awkward_texts(), *special_texts(), *two_letter_words(1024), *two_letter_words(2048)]
+    folder = with_tables(spark, tmp_path, documents=documents(spark, texts).repartition(2))
     rows = {r.doc_id: r for r in byte_bpe.op8_byte_bpe(spark, folder).collect()}
     assert len(rows) == len(texts)
     for i, text in enumerate(texts):

@@ -3,12 +3,13 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from subledger.llm import token_counts
-from tests.llm.common import awkward_texts, documents, with_tables
+from tests.llm.common import awkward_texts, documents, special_texts, two_letter_words, with_tables
 
 
 def test_equals_the_library(spark, tmp_path, monkeypatch):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = awkward_texts()
+    library.encode_special_tokens = True  # the separator's string is text
+    texts = [*awkward_texts(), *special_texts(), *two_letter_words(1024), *two_letter_words(2048)]
     folder = with_tables(spark, tmp_path, documents=documents(spark, texts).repartition(4))
     rows = {r.doc_id: r for r in token_counts.op4_token_counts(spark, folder).collect()}
     assert len(rows) == len(texts)

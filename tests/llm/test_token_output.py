@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from subledger.llm import mixing_coder
 from subledger.llm.mixing_coder import BadBlock, decode_block, encode_block
-from tests.llm.common import awkward_texts, documents, with_tables
+from tests.llm.common import awkward_texts, documents, special_texts, two_letter_words, with_tables
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -43,7 +43,7 @@ def test_damage_is_found():
 def test_query_equals_the_library(spark, tmp_path, monkeypatch, block_ids):
     monkeypatch.setattr(mixing_coder, "BLOCK_IDS", block_ids)
     library = Tokenizer.from_file(TOKENIZER)
-    texts = awkward_texts()
+    texts = [*awkward_texts(), *special_texts(), *two_letter_words(1024), *two_letter_words(2048)]
     folder = with_tables(spark, tmp_path, documents=documents(spark, texts).repartition(4))
     rows = {r.doc_id: r for r in mixing_coder.op6_token_output(spark, folder).collect()}
     assert len(rows) == len(texts)
