@@ -10,6 +10,7 @@ from subledger.llm import (
     pair_index,
     quality,
     secrets,
+    spelling,
     substring_dedup,
     token_counts,
     topk,
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op9_exact_topk": topk.op9_exact_topk,
         "op10_secret_scan": secrets.op10_secret_scan,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
         "op13_pair_index_bpe": pair_index.op13_pair_index_bpe,
     }
 
