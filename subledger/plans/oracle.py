@@ -492,7 +492,7 @@ RAW_WIDTHS = {
     "order_items": 7,
     "payments": 5,
     "products": 6,
-    "reviews": 5,
+    "reviews": 6,
     "category_translation": 2,
     "marketing_spend": 6,
     "catalog_overrides": 4,
@@ -504,9 +504,15 @@ def _distinct(table: str) -> str:
 
 
 def _audit() -> str:
+    """The reviews are written with copies and with words for some scores."""
+    number = "cast(review_id as bigint)"
+    spoiled = f"(select *, {number} % 89 = 0 as bad, case when {number} % 31 = 0 then 2 else 1 end as n from r_reviews)"
     return " union all ".join(
-        f"select '{name}' as name, count(*) as rows, {RAW_WIDTHS[name]} as columns, '{name}' as source"
-        f" from {_distinct(table)}"
+        f"select '{name}' as name, cast(sum(n) as bigint) as records, count(*) filter (not bad) as rows,"
+        f" coalesce(cast(sum(n - 1) filter (not bad) as bigint), 0) as duplicates,"
+        f" coalesce(cast(sum(n) filter (bad) as bigint), 0) as rejects,"
+        f" {RAW_WIDTHS[name]} as columns, '{name}' as source"
+        f" from {spoiled if name == 'reviews' else f'(select *, false as bad, 1 as n from {_distinct(table)}) t'}"
         for name, table in RAW.items()
     )
 
@@ -582,9 +588,18 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_rows": "select distinct * from (select * from lineitem union all select * from lineitem)",
         "bronze_write": sql("select * from r_payments", "r_payments"),
         "bronze_ingest": sql(
-            "select 'orders' as name, count(*) as rows, 9 as columns from r_orders", "r_orders"
+            "select 'orders' as name, count(*) as rows, 0 as duplicates, 0 as rejects, 9 as columns from r_orders",
+            "r_orders",
         ),
         "ingest_audit": sql(_audit(), *RAW_PARTS),
+        "ingest_rejects": sql(
+            "select 'reviews' as source, 'column review_score: no int: five' as reason, order_id, review_id,"
+            " 'said \"' || review_id || '\",' || chr(10) || 'then \"left\"' as comment, 'five' as score"
+            " from (select *, cast(review_id as bigint) as number from r_reviews) r,"
+            " (select unnest([0, 1]) as copy)"
+            " where number % 89 = 0 and (copy = 0 or number % 31 = 0)",
+            "r_reviews",
+        ),
         "parquet_scan": sql(counts(RAW, "name", "rows"), *RAW_PARTS),
         "cycle_table_write": sql("select * from cycles", "cycles"),
         "source_contract": sql(

@@ -20,6 +20,7 @@ from subledger.sources.files import (
     cycle_table_write,
     dedupe_rows,
     ingest_audit,
+    ingest_rejects,
     json_sink,
     parquet_scan,
 )
@@ -193,7 +194,7 @@ def run(
         raise ValueError(f"the session's time zone is {zone}; set spark.sql.session.timeZone to UTC")
     require_files(spark, files)
     files = with_modelled_files(spark, files, f"{root}/modelled")
-    audit = ingest_audit(spark, files, f"{root}/bronze")
+    audit = ingest_audit(spark, files, f"{root}/bronze", f"{root}/rejects")
     json_sink(audit, f"{root}/ingest_audit")
     raw = parquet_scan(spark, f"{root}/bronze", files)
     require_sources(raw)
@@ -203,6 +204,7 @@ def run(
     cycle_table = cycle_table_write(cycles(staged_raw), f"{root}/subscription_cycles")
     tables = model_materialize(models(raw, cycle_table), f"{root}/marts")
     tables["ingest_audit"] = audit
+    tables["ingest_rejects"] = ingest_rejects(spark, files, f"{root}/rejects")
     tables["quality_report"] = _kept(quality_report(tables), f"{root}/quality_report")
     quality.require_passed(tables["quality_report"])
     record = metrics.summary_metrics(raw, cycle_table, min_cohort)

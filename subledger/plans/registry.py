@@ -45,17 +45,36 @@ def _as_csv(df: DataFrame, name: str) -> str:
 
 
 def _raw_files(spark: SparkSession, sf_dir: str) -> dict[str, RawFile]:
-    """Every raw source written out as CSV, the layout declared where it is known."""
+    """Every raw source written out as CSV, the layout declared where it is known.
+
+    The reviews hold comments of several lines, copies, and scores that are no numbers.
+    """
+    raw = raw_tables(spark, sf_dir)
+    paths = {
+        name: _shuffled_csv(_spoiled_reviews(table), name) if name == "reviews" else _as_csv(table, name)
+        for name, table in raw.items()
+    }
     return {
-        name: RawFile(_as_csv(table, name), TIMESTAMP_COLUMNS.get(name, ()), RAW_SCHEMAS[name] or None)
-        for name, table in raw_tables(spark, sf_dir).items()
+        name: RawFile(path, TIMESTAMP_COLUMNS.get(name, ()), RAW_SCHEMAS[name] or None)
+        for name, path in paths.items()
     }
 
 
+def _spoiled_reviews(reviews: DataFrame) -> DataFrame:
+    """Every 89th score written out as a word, every 31st review there twice."""
+    number = F.col("review_id").cast("bigint")
+    score = F.when(number % 89 == 0, F.lit("five")).otherwise(F.col("review_score").cast("string"))
+    return reviews.union(reviews.filter(number % 31 == 0)).withColumn("review_score", score)
+
+
 def _shuffled_csv(df: DataFrame, name: str) -> str:
-    """Written with its columns backwards and one more among them: names decide, not places."""
+    """Written with its columns backwards and a comment among them: names decide, not places.
+
+    The comment has two lines, quotes and a comma.
+    """
     columns = [F.col(c) for c in reversed(df.columns)]
-    return _as_csv(df.select(columns[0], F.lit("n/a").alias("comment"), *columns[1:]), name)
+    comment = F.concat(F.lit('said "'), columns[-1].cast("string"), F.lit('",\nthen "left"'))
+    return _as_csv(df.select(columns[0], comment.alias("comment"), *columns[1:]), name)
 
 
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +103,10 @@ def bronze_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bronze_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _shuffled_csv(star_schema.orders(spark, sf_dir), "orders")
     source = RawFile(path, TIMESTAMP_COLUMNS["orders"], RAW_SCHEMAS["orders"])
-    rows, columns = files.bronze_ingest(spark, source, new_path(spark, "bronze_orders"))
+    target, rejects = new_path(spark, "bronze_orders"), new_path(spark, "bronze_rejects")
+    done = files.bronze_ingest(spark, "orders", source, target, rejects)
     return spark.createDataFrame(
-        [("orders", rows, columns)], "name string, rows bigint, columns int"
+        [("orders", *done)], "name string, rows bigint, duplicates bigint, rejects bigint, columns int"
     )
 
 
@@ -94,6 +114,19 @@ def ingest_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.ingest_audit(spark, _raw_files(spark, sf_dir), new_path(spark, "bronze"))
 
 
+def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reviews' rejects: why, and the record as it stood in the file, read once more."""
+    path = _shuffled_csv(_spoiled_reviews(star_schema.reviews(spark, sf_dir)), "reviews")
+    source = RawFile(path, TIMESTAMP_COLUMNS["reviews"], RAW_SCHEMAS["reviews"])
+    rejects = new_path(spark, "rejects")
+    files.bronze_ingest(spark, "reviews", source, new_path(spark, "bronze_reviews"), f"{rejects}/reviews")
+    layout = "answered string, comment string, created string, score string, order_id string, review_id string"
+    record = F.from_csv("_corrupt_record", F.lit(layout), {"escape": '"', "multiLine": "true"}).alias("r")
+    return files.ingest_rejects(spark, ["reviews"], rejects).select("source", "reason", record).select(
+        "source", "reason", "r.comment", "r.score", "r.order_id", "r.review_id"
+    )
+
+
 def parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_path(spark, "raw")
     tables = raw_tables(spark, sf_dir)
@@ -303,6 +336,7 @@ def queries() -> dict[str, Query]:
         "bronze_write": bronze_write,
         "bronze_ingest": bronze_ingest,
         "ingest_audit": ingest_audit,
+        "ingest_rejects": ingest_rejects,
         "parquet_scan": parquet_scan,
         "cycle_table_write": cycle_table_write,
         "source_contract": _over(source_contract, raw_tables),

@@ -43,7 +43,7 @@ def require_files(spark: SparkSession, files: Mapping[str, RawFile]) -> None:
     headers = {}
     for name, source in files.items():
         try:
-            headers[name] = header_columns(spark, source.path)
+            headers[name] = header_columns(spark, source.path, source.line_breaks)
         except AnalysisException:  # no such path, or an empty file
             continue
     wanted = [name for name in RAW_SCHEMAS if name in files or name not in MODELLED]

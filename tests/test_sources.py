@@ -37,7 +37,7 @@ def test_ingest_counts_rows_after_deduplication(spark, tmp_path):
     path.write_text("order_id,shipping_limit_date\n1,2020-01-01 00:00:00\n1,2020-01-01 00:00:00\n2,oops\n")
     source = RawFile(str(path), ["shipping_limit_date"], "order_id string, shipping_limit_date string")
     audit = files.ingest_audit(spark, {"items": source}, str(tmp_path / "bronze")).collect()
-    assert [tuple(r) for r in audit] == [("items", 2, 2, "o.csv")]
+    assert [tuple(r) for r in audit] == [("items", 3, 2, 1, 0, 2, "o.csv")]
     assert spark.read.parquet(str(tmp_path / "bronze/items")).count() == 2
 
 
@@ -66,6 +66,48 @@ def test_columns_are_known_by_name(spark, tmp_path):
     assert list(second) == [None] * 6
 
 
+REVIEWS = RAW_SCHEMAS["reviews"]
+AWKWARD_REVIEWS = (
+    "review_score,review_id,comment,order_id,review_creation_date,review_answer_timestamp\n"
+    '5,a,"two\nlines, ""quoted""",o1,2018-01-01 00:00:00,\n'
+    '5,a,"two\nlines, ""quoted""",o1,2018-01-01 00:00:00,\n'
+    'five,b,"bad\n\nscore",o2,2018-01-01 00:00:00,\n'
+    "4,c,plain \"marks\" inside,o3,no day,2018-01-02 00:00:00\n"
+    "3,d,short\n"
+    "3,e,long,o5,2018-01-01 00:00:00,,,\n"
+    ",,,,,\n"
+    '2,f,"never closed,o6,2018-01-01 00:00:00,\n'
+)
+
+
+def test_records_across_lines_and_rejects(spark, tmp_path):
+    files_in = {"reviews": RawFile(csv_of(tmp_path, AWKWARD_REVIEWS), TIMESTAMP_COLUMNS["reviews"], REVIEWS)}
+    audit = files.ingest_audit(spark, files_in, str(tmp_path / "bronze")).collect()
+    assert [tuple(r) for r in audit] == [("reviews", 8, 3, 1, 4, 6, "given.csv")]
+    rows = {r.review_id: r for r in spark.read.parquet(str(tmp_path / "bronze/reviews")).collect()}
+    assert set(rows) == {"a", "c", None}
+    assert (rows["a"].comment, rows["a"].review_score) == ('two\nlines, "quoted"', 5)
+    assert (rows["c"].comment, rows["c"].review_creation_date) == ('plain "marks" inside', None)
+    assert rows["c"].review_answer_timestamp == datetime(2018, 1, 2)
+    bad = files.ingest_rejects(spark, ["reviews"], str(tmp_path / "bronze_rejects"))
+    assert bad.schema.simpleString().startswith("struct<source:string,file:string,reason:string,_corrupt_record:string")
+    bad = sorted(bad.collect(), key=lambda r: r._corrupt_record)
+    assert [r._corrupt_record.split(",")[1] for r in bad] == ["f", "d", "e", "b"]
+    assert {r.reason for r in bad} == {"fields do not fit the header", "column review_score: no int: five"}
+    assert 'bad\n\nscore' in bad[3]._corrupt_record
+    assert all(r.file.endswith("/given.csv") and r.source == "reviews" for r in bad)
+
+
+def test_clean_and_empty_files_have_an_empty_reject_table(spark, tmp_path):
+    for text, rows in (("id,_corrupt_record,copies\n1,x,2\n1,x,2\n", 1), ("id,_reason\n", 0)):
+        audit = files.ingest_audit(spark, {"t": RawFile(csv_of(tmp_path, text))}, str(tmp_path / "b"))
+        assert audit.select("rows", "rejects").collect() == [(rows, 0)]
+        assert files.ingest_rejects(spark, ["t"], str(tmp_path / "b_rejects")).count() == 0
+    some = csv_of(tmp_path, "id,n\n1,2\n2,3,4\n3\n")
+    audit = files.ingest_audit(spark, {"t": RawFile(some, line_breaks=False)}, str(tmp_path / "b")).first()
+    assert (audit.records, audit.rows, audit.rejects) == (3, 1, 2)
+
+
 def test_missing_columns_and_bad_numbers_stop_the_scan(spark, tmp_path):
     with pytest.raises(contract.MissingSources, match="order_id"):
         files.csv_scan(spark, csv_of(tmp_path, "id,n,value,day,at\n"), LAYOUT)
@@ -153,6 +195,11 @@ def test_whole_pipeline_from_csv(spark, tmp_path):
     for name, table in star_schema.raw_tables(spark, SF).items():
         path = str(tmp_path / "csv" / f"{name}.csv")
         files.csv_sink(table, path)
+        if name == "reviews":
+            (tmp_path / "csv/reviews.csv/more.csv").write_text(
+                "review_id,order_id,review_score,review_creation_date,review_answer_timestamp\n"
+                'x,"two\n""lines""",5,2018-01-01 00:00:00,\nx,bad,five,2018-01-01 00:00:00,\n'
+            )
         sources[name] = RawFile(path, TIMESTAMP_COLUMNS.get(name, ()), RAW_SCHEMAS[name] or None)
     root = str(tmp_path / "out")
     with pytest.raises(QualityFailure, match="enough orders"):
@@ -171,3 +218,6 @@ def test_whole_pipeline_from_csv(spark, tmp_path):
     audit = [json.loads(line) for part in (tmp_path / "out/ingest_audit").glob("*.json") for line in part.read_text().splitlines()]
     assert {a["name"]: a["rows"] for a in audit}["orders"] == 15000
     assert {a["source"] for a in audit} == {f"{name}.csv" for name in sources}
+    assert all(a["records"] == a["rows"] + a["duplicates"] + a["rejects"] for a in audit)
+    assert {a["name"] for a in audit if a["rejects"]} == {"reviews"}
+    assert [(r.source, r.reason) for r in tables["ingest_rejects"].collect()] == [("reviews", "column review_score: no int: five")]
