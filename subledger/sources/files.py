@@ -268,4 +268,5 @@ def json_sink(df: DataFrame, path: str) -> None:
 
 
 def csv_sink(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Headered CSV as ``csv_reader`` takes it: a quote within quotes is doubled."""
+    df.write.mode("overwrite").options(header=True, escape='"').csv(path)
