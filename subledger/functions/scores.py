@@ -57,6 +57,6 @@ def bounded_cadence(days: Column) -> Column:
 
 
 def billing_amount(avg_order_value: Column) -> Column:
-    """Average order value, but at least the least bill, to the cent, half up."""
+    """Average order value, but at least the least bill, to the cent, half up; NaN stays NaN."""
     amount = F.greatest(avg_order_value, F.lit(float(m.MIN_BILLING_AMOUNT)))
-    return F.floor(amount * 100 + 0.5) / F.lit(100.0)
+    return F.when(F.isnan(amount), amount).otherwise(F.floor(amount * 100 + 0.5) / F.lit(100.0))

@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subledger.functions import model_values as m
-from subledger.functions.money import amount_of
+from subledger.functions.money import added_parts, amount_in
 from subledger.operators.orders import (
     DAY_IN_MICROS,
     delivered_orders,
@@ -58,8 +58,7 @@ def customer_features(
             F.to_date(F.min("opening")).alias("first_order_date"),
             F.sum("orders").alias("order_count"),
             F.sum("rows").alias("rows"),
-            F.sum("amount").alias("amount"),
-            F.sum("odd_amount").alias("odd_amount"),
+            *[total.alias(part) for part, total in added_parts().items()],
             F.sum("delay").alias("delay"),
             F.avg("middle_gap").alias("observed_cadence_days"),
         )
@@ -68,8 +67,8 @@ def customer_features(
             F.col("home").alias("customer_state"),
             "first_order_date",
             "order_count",
-            (amount_of(F.col("amount"), F.col("odd_amount")) / F.col("rows")).alias("avg_order_value"),
-            amount_of(F.col("amount"), F.col("odd_amount")).alias("total_spend"),
+            (amount_in() / F.col("rows")).alias("avg_order_value"),
+            amount_in().alias("total_spend"),
             (F.col("delay") / F.lit(delay_units_per_day) / F.col("rows")).alias(
                 "avg_delivery_delay_days"
             ),
@@ -114,15 +113,14 @@ def int_customer_features(order_facts: DataFrame) -> DataFrame:
             F.to_date(F.min("opening")).alias("first_order_date"),
             F.sum("orders").alias("order_count"),
             F.sum("rows").alias("rows"),
-            F.sum("amount").alias("amount"),
-            F.sum("odd_amount").alias("odd_amount"),
+            *[total.alias(part) for part, total in added_parts().items()],
         )
         .select(
             "customer_unique_id",
             F.col("home").alias("customer_state"),
             "first_order_date",
             "order_count",
-            amount_of(F.col("amount"), F.col("odd_amount")).alias("observed_revenue"),
-            (amount_of(F.col("amount"), F.col("odd_amount")) / F.col("rows")).alias("avg_order_value"),
+            amount_in().alias("observed_revenue"),
+            (amount_in() / F.col("rows")).alias("avg_order_value"),
         )
     )

@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from subledger.functions import model_values as m
-from subledger.functions.money import exact_sum, from_units, to_units
+from subledger.functions.money import exact_parts, exact_sum, exact_sum_of_parts, known
 
 
 def active_subscription() -> Column:
@@ -18,19 +18,24 @@ def by_subscription(cycles: DataFrame) -> DataFrame:
     return cycles.groupBy("subscription_id").agg(
         F.count("*").alias("cycle_rows"),
         F.max("cycle_number").alias("cycles_observed"),
-        F.sum(to_units("billing_amount")).alias("ltv_cents"),
+        *[total.alias(part) for part, total in exact_parts("billing_amount", "ltv").items()],
         F.max("churned_this_cycle").alias("churned"),
     )
 
 
+def average_ltv() -> Column:
+    """The mean over subscriptions that were billed; aggregates rows of ``by_subscription``."""
+    return exact_sum_of_parts("ltv") / F.count_if(known("ltv"))
+
+
 def mart_subscription_kpis(cycles: DataFrame) -> DataFrame:
     subscriptions = F.count("*")
     return by_subscription(cycles).agg(
         subscriptions.alias("synthetic_subscribers"),
         F.count_if(F.col("churned") == 0).alias("active_subscriptions"),
         F.round(F.avg("churned"), 4).alias("churn_rate"),
-        F.round(from_units(F.sum("ltv_cents")) / F.count("ltv_cents"), 2).alias("avg_ltv_brl"),
-        from_units(F.sum("ltv_cents")).alias("synthetic_recurring_revenue_brl"),
+        F.round(average_ltv(), 2).alias("avg_ltv_brl"),
+        F.round(exact_sum_of_parts("ltv"), 2).alias("synthetic_recurring_revenue_brl"),
         F.round(F.avg("cycles_observed"), 2).alias("avg_cycles_observed"),
     )
 

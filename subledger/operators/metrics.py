@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from subledger.functions import model_values as m
-from subledger.functions.money import exact_sum, from_units
-from subledger.operators.marts import active_subscription, by_subscription
+from subledger.functions.money import exact_sum
+from subledger.operators.marts import active_subscription, average_ltv, by_subscription
 
 
 def _first_of_one_row(df: DataFrame) -> Column:
@@ -111,9 +111,7 @@ def churn_rate(cycles: DataFrame) -> DataFrame:
 
 
 def avg_ltv(cycles: DataFrame) -> DataFrame:
-    return by_subscription(cycles).agg(
-        (from_units(F.sum("ltv_cents")) / F.count("ltv_cents")).alias("avg_ltv_brl")
-    )
+    return by_subscription(cycles).agg(average_ltv().alias("avg_ltv_brl"))
 
 
 def summary_metrics(
@@ -130,7 +128,7 @@ def summary_metrics(
         F.count("subscription_id").alias("synthetic_subscribers"),
         F.coalesce(F.sum("cycle_rows"), F.lit(0)).alias("synthetic_billing_cycles"),
         F.avg("churned").alias("churn"),
-        (from_units(F.sum("ltv_cents")) / F.count("ltv_cents")).alias("ltv"),
+        average_ltv().alias("ltv"),
     )
     spread = retention_spread(
         eligible_segments(segment_retention_at(cycles, target_cycle), min_cohort)

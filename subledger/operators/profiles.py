@@ -52,14 +52,18 @@ def with_cadence(features: DataFrame) -> DataFrame:
 
 
 def with_value_segment(features: DataFrame) -> DataFrame:
-    """Spend quartile label; a spend equal to a threshold stays in the lower segment."""
+    """Spend quartile label; a spend equal to a threshold stays in the lower segment.
+
+    No spend and NaN are below no threshold and belong to the highest segment.
+    """
     spend = F.col("total_spend")
     lowest, lower, higher, highest = m.VALUE_SEGMENTS
     return (
         features.withColumn("_q", _one_row(spend_quartiles(features)))
         .withColumn(
             "value_segment",
-            F.when(spend <= F.col("_q.q1"), lowest)
+            F.when(F.isnan(spend), highest)
+            .when(spend <= F.col("_q.q1"), lowest)
             .when(spend <= F.col("_q.q2"), lower)
             .when(spend <= F.col("_q.q3"), higher)
             .otherwise(highest),

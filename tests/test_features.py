@@ -2,13 +2,17 @@
 
 import random
 from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from subledger.functions import quantiles
+from subledger.functions.money import exact_parts, exact_sum, exact_sum_of_parts
 from subledger.functions.quantiles import exact_quantiles
 from subledger.operators.customers import customer_features, int_customer_features
 from subledger.operators.orders import int_order_facts, order_gaps, orders_customers, payments_by_order
+from subledger.operators.profiles import spend_quartiles, with_value_segment
 from subledger.schemas import RAW_SCHEMAS
 from tests import brute
 
@@ -157,13 +161,24 @@ def test_order_gaps_row_by_row(spark, elapsed):
         [5.0], [1.0, 2.0], [3.0] * 10, [0.01 * i for i in range(1, 102)],
         [float(i * i) for i in range(200)], [1e9, 2e9, 3.33, 4.44], [-5.0, -2.5, 0.0, 7.25, 9.99],
         [7.77] * 400 + [float(i) for i in range(800)],
+        [0.004] * 4, [0.1 + 0.2, 0.3, 0.1, 1 / 3], [-0.0, 0.0, -1e-300, 5e-324], [-1e308, 1e308, 1e-308, -1e-308, 0.0],
+        [-3.5, -2.25, -1.125], [-1.0, 1.0], [2.0 ** k for k in range(-300, 300)], [0.004, 7.0, float("inf"), 1.5, 2.5],
     ],
 )
-def test_quantiles(spark, values):
-    df = spark.createDataFrame([(v,) for v in values], "x double")
+@pytest.mark.parametrize("few", [1, 1 << 16])
+def test_quantiles(spark, values, few, monkeypatch):
+    monkeypatch.setattr(quantiles, "FEW", few)
+    df = spark.createDataFrame([(v,) for v in [*values, float("nan"), None, float("nan")]], "x double")
     got = exact_quantiles(df, "x", [0.25, 0.5, 0.75]).first()
-    cents = [round(v * 100) / 100 for v in values]
-    assert list(got) == [brute.quantile(cents, p) for p in (0.25, 0.5, 0.75)]
+    assert list(got) == [brute.quantile(values, p) for p in (0.25, 0.5, 0.75)]
+
+
+def test_segments_of_small_and_unknown_spends(spark):
+    spends = [0.004, 0.004, 0.004, 0.004, float("nan"), None]
+    df = spark.createDataFrame(list(enumerate(spends)), "i int, total_spend double")
+    assert list(spend_quartiles(df).first()) == [0.004] * 3
+    got = {r.i: r.value_segment for r in with_value_segment(df).collect()}
+    assert got == {0: "value_1", 1: "value_1", 2: "value_1", 3: "value_1", 4: "value_4", 5: "value_4"}
 
 
 def test_quantiles_of_nothing(spark):
@@ -173,8 +188,8 @@ def test_quantiles_of_nothing(spark):
 
 def test_quantiles_across_slices(spark):
     df = spark.range(200_000).select(((F.col("id") * 7919) % 1_000_003 * 1.37).alias("x"))
-    exact = df.select(F.percentile(F.rint(F.col("x") * 100) / 100, F.lit(0.9))).first()[0]
-    assert exact_quantiles(df, "x", [0.9]).first()[0] == pytest.approx(exact, abs=1e-9)
+    exact = df.select(F.percentile("x", F.lit(0.9))).first()[0]
+    assert exact_quantiles(df, "x", [0.9]).first()[0] == pytest.approx(exact, rel=1e-15)
 
 
 def test_orders_without_a_customer_drop_out(spark):
@@ -207,3 +222,16 @@ def test_amounts_below_a_cent_and_odd_ones(spark):
     got = {r.order_id: r.payment_value for r in payments_by_order(df).collect()}
     assert got["a"] == 0.02 and got["b"] != got["b"] and got["c"] is None
     assert got["d"] == float("inf") and got["e"] == 1e18
+
+
+def test_exact_sums_of_random_amounts(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("abcdefgh"), rng.choice([round(rng.uniform(-1e5, 1e5), 2), rng.random() / 1e6, float(rng.randrange(10**9))])) for _ in range(3000)]
+    rows += [("big", 999_999_999_999.25)] * 9 + [("big", -0.125), ("even", 5.0), ("even", -5.0), ("small", 1e-10)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    got = {r.k: r.x for r in df.groupBy("k").agg(exact_sum("x").alias("x")).collect()}
+    parts = df.groupBy("k", F.col("x") > 0).agg(*[c.alias(n) for n, c in exact_parts("x").items()])
+    again = {r.k: r.x for r in parts.groupBy("k").agg(exact_sum_of_parts().alias("x")).collect()}
+    for key in got:
+        units = sum(round(Decimal(x) * 10**10) for k, x in rows if k == key)
+        assert got[key] == again[key] == float(Decimal(units).scaleb(-10)), key

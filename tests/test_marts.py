@@ -83,6 +83,22 @@ def test_kpis_and_ltv(spark):
     assert ltv == {"sub_a": (20.0, 2, 0), "sub_b": (7.5, 1, 1)}
 
 
+def test_bills_below_a_cent_and_unknown_ones(spark):
+    rows = [cycle("a", 1, amount=0.004), cycle("a", 2, amount=0.004), cycle("b", 1, amount=0.01)]
+    cycles = table(spark, rows)
+    assert marts.mart_subscription_kpis(cycles).first()[3:5] == (0.01, 0.02)
+    assert metrics.avg_ltv(cycles).first()[0] == 0.009
+    assert {r.synthetic_ltv_brl for r in marts.mart_customer_ltv(cycles).collect()} == {0.008, 0.01}
+    with_nan = table(spark, [*rows, cycle("c", 1, amount=float("nan"))])
+    kpi = marts.mart_subscription_kpis(with_nan).first()
+    assert kpi.synthetic_subscribers == 3 and kpi.avg_ltv_brl != kpi.avg_ltv_brl
+    raw = {name: cycles for name in ("orders", "payments", "order_items")}
+    two = table(spark, [*rows, cycle("c", 1, segment="value_2", amount=float("nan"))])
+    record = metrics.summary_metrics(raw, two, min_cohort=1).first()
+    assert (record.customer_segments, record.synthetic_subscribers) == (2, 3)
+    assert record.synthetic_avg_ltv_brl != record.synthetic_avg_ltv_brl
+
+
 def test_full_outer_join_keeps_both_sides(spark):
     m1, m2 = date(2020, 1, 1), date(2020, 2, 1)
     revenue = spark.createDataFrame(

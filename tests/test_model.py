@@ -100,10 +100,10 @@ def test_a_single_cycle_never_lapses(spark):
 
 
 def test_amounts_have_a_floor_and_round_half_up(spark):
-    averages = [(2.675,), (0.0,), (80.125,), (20.0 / 3,), (125.0,), (None,)]
+    averages = [(2.675,), (0.0,), (80.125,), (20.0 / 3,), (125.0,), (None,), (float("nan"),)]
     df = spark.createDataFrame(averages, "average double")
     got = [r[0] for r in df.select(scores.billing_amount(F.col("average"))).collect()]
-    assert got == [5.0, 5.0, 80.13, 6.67, 125.0, 5.0]
+    assert got[:-1] == [5.0, 5.0, 80.13, 6.67, 125.0, 5.0] and got[-1] != got[-1]
 
 
 def test_cadence_rounds_half_to_even_inside_its_range(spark):
