@@ -45,8 +45,8 @@ class BadBlock(ValueError):
 class Model:
     """The three predictions and their mixture."""
 
-    def __init__(self, vocabulary: int, lanes: int):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: int, lanes: int, reading: bool = False):
+        self.vocabulary, self.reading = vocabulary, reading
         self.order1 = np.zeros(vocabulary, dtype=np.int64)  # id | run << ID_BITS
         self.order2 = np.zeros(1 << ORDER2_BITS, dtype=np.int64)
         self.seen = np.zeros(vocabulary, dtype=np.int64)
@@ -63,6 +63,8 @@ class Model:
         units[0] += (1 << ORDER0_BITS) - units.sum()
         self.bounds = np.zeros(self.vocabulary + 1, dtype=np.int64)
         np.cumsum(units, out=self.bounds[1:])
+        if self.reading:
+            self.owner = np.repeat(np.arange(self.vocabulary, dtype=np.int32), units)
 
     def predict(self, n: int) -> None:
         """For the first n lanes: both predicted ids and the shares of the distribution."""
@@ -167,7 +169,7 @@ def expanded(n: int, lanes: int, vocabulary: int, payload: bytes) -> np.ndarray:
     for _ in range(4):
         code = code << U(16) | words[place]
         place += 1
-    model = Model(vocabulary, lanes)
+    model = Model(vocabulary, lanes, reading=True)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     grid = np.zeros((steps, lanes), dtype=np.int64)
     for step in range(steps):
@@ -178,9 +180,9 @@ def expanded(n: int, lanes: int, vocabulary: int, payload: bytes) -> np.ndarray:
         room = (1 << TOTAL_BITS) - model.rest
         # the last id whose interval begins at or before ``at``
         target = (((at - model.rest + 1) << ORDER0_BITS) - 1) // room
-        own = np.searchsorted(model.bounds, target, side="right") - 1
+        own = model.owner[np.minimum(np.maximum(target, 0), (1 << ORDER0_BITS) - 1)].astype(np.int64)
         hit2, hit1 = at < model.share2, at < model.rest
-        own = np.where(hit2, model.id2, np.where(hit1, model.id1, np.minimum(np.maximum(own, 0), vocabulary - 1)))
+        own = np.where(hit2, model.id2, np.where(hit1, model.id1, own))
         begin = model.rest + (model.bounds[own] * room >> ORDER0_BITS)
         end = model.rest + (model.bounds[own + 1] * room >> ORDER0_BITS)
         begin = np.where(hit2, 0, np.where(hit1, model.share2, begin))
@@ -286,8 +288,6 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id", digest: bool =
 
     With ``digest`` the checksum ``ids_crc32`` of the ids stands in for them.
     """
-    # A row is a block: few of them at a time.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     stored = spark.read.parquet(path)
     kind = stored.schema["keys"].dataType.elementType.simpleString()
     last = "ids_crc32 long" if digest else "ids array<int>"
@@ -316,7 +316,13 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id", digest: bool =
                 )
 
     schema = f"file int, block int, {key} {kind}, at long, n_tokens long, {last}"
-    docs = staged(stored.select("file", "block", "keys", "data").mapInArrow(run, schema), "read_ids")
+    rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_a_batch)
+    spark.conf.set(rows_a_batch, "4")  # a row is a block
+    try:
+        docs = staged(stored.select("file", "block", "keys", "data").mapInArrow(run, schema), "read_ids")
+    finally:
+        spark.conf.set(rows_a_batch, before)
     sizes = staged(stored.select("file", "block", "n_ids"), "block_sizes")
     inside = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
