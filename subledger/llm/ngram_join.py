@@ -40,6 +40,7 @@ from subledger.llm.text import (
     mixed,
     slices,
     span_hashes,
+    word_hashes,
     words_of,
 )
 from subledger.sources.shared_folder import staged
@@ -50,6 +51,7 @@ PAIRS_PER_ENTRY = 2  # pairs across components are tried at once if they are thi
 TURNS, STARS = 2, 8  # rounds after the first, sets of an n-gram that meet all others in one
 BLOCK = 1024  # about so many sets of either side meet under one key of the last step
 BITS = 512
+BUCKET_BYTES = 32 << 20  # text whose n-grams one task holds at a time, about
 ENTRY = ("name", "n", "place", "label", "bits")
 
 
@@ -57,7 +59,7 @@ def shingled(texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of each text, ascending, and where each text's begin."""
     low = lowered(texts.data)
     words = words_of(texts, low, NON_SPACE)
-    hashes = span_hashes(low, words.starts, words.ends)
+    hashes = word_hashes(low, words.starts, words.ends)
     every = grams(hashes, n)
     counts = np.diff(words.rows)
     row = np.repeat(np.arange(len(counts)), counts)
@@ -127,7 +129,9 @@ def _emit(df: DataFrame, buckets: int, n: int) -> DataFrame:
                 {"doc": k, "version": v, "n": m, "name": s, "shared": int(c)}
                 for k, v, m, s, c in zip(keys, versions, sizes, names, known, strict=True)
             ]
-            rows = [(number % buckets, number, None, None, listed)]
+            # batches of a partition count up by one: spread their lists over all buckets
+            place = int(mixed(np.array([number], dtype=np.uint64))[0] % np.uint64(buckets))
+            rows = [(place, number, None, None, listed)]
             rows += [
                 (b, number, key[cuts[b] : cuts[b + 1]].tobytes(), who[cuts[b] : cuts[b + 1]].tobytes(), None)
                 for b in np.flatnonzero(np.diff(cuts)).tolist()
@@ -373,7 +377,9 @@ def classes(df: DataFrame, n: int = N, percent: int = PERCENT, key: str = "doc_i
     docs = df.select(
         df[key].alias("key"), df[key].cast("long").alias("doc"), F.xxhash64(df[text]).alias("version"), df[text].alias("text")
     )
-    buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least_buckets = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least_buckets, -(-size // BUCKET_BYTES))
     in_buckets = _emit(docs, buckets, n).groupBy("bucket").applyInArrow(
         lambda table: _shared_in_bucket(table),
         "batch long, counts binary, docs array<struct<doc:long,version:long,n:long,name:binary,shared:long>>",

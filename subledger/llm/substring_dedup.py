@@ -28,11 +28,13 @@ from subledger.llm.text import (
     mixed,
     slices,
     span_hashes,
+    word_hashes,
     words_of,
 )
 from subledger.sources.shared_folder import staged
 
 WINDOW, ANCHOR = 50, 8
+SECOND = 1  # seed of the words' second hash
 FEW = 64  # contexts of one anchor that stay in one group
 GROUP_WORDS = 1 << 20
 KEY_BROADCAST = 1 << 20  # document keys that may be sent to every task
@@ -79,9 +81,10 @@ def runs(df: DataFrame) -> DataFrame:
             docs, versions = (batch.column(i).to_numpy() for i in (0, 1))
             for texts in slices(batch.column(2)):
                 words = words_of(texts, texts.data, NON_SPACE)
-                hashes = span_hashes(texts.data, words.starts, words.ends)
+                hashes = word_hashes(texts.data, words.starts, words.ends)
                 if len(hashes) < WINDOW:
                     continue
+                others = word_hashes(texts.data, words.starts, words.ends, SECOND)
                 anchors = grams(hashes, ANCHOR)
                 places = least_places(anchors, WINDOW - ANCHOR + 1)
                 ends = np.repeat(words.rows[1:], np.diff(words.rows))[: len(places)]
@@ -99,7 +102,7 @@ def runs(df: DataFrame) -> DataFrame:
                     [
                         signed(anchors[place]),
                         signed(mixed(span_hashes(hashes, opens, upto, GRAM_BASE) + offset)),
-                        signed(mixed(span_hashes(hashes, opens, upto, SECOND_BASE) + offset)),
+                        signed(mixed(span_hashes(others, opens, upto, SECOND_BASE) + offset)),
                         pa.array(docs[texts.first + row]),
                         pa.array(versions[texts.first + row]),
                         pa.array((opens - words.rows[row]).astype(np.int32)),
@@ -120,10 +123,12 @@ def fragments(needed: DataFrame, few: bool) -> DataFrame:
             docs, versions, needs = (batch.column(i).to_pylist() for i in (0, 1, 3))
             for texts in slices(batch.column(2)):
                 words = words_of(texts, texts.data, NON_SPACE)
-                hashes = span_hashes(texts.data, words.starts, words.ends)
+                hashes = word_hashes(texts.data, words.starts, words.ends)
+                others = hashes if few else word_hashes(texts.data, words.starts, words.ends, SECOND)
                 out = []
                 for k in range(texts.first, texts.last):
-                    own = hashes[words.rows[k - texts.first] : words.rows[k - texts.first + 1]]
+                    row = slice(words.rows[k - texts.first], words.rows[k - texts.first + 1])
+                    own, other = hashes[row], others[row]
                     if few:
                         for need in needs[k]:
                             span = own[need["at"] : need["at"] + need["n"] + WINDOW - 1]
@@ -133,7 +138,7 @@ def fragments(needed: DataFrame, few: bool) -> DataFrame:
                             np.concatenate([np.arange(x["at"], x["at"] + x["n"]) for x in needs[k]])
                         )
                         one = span_hashes(own, begins, begins + WINDOW, GRAM_BASE).view(np.int64)
-                        two = span_hashes(own, begins, begins + WINDOW, SECOND_BASE).view(np.int64)
+                        two = span_hashes(other, begins, begins + WINDOW, SECOND_BASE).view(np.int64)
                         for a, b, c in zip(one.tolist(), two.tolist(), begins.tolist(), strict=True):
                             out.append((a, b, docs[k], versions[k], c))
                 if out:

@@ -11,7 +11,7 @@ import pytest
 
 from subledger.llm import ngram_join, substring_dedup
 from subledger.llm.components import components
-from tests.llm.common import awkward_texts, documents, with_tables
+from tests.llm.common import awkward_texts, documents, two_letter_words, with_tables
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -35,6 +35,9 @@ def copies(rng: random.Random) -> list[str | None]:
     out += [" ".join(text(rng.randrange(1, 200))).upper() for _ in range(30)]
     twice = text(80)
     out += [" ".join(twice + twice), "a b", "A  b", "a b c d e", "a b c d e f", "x", "x"]
+    for size in (1024, 2048):  # alone, and as the one word in which long texts differ
+        alike, around = two_letter_words(size), text(60)
+        out += [*alike, *[" ".join([*around[:30], w, *around[30:]]) for w in alike], *[" ".join([w, "a", "b", "c", "d"]) for w in alike]]
     return [*out, *awkward_texts()]
 
 
@@ -123,6 +126,12 @@ def test_null_keys_and_empty_tables(spark):
     assert ngram_join.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_lists_of_batches_spread_over_buckets(spark):
+    df = spark.range(2000, numPartitions=400).selectExpr("id as doc", "0L as version", "'x' as text")
+    places = [r.bucket for r in ngram_join._emit(df, 64, 5).where("docs is not null").select("bucket").collect()]
+    assert len(places) >= 400 and len(set(places)) > 32 and max(Counter(places).values()) < len(places) / 8
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)]
