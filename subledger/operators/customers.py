@@ -15,6 +15,8 @@ from subledger.operators.orders import (
     whole_days_between,
 )
 
+DAY_KEY = ("customer_unique_id", "customer_state", "day")
+
 
 def _delay(elapsed: bool) -> tuple[Column, float]:
     """Late delivery of one order as a whole number, and how many of those make a day."""
@@ -33,18 +35,45 @@ def customer_features(
 
     ``elapsed`` counts gaps in whole 24-hour units and delays in fractions of a day
     instead of midnights crossed.
-
-    Orders are first folded to one row per person, state and active day.  That fold
-    starts before the shuffle and uses fixed-width buffers only, so a person with a
-    third of all orders arrives as at most one row per state and day; the look-back
-    and the median run over those rows, sorted, with one shuffle between them.  A
-    positive gap can only open a day, hence nothing is lost.  The state is that of the
-    earliest order with one.
     """
-    delay, delay_units_per_day = _delay(elapsed)
     paid = orders_payments_left(orders_customers(delivered_orders(orders), customers), payments)
+    return features_of_days(customer_days(paid, elapsed), elapsed)
+
+
+def customer_days(paid: DataFrame, elapsed: bool = False) -> DataFrame:
+    """Delivered orders folded to one row per person, state and active day.
+
+    That fold starts before the shuffle and uses fixed-width buffers only, so a person with a
+    third of all orders arrives as at most one row per state and day.  Its rows add up again,
+    see ``merged_days``.  Of the orders only delivered ones count.
+    """
     day = F.to_date("order_purchase_timestamp").alias("day")
-    days = folded_orders(paid, "customer_state", day, delay=delay)
+    return folded_orders(delivered_orders(paid), "customer_state", day, delay=_delay(elapsed)[0])
+
+
+def merged_days(*states: DataFrame) -> DataFrame:
+    """The days of all orders from those of parts of them, however the orders were parted.
+
+    Every row of an order id must be in the same part, as ids are counted there.
+    """
+    rows = states[0]
+    for state in states[1:]:
+        rows = rows.unionByName(state)
+    sums = [c for c in rows.columns if c not in {*DAY_KEY, "opening", "closing"}]
+    return rows.groupBy(*DAY_KEY).agg(
+        F.min("opening").alias("opening"),
+        F.max("closing").alias("closing"),
+        *[F.sum(c).alias(c) for c in sums],
+    )
+
+
+def features_of_days(days: DataFrame, elapsed: bool = False) -> DataFrame:
+    """The look-back and the median run over a person's active days, sorted, after one shuffle.
+
+    A positive gap can only open a day, hence nothing is lost.  The state is that of the
+    earliest order with one.
+    """
+    delay_units_per_day = _delay(elapsed)[1]
     before = W.partitionBy("customer_unique_id").orderBy("opening").rowsBetween(
         W.unboundedPreceding, -1
     )

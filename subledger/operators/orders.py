@@ -59,18 +59,29 @@ def orders_items_left(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     )
 
 
-def int_order_facts(
+def order_rows(
     orders: DataFrame, customers: DataFrame, payments: DataFrame, order_items: DataFrame
 ) -> DataFrame:
-    """One row per order with its person, payments and items.
+    """Every order with its person, payments and items, and with its own columns.
 
     The customer join comes first: both later joins then share one shuffle of the
     orders on ``order_id``, which also serves distinct counts of orders downstream.
     """
-    joined = orders_items_left(
+    return orders_items_left(
         orders_payments_left(orders_customers(orders, customers), payments), order_items
     )
-    return joined.select(
+
+
+def int_order_facts(
+    orders: DataFrame, customers: DataFrame, payments: DataFrame, order_items: DataFrame
+) -> DataFrame:
+    """One row per order with its person, payments and items."""
+    return facts_of_rows(order_rows(orders, customers, payments, order_items))
+
+
+def facts_of_rows(rows: DataFrame) -> DataFrame:
+    """The published columns of ``order_rows``."""
+    return rows.select(
         "order_id",
         "customer_unique_id",
         "customer_state",

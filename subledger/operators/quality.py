@@ -1,6 +1,8 @@
 """Data-quality checks: the violating rows, and one status row per check."""
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +37,65 @@ def require_passed(report: DataFrame) -> None:
         raise QualityFailure("failed checks: " + "; ".join(sorted(failed)))
 
 
+def require_agreement(crosscheck: DataFrame) -> None:
+    """Stop where two ways to the same metric differ."""
+    apart = [r.metric for r in crosscheck.filter("agrees = 0").select("metric").collect()]
+    if apart:
+        raise QualityFailure("metrics differ when counted again: " + ", ".join(sorted(apart)))
+
+
+@dataclass(frozen=True)
+class Check:
+    """A check of one table: ``violations`` is an aggregate over its rows."""
+
+    table: str
+    name: str
+    violations: Column
+
+    @property
+    def title(self) -> str:
+        return f"{self.table}.{self.name}"
+
+
+def not_null(table: str, column: str) -> Check:
+    return Check(table, f"{column} not null", F.count_if(F.col(column).isNull()))
+
+
+def non_negative(table: str, column: str) -> Check:
+    return Check(table, f"{column} non-negative", F.count_if(F.col(column) < 0))
+
+
+def between_zero_and_one(table: str, column: str) -> Check:
+    return Check(table, f"{column} in [0, 1]", F.count_if((F.col(column) < 0) | (F.col(column) > 1)))
+
+
+def accepted(table: str, column: str, values: Sequence[str]) -> Check:
+    """Violations are distinct values outside the list; NULL is none."""
+    outside = F.when(~F.col(column).isin(*values), F.col(column))
+    return Check(table, f"{column} accepted", F.count_distinct(outside))
+
+
+def fused(tables: Mapping[str, DataFrame], checks: Iterable[Check]) -> DataFrame:
+    """One status row per check; all checks of a table come out of one pass over it.
+
+    Checks of one key's uniqueness need a shuffle of their own and are none of these.
+    """
+    reports = []
+    for table, own in groupby(sorted(checks, key=lambda c: c.table), key=lambda c: c.table):
+        own = list(own)
+        counts = tables[table].agg(*[c.violations.alias(f"v{i}") for i, c in enumerate(own)])
+        rows = [
+            F.struct(
+                F.lit(c.title).alias("check"),
+                F.col(f"v{i}").alias("violations"),
+                (F.col(f"v{i}") == 0).cast("int").alias("passed"),
+            )
+            for i, c in enumerate(own)
+        ]
+        reports.append(counts.select(F.inline(F.array(*rows))))
+    return all_of(*reports)
+
+
 def not_null_status(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """One status row per column, all from a single pass over the table."""
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])

@@ -426,6 +426,16 @@ person_facts as (
 )"""),
 }
 
+# The metric record whatever the size of the cohorts.
+PARTS["any_spread"] = (
+    ("segments",),
+    _spread("segments", "any_spread").replace(f"cohort_size >= {m.MIN_COHORT_SIZE}", "cohort_size >= 1"),
+)
+PARTS["any_summary"] = (
+    ("r_orders", "r_payments", "r_order_items", "by_sub", "any_spread"),
+    _summary("r_orders", "r_payments", "by_sub", "any_spread", "any_summary"),
+)
+
 # The metric record under both day semantics, over the event shop.
 for _tag, _features_name in (("x", "ec"), ("y", "ef")):
     PARTS[f"{_tag}_thresholds"] = ((_features_name,), _thresholds(_features_name, f"{_tag}_thresholds"))
@@ -568,13 +578,68 @@ MODELS = {
     "mart_cohort_retention": "cohort_mart",
     "mart_segment_retention": "segment_mart",
     "mart_marketing_efficiency": "efficiency",
+    "order_rows": "facts",
+    "customer_days": (
+        "(select distinct customer_unique_id, customer_state, cast(bought as date) as day from features_rows) days"
+    ),
+    "customer_features": "features",
+    "customer_profiles": "profiles",
+    "subscription_cycles": "cycles",
+    "segment_retention_cycle3": "segments",
 }
+MODEL_PARTS = [part for part in MODELS.values() if part in PARTS]
+WRITTEN = ("order_rows", "customer_days", "customer_features", "subscription_cycles", "segment_retention_cycle3")
 
 
 def oracle_sql() -> dict[str, str]:
     score_columns = "customer_unique_id, order_count, avg_delivery_delay_days, total_spend"
     segment_columns = "value_segment, cycle_number, cohort_size, retained_subscribers, retention_rate"
     cohort_columns = segment_columns.replace("value_segment", "cohort_month")
+    # quality
+    check_bodies = {
+        "dq_not_null": " union all ".join(
+            _check(f"{table}.{c} not null", f"select 1 from {source} where {c} is null")
+            for table, (source, columns) in NOT_NULL.items()
+            for c in columns
+        ),
+        "dq_unique": (
+            _check("stg_customers.customer_id unique",
+                   "select customer_id from r_customers group by 1 having count(*) > 1")
+            + " union all "
+            + _check("stg_orders.order_id unique",
+                     "select order_id from r_orders group by 1 having count(*) > 1")
+        ),
+        "dq_accepted_values": _check(
+            "stg_orders.order_status accepted",
+            "select order_status from r_orders where order_status not in ("
+            + ", ".join(f"'{s}'" for s in m.ORDER_STATUSES)
+            + ") group by 1",
+        ),
+        "dq_non_negative": (
+            _check("stg_subscription_cycles.billing_amount non-negative",
+                   "select 1 from cycles where billing_amount < 0")
+            + " union all "
+            + _check("stg_payments.payment_value non-negative",
+                     "select 1 from r_payments where payment_value < 0")
+        ),
+        "dq_rate_bounds": _check(
+            "mart_segment_retention.retention_rate in [0, 1]",
+            "select 1 from segment_mart where retention_rate < 0 or retention_rate > 1",
+        ),
+        "dq_unique_cycle": _check(
+            "stg_subscription_cycles (subscription_id, cycle_number) unique",
+            "select subscription_id, cycle_number from cycles group by 1, 2 having count(*) > 1",
+        ),
+    }
+    check_parts = {
+        "dq_not_null": ("r_customers", "r_orders", "r_payments", "cycles", "cohort_mart", "segment_mart"),
+        "dq_unique": ("r_customers", "r_orders"),
+        "dq_accepted_values": ("r_orders",),
+        "dq_non_negative": ("cycles", "r_payments"),
+        "dq_rate_bounds": ("segment_mart",),
+        "dq_unique_cycle": ("cycles",),
+    }
+    checks = {name: sql(body, *check_parts[name]) for name, body in check_bodies.items()}
     return {
         # files
         "csv_scan": sql("select distinct * from r_order_items", "r_order_items"),
@@ -609,9 +674,9 @@ def oracle_sql() -> dict[str, str]:
             "select value_segment, retention_rate as cycle3_retention_rate from segments", "segments"
         ),
         "model_materialize": sql(
-            "select model, case when starts_with(model, 'mart_') then 'table' else 'view' end"
+            f"select model, case when starts_with(model, 'mart_') or model in {WRITTEN} then 'table' else 'view' end"
             " as materialization, rows from (" + counts(MODELS, "model", "rows") + ") counted",
-            *MODELS.values(),
+            *MODEL_PARTS,
         ),
         # staging
         "stg_customers": sql("select * from r_customers", "r_customers"),
@@ -678,6 +743,7 @@ def oracle_sql() -> dict[str, str]:
         "items_by_order": sql("select * from items", "items"),
         "int_order_facts": sql("select * from facts", "facts"),
         "customer_features": sql("select * from features", "features"),
+        "customer_features_incremental": sql("select * from features", "features"),
         "customer_features_elapsed": sql(
             "select " + FEATURE_COLUMNS.format(delay="round(avg_delivery_delay_days, 9)") + " from ef",
             "ef",
@@ -790,52 +856,11 @@ def oracle_sql() -> dict[str, str]:
         "billing_cycles": sql("select * from cycles", "cycles"),
         "marketing_spend": sql("select * from r_marketing_spend", "r_marketing_spend"),
         "catalog_tiers": sql("select * from r_catalog_overrides", "r_catalog_overrides"),
-        # quality
-        "dq_not_null": sql(
-            " union all ".join(
-                _check(f"{table}.{c} not null", f"select 1 from {source} where {c} is null")
-                for table, (source, columns) in NOT_NULL.items()
-                for c in columns
-            ),
+        **checks,
+        "quality_report": sql(
+            " union all ".join(check_bodies.values()),
             "r_customers", "r_orders", "r_payments", "cycles", "cohort_mart", "segment_mart",
         ),
-        "dq_unique": sql(
-            _check("stg_customers.customer_id unique",
-                   "select customer_id from r_customers group by 1 having count(*) > 1")
-            + " union all "
-            + _check("stg_orders.order_id unique",
-                     "select order_id from r_orders group by 1 having count(*) > 1"),
-            "r_customers", "r_orders",
-        ),
-        "dq_accepted_values": sql(
-            _check(
-                "stg_orders.order_status accepted",
-                "select order_status from r_orders where order_status not in ("
-                + ", ".join(f"'{s}'" for s in m.ORDER_STATUSES)
-                + ") group by 1",
-            ),
-            "r_orders",
-        ),
-        "dq_non_negative": sql(
-            _check("stg_subscription_cycles.billing_amount non-negative",
-                   "select 1 from cycles where billing_amount < 0")
-            + " union all "
-            + _check("stg_payments.payment_value non-negative",
-                     "select 1 from r_payments where payment_value < 0"),
-            "cycles", "r_payments",
-        ),
-        "dq_rate_bounds": sql(
-            _check("mart_segment_retention.retention_rate in [0, 1]",
-                   "select 1 from segment_mart where retention_rate < 0 or retention_rate > 1"),
-            "segment_mart",
-        ),
-        "dq_unique_cycle": sql(
-            _check(
-                "stg_subscription_cycles (subscription_id, cycle_number) unique",
-                "select subscription_id, cycle_number from cycles group by 1, 2 having count(*) > 1",
-            ),
-            "cycles",
-        ),
         "dq_metric_gates": sql(
             "select 'enough orders' as \"check\", case when real_orders > 90000 then 1 else 0 end as passed"
             " from summary union all select 'two or more segments',"
@@ -844,6 +869,13 @@ def oracle_sql() -> dict[str, str]:
             " case when synthetic_subscribers > 0 then 1 else 0 end from summary",
             "summary",
         ),
+        "metrics_recount": sql(
+            "select metric, pipeline_value, pipeline_label, pipeline_value as crosscheck_value,"
+            " pipeline_label as crosscheck_label,"
+            " case when pipeline_value is not null then 0.0::double end as difference, 1 as agrees"
+            f" from ({_unpivot('any_summary', 'pipeline')}) a",
+            "any_summary",
+        ),
         "metrics_crosscheck": sql(
             "select a.metric, pipeline_value, pipeline_label, crosscheck_value, crosscheck_label,"
             " crosscheck_value - pipeline_value as difference,"

@@ -23,7 +23,9 @@ from subledger.operators.staging import (
     staging_models,
     stg_subscription_cycles,
 )
-from subledger.plans import pipeline
+from subledger.operators.recount import recounted_metrics
+from subledger.plans import incremental, pipeline
+from subledger.plans.models import TABLE
 from subledger.schemas import RAW_SCHEMAS, TIMESTAMP_COLUMNS
 from subledger.sources import files, star_schema
 from subledger.sources.contract import source_contract
@@ -148,17 +150,15 @@ def metrics_json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = segment_retention_cycle3(spark, sf_dir).select(
-        "value_segment", F.col("retention_rate").alias("cycle3_retention_rate")
-    )
-    path = _as_csv(rates, "segment_retention")
+    path = _as_csv(pipeline.cycle3_rates(segment_retention_cycle3(spark, sf_dir)), "segment_retention")
     return files.csv_scan(spark, path, "value_segment string, cycle3_retention_rate double")
 
 
 def model_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = pipeline.model_materialize(_models(spark, sf_dir), new_path(spark, "marts"))
+    tables = pipeline.model_materialize(raw_tables(spark, sf_dir), new_path(spark, "warehouse"))
     counts = files.row_counts(tables)
-    kind = F.when(F.col("name").isin(pipeline.MARTS), "table").otherwise("view")
+    written = [model.name for model in pipeline.declared() if model.kept == TABLE]
+    kind = F.when(F.col("name").isin(written), "table").otherwise("view")
     return counts.select(F.col("name").alias("model"), kind.alias("materialization"), "rows")
 
 
@@ -275,6 +275,25 @@ def metrics_crosscheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.metrics_crosscheck(*records)
 
 
+def metrics_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metric record and its recount by sorting, over the same cycles."""
+    raw = raw_tables(spark, sf_dir)
+    cycles = pipeline.staged_cycles(raw)
+    return metrics.metrics_crosscheck(
+        metrics.summary_metrics(raw, cycles, min_cohort=1), recounted_metrics(raw, cycles, min_cohort=1)
+    )
+
+
+def customer_features_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features after two batches of orders, of which the second also holds earlier days."""
+    raw, state = raw_tables(spark, sf_dir), new_path(spark, "customer_days")
+    number = F.col("order_id").cast("bigint")
+    for batch in (0, 1):
+        some = raw["orders"].filter(F.pmod(number, F.lit(2)) == batch)
+        found = incremental.update_features(spark, state, some, raw["customers"], raw["payments"])
+    return found
+
+
 # --- windows -----------------------------------------------------------------
 
 
@@ -372,6 +391,7 @@ def queries() -> dict[str, Query]:
         "items_by_order": _over(items_by_order, star_schema.order_items),
         "int_order_facts": _order_facts,
         "customer_features": customer_features,
+        "customer_features_incremental": customer_features_incremental,
         "customer_features_elapsed": customer_features_elapsed,
         "int_customer_features": _over(customers.int_customer_features, _order_facts),
         "spend_quartiles": _over(profiles.spend_quartiles, _features),
@@ -436,6 +456,8 @@ def queries() -> dict[str, Query]:
         "dq_unique_cycle": _over(pipeline.unique_cycle_report, _models),
         "dq_metric_gates": _over(quality.metric_gates, summary_metrics),
         "metrics_crosscheck": metrics_crosscheck,
+        "metrics_recount": metrics_recount,
+        "quality_report": _over(pipeline.quality_report, _models),
     }
 
 
