@@ -41,10 +41,12 @@ def library_cache(path: str, special: bool = True) -> PieceCache:
     added = added_tokens(json.loads(tokenizer.to_str())) if special else {}
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
-        return [
-            [added[p]] if p in added else [t.id for t in model.tokenize(p.decode("latin-1").translate(letters))]
-            for p in pieces
-        ]
+        text, at, out = b"".join(pieces).decode("latin-1").translate(letters), 0, []
+        for piece in pieces:
+            end = at + len(piece)
+            out.append([added[piece]] if piece in added else [t.id for t in model.tokenize(text[at:end])])
+            at = end
+        return out
 
     return PieceCache(encode, whole=tuple(added))
 

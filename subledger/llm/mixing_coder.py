@@ -30,7 +30,7 @@ HEADER = struct.Struct("<4sIIIII")  # magic, ids, lanes, vocabulary, checksum of
 BLOCK_IDS = 1 << 21
 LANES, LEAST_STEPS = 8192, 256
 TOTAL_BITS = 24  # resolution of a step's distribution
-ORDER0_BITS = 20
+LEAST_ORDER0_BITS, SPARE_BITS = 16, 2  # order 0 has four units an id, at least so many bits in all
 REBUILD = 8  # steps between new order-0 tables
 ID_BITS, MOST_RUN = 20, 7
 ORDER2_BITS = 18
@@ -47,9 +47,10 @@ class Model:
 
     def __init__(self, vocabulary: int, lanes: int, reading: bool = False):
         self.vocabulary, self.reading = vocabulary, reading
-        self.order1 = np.zeros(vocabulary, dtype=np.int64)  # id | run << ID_BITS
-        self.order2 = np.zeros(1 << ORDER2_BITS, dtype=np.int64)
-        self.seen = np.zeros(vocabulary, dtype=np.int64)
+        self.bits = max(LEAST_ORDER0_BITS, vocabulary.bit_length() + SPARE_BITS)
+        self.order1 = np.zeros(vocabulary, dtype=np.int32)  # id | run << ID_BITS
+        self.order2 = np.zeros(1 << ORDER2_BITS, dtype=np.int32)
+        self.seen, self.unforeseen = np.zeros(vocabulary, dtype=np.int64), []
         self.outcomes = np.tile(np.array([2, 2, 4], dtype=np.int64), (2 * (MOST_RUN + 1) ** 2, 1))
         self.last = np.zeros(lanes, dtype=np.int64)
         self.before = np.zeros(lanes, dtype=np.int64)
@@ -58,9 +59,13 @@ class Model:
 
     def rebuild(self) -> None:
         """Order-0 intervals of a fixed total; every id keeps at least one unit."""
-        room = (1 << ORDER0_BITS) - self.vocabulary
-        units = 1 + self.seen * room // max(1, int(self.seen.sum()))
-        units[0] += (1 << ORDER0_BITS) - units.sum()
+        if self.unforeseen:
+            self.seen += np.bincount(np.concatenate(self.unforeseen), minlength=self.vocabulary)
+            self.unforeseen = []
+        room, total = (1 << self.bits) - self.vocabulary, max(1, int(self.seen.sum()))
+        # whole parts of quotients of numbers below 2^53: doubles give them exactly
+        units = 1 + (self.seen * room / total).astype(np.int64)
+        units[0] += (1 << self.bits) - units.sum()
         self.bounds = np.zeros(self.vocabulary + 1, dtype=np.int64)
         np.cumsum(units, out=self.bounds[1:])
         if self.reading:
@@ -70,33 +75,47 @@ class Model:
         """For the first n lanes: both predicted ids and the shares of the distribution."""
         self.last, self.before = self.last[:n], self.before[:n]
         self.context = (self.last * 40503 + self.before * 2654435761) >> 4 & ((1 << ORDER2_BITS) - 1)
-        self.entry1, self.entry2 = self.order1[self.last], self.order2[self.context]
-        mask = (1 << ID_BITS) - 1
+        self.entry1, self.entry2 = self.order1.take(self.last), self.order2.take(self.context)
+        mask = np.int32((1 << ID_BITS) - 1)
         self.id1, self.id2 = self.entry1 & mask, self.entry2 & mask
         self.run1, self.run2 = self.entry1 >> ID_BITS, self.entry2 >> ID_BITS
-        self.state = (self.run2 * (MOST_RUN + 1) + self.run1) * 2 + (self.id1 == self.id2)
+        state = (self.run2 * np.int32(MOST_RUN + 1) + self.run1) * np.int32(2) + (self.id1 == self.id2)
+        self.state = state.astype(np.int64)
         total = self.outcomes.sum(axis=1)
         shares = (self.outcomes[:, :2] * (15 << TOTAL_BITS - 4)) // total[:, None]
         shares = np.maximum(shares, 1)
-        self.share2, self.share1 = shares[self.state, 0], shares[self.state, 1]
-        self.rest = self.share2 + self.share1
+        self.share2, both = shares[:, 0].take(self.state), shares.sum(axis=1)
+        self.rest = both.take(self.state)
+        self.room = (1 << TOTAL_BITS) - self.rest
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids' parts of the distribution begin, and how wide they are."""
+        self.hit2, self.hit1 = ids == self.id2, ids == self.id1
+        begin = self.rest + (self.bounds.take(ids) * self.room >> self.bits)
+        end = self.rest + (self.bounds.take(ids + 1) * self.room >> self.bits)
+        np.copyto(begin, self.share2, where=self.hit1)
+        np.copyto(end, self.rest, where=self.hit1)
+        begin[self.hit2] = 0
+        np.copyto(end, self.share2, where=self.hit2)
+        return begin, end - begin
 
     def learn(self, ids: np.ndarray) -> None:
-        hit2 = ids == self.id2
-        hit1 = (ids == self.id1) & ~hit2
-        outcome = np.where(hit2, 0, np.where(hit1, 1, 2))
+        """After ``interval`` of the same ids."""
+        hit2, missed = self.hit2, ~(self.hit1 | self.hit2)
+        outcome = np.where(hit2, 0, 1 + missed)
         counts = np.bincount(self.state * 3 + outcome, minlength=self.outcomes.size)
         self.outcomes += counts.reshape(-1, 3)
         if self.step % 64 == 63:
             self.outcomes = (self.outcomes + 1) // 2 + 1
-        one = 1 << ID_BITS
+        one, small = np.int32(1 << ID_BITS), ids.astype(np.int32)
         for table, at, entry, run, hit in (
-            (self.order1, self.last, self.entry1, self.run1, ids == self.id1),
+            (self.order1, self.last, self.entry1, self.run1, self.hit1),
             (self.order2, self.context, self.entry2, self.run2, hit2),
         ):
-            missed = np.where(run > 0, entry - one, ids)
-            table[at] = np.where(hit, entry + one * (run < MOST_RUN), missed)
-        self.seen += np.bincount(ids[outcome == 2], minlength=self.vocabulary)
+            new = np.where(run > 0, entry - one, small)
+            np.copyto(new, entry + one * (run < MOST_RUN), where=hit)
+            table[at] = new
+        self.unforeseen.append(ids[missed])
         self.before, self.last = self.last, ids
         self.step += 1
         if self.step % REBUILD == 0 or self.step < REBUILD:
@@ -114,6 +133,18 @@ def _active(n: int, steps: int, step: int) -> int:
     return (n - step + steps - 1) // steps
 
 
+def _moves(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Which lanes have a word that no longer changes, or too little room left."""
+    return ((low ^ (low + width)) < TOP) | (width < BOTTOM)
+
+
+def _moved(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lanes after their top word has gone; a carry that would reach it is cut off."""
+    settled = (low ^ (low + width)) < TOP
+    width = np.where(settled, width, (~low + U(1)) & (BOTTOM - U(1)))
+    return low << U(16), width << U(16)
+
+
 def compressed(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes]:
     """Lanes, and the lanes' word counts and words."""
     n = len(ids)
@@ -128,32 +159,24 @@ def compressed(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes]:
         active = _active(n, steps, step)
         own = grid[step, :active]
         model.predict(active)
-        hit2, hit1 = own == model.id2, own == model.id1
-        room = (1 << TOTAL_BITS) - model.rest
-        begin = model.rest + (model.bounds[own] * room >> ORDER0_BITS)
-        end = model.rest + (model.bounds[own + 1] * room >> ORDER0_BITS)
-        begin = np.where(hit2, 0, np.where(hit1, model.share2, begin))
-        end = np.where(hit2, model.share2, np.where(hit1, model.rest, end))
-        unit = width[:active] >> U(TOTAL_BITS)
-        low[:active] += unit * begin.astype(np.uint64)
-        width[:active] = unit * (end - begin).astype(np.uint64)
+        begin, room = model.interval(own)
+        low, width = low[:active], width[:active]  # what lanes that ended have left is in ``out``
+        unit = width >> U(TOTAL_BITS)
+        low += unit * begin.view(np.uint64)
+        width = unit * room.view(np.uint64)
         model.learn(own)
-        at = np.arange(active)
-        while True:
+        at = np.flatnonzero(_moves(low, width))
+        while len(at):
             lo, wi = low[at], width[at]
-            settled = (lo ^ (lo + wi)) < TOP
-            narrow = ~settled & (wi < BOTTOM)
-            go = settled | narrow
-            if not go.any():
-                break
-            at, lo, wi, narrow = at[go], lo[go], wi[go], narrow[go]
-            wi = np.where(narrow, (~lo + U(1)) & (BOTTOM - U(1)), wi)
             out_lanes.append(at.astype(np.uint16))
             out_words.append((lo >> U(48)).astype(np.uint16))
-            low[at], width[at] = lo << U(16), wi << U(16)
-    for shift in (48, 32, 16, 0):
-        out_lanes.append(np.arange(lanes, dtype=np.uint16))
-        out_words.append((low >> U(shift)).astype(np.uint16))
+            low[at], width[at] = lo, wi = _moved(lo, wi)
+            at = at[_moves(lo, wi)]
+        ended = active if step + 1 == steps else _active(n, steps, step + 1)
+        for shift in (48, 32, 16, 0) if ended < active or step + 1 == steps else ():
+            done = np.arange(0 if step + 1 == steps else ended, active, dtype=np.uint16)
+            out_lanes.append(done)
+            out_words.append((low[done] >> U(shift)).astype(np.uint16))
     by_lane = np.concatenate(out_lanes)
     words = np.concatenate(out_words)[np.argsort(by_lane, kind="stable")]
     counts = np.bincount(by_lane, minlength=lanes)
@@ -175,38 +198,40 @@ def expanded(n: int, lanes: int, vocabulary: int, payload: bytes) -> np.ndarray:
     for step in range(steps):
         active = _active(n, steps, step)
         model.predict(active)
-        unit = width[:active] >> U(TOTAL_BITS)
-        at = np.minimum((code[:active] - low[:active]) // unit, U((1 << TOTAL_BITS) - 1)).astype(np.int64)
-        room = (1 << TOTAL_BITS) - model.rest
-        # the last id whose interval begins at or before ``at``
-        target = (((at - model.rest + 1) << ORDER0_BITS) - 1) // room
-        own = model.owner[np.minimum(np.maximum(target, 0), (1 << ORDER0_BITS) - 1)].astype(np.int64)
-        hit2, hit1 = at < model.share2, at < model.rest
-        own = np.where(hit2, model.id2, np.where(hit1, model.id1, own))
-        begin = model.rest + (model.bounds[own] * room >> ORDER0_BITS)
-        end = model.rest + (model.bounds[own + 1] * room >> ORDER0_BITS)
-        begin = np.where(hit2, 0, np.where(hit1, model.share2, begin))
-        end = np.where(hit2, model.share2, np.where(hit1, model.rest, end))
-        low[:active] += unit * begin.astype(np.uint64)
-        width[:active] = unit * (end - begin).astype(np.uint64)
+        low, width, code, place = low[:active], width[:active], code[:active], place[:active]
+        unit = width >> U(TOTAL_BITS)
+        at = _quotient(code - low, unit)
+        # the last id whose interval begins at or before ``at``; both numbers are exact as doubles
+        first = ((at - model.rest + 1) << model.bits) - 1
+        target = (first.astype(np.float64) / model.room.astype(np.float64)).astype(np.int64)
+        own = model.owner.take(np.clip(target, 0, (1 << model.bits) - 1))
+        np.copyto(own, model.id1, where=at < model.rest)
+        np.copyto(own, model.id2, where=at < model.share2)
+        own = own.astype(np.int64)
+        begin, room = model.interval(own)
+        low += unit * begin.view(np.uint64)
+        width = unit * room.view(np.uint64)
         model.learn(own)
         grid[step, :active] = own
-        at = np.arange(active)
-        while True:
-            lo, wi = low[at], width[at]
-            settled = (lo ^ (lo + wi)) < TOP
-            narrow = ~settled & (wi < BOTTOM)
-            go = settled | narrow
-            if not go.any():
-                break
-            at, lo, wi, narrow = at[go], lo[go], wi[go], narrow[go]
-            wi = np.where(narrow, (~lo + U(1)) & (BOTTOM - U(1)), wi)
-            code[at] = code[at] << U(16) | words[np.minimum(place[at], len(words) - 1)]
+        at = np.flatnonzero(_moves(low, width))
+        while len(at):
+            code[at] = code[at] << U(16) | words.take(place[at], mode="clip")
             place[at] += 1
-            low[at], width[at] = lo << U(16), wi << U(16)
+            low[at], width[at] = lo, wi = _moved(low[at], width[at])
+            at = at[_moves(lo, wi)]
     return grid.T.reshape(-1)[:n]
 
 
+def _quotient(number: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """``number // unit``, at most the last place of the distribution."""
+    most = U((1 << TOTAL_BITS) - 1)
+    near = (number.astype(np.float64) / unit.astype(np.float64)).astype(np.uint64)
+    near = np.minimum(near, most)
+    near -= near * unit > number  # the estimate is off by one at most
+    near += number - near * unit >= unit
+    return np.minimum(near, most).view(np.int64)
+
+
 def encode_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """A block of the ids of whole documents; ``lengths`` are the documents' id counts."""
     ids = np.ascontiguousarray(ids, dtype="<u4")

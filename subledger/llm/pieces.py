@@ -6,6 +6,7 @@ follows. Each distinct piece is encoded once per Python worker, by the function
 """
 
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import regex
@@ -13,6 +14,7 @@ import regex
 from subledger.llm.text import TAIL, Texts, eights, mixed, same_spans, word_hashes
 
 SLOT_BITS = 21
+NEAR_BITS = 15  # of a small table before the large one, for the pieces that come up all the time
 SHORT = 7  # bytes that fit a key beside their number
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _classes: list[np.ndarray] = []
@@ -105,6 +107,8 @@ class PieceCache:
     def clear(self) -> None:
         self.keys = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
         self.slots = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+        self.near_keys = np.zeros(1 << NEAR_BITS, dtype=np.uint64)
+        self.near_slots = np.full(1 << NEAR_BITS, -1, dtype=np.int32)
         self.ids, self.bounds = np.empty(1 << 20, dtype=np.int32), np.zeros(1 << 12, dtype=np.int64)
         self.raw, self.places = np.empty(1 << 20, dtype=np.uint8), np.zeros(1 << 12, dtype=np.int64)
         self.count = 0
@@ -120,12 +124,28 @@ class PieceCache:
             edges = _room(getattr(self, bounds), self.count + 1)
             edges[base + 1 : self.count + 1] = edges[base] + np.cumsum(np.fromiter(sizes, np.int64, len(pieces)))
             held = _room(getattr(self, values), int(edges[self.count]))
-            new = [i for ids in encoded for i in ids] if name == "flat" else np.frombuffer(b"".join(pieces), np.uint8)
+            if name == "flat":
+                new = np.fromiter(chain.from_iterable(encoded), np.int32, int(edges[self.count] - edges[base]))
+            else:
+                new = np.frombuffer(b"".join(pieces), np.uint8)
             held[edges[base] : edges[self.count]] = new
             setattr(self, bounds, edges)
             setattr(self, values, held)
         return base
 
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """The piece kept under each key, -1 for none."""
+        hashes = mixed(keys)
+        near = (hashes >> np.uint64(64 - NEAR_BITS)).view(np.int64)
+        piece = np.where(self.near_keys.take(near) == keys, self.near_slots.take(near), -1)
+        far = np.flatnonzero(piece < 0)
+        slot = (hashes[far] & np.uint64((1 << SLOT_BITS) - 1)).view(np.int64)
+        known = self.keys.take(slot) == keys[far]
+        far, slot = far[known], slot[known]
+        piece[far] = self.slots.take(slot)
+        self.near_keys[near[far]], self.near_slots[near[far]] = keys[far], piece[far]
+        return piece.astype(np.int64)
+
     def encoded(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where the ids of each text begin."""
         return self.encoded_pieces(texts.data, *split(texts, self.whole))
@@ -138,8 +158,7 @@ class PieceCache:
         if self.count > self.most:
             self.clear()
         keys, long = piece_keys(data, bounds)
-        slot = (mixed(keys) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
-        piece = np.where(self.keys[slot] == keys, self.slots[slot], -1).astype(np.int64)
+        piece = self._found(keys)
         doubtful = long[piece[long] >= 0]
         kept = piece[doubtful]
         same = self.places[kept + 1] - self.places[kept] == sizes[doubtful]
@@ -151,8 +170,8 @@ class PieceCache:
         while len(missing):
             new, where, back = np.unique(keys[missing], return_index=True, return_inverse=True)
             one = missing[where]
-            raw = [data[s:e].tobytes() for s, e in zip(starts[one].tolist(), bounds[one + 1].tolist(), strict=True)]
-            base = self._add(raw)
+            every = data.tobytes()
+            base = self._add([every[s:e] for s, e in zip(starts[one].tolist(), bounds[one + 1].tolist(), strict=True)])
             piece[missing] = base + back
             at = (mixed(new) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
             self.keys[at], self.slots[at] = new, base + np.arange(len(new))
