@@ -1,5 +1,7 @@
 """Order grain: joins, pre-aggregated facts and gaps between a person's orders."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -150,40 +152,47 @@ def order_gaps(
     order follows 0 days after it, rows without a person are one person's, and a row
     without a time has no gap.
 
-    Only the first order of a day can be a day or more after the previous order.  So the
-    look-back runs over one row per person and active day, a group the calendar bounds
-    however many orders the person has.  Copies are counted first and written, which the
-    later steps share; the order id that opens a day is looked for among the rows of that
-    moment alone.
+    Copies are counted first.  What is left is sorted over all tasks by person, time and id, so
+    a person with very many orders, even at one moment, is spread over tasks.  Each task looks
+    back inside its own stretch; only the first row of a stretch looks at the last row of the
+    stretch before it, of which there is one a task.
     """
     copies = rows.groupBy(person, order_id, bought).agg(F.count("*").alias("copies"))
-    copies = staged(copies, "order_copies")
-    by_day = (
-        copies.filter(F.col(bought).isNotNull())
-        .groupBy(person, F.to_date(bought).alias("day"))
-        .agg(F.min(bought).alias("opening"), F.max(bought).alias("closing"))
-    )
-    before = F.lag("closing").over(W.partitionBy(person).orderBy("day"))
-    openings = by_day.select(
-        F.col(person).alias("who"),
-        "opening",
-        whole_days_between(before, F.col("opening"), elapsed).alias("opening_gap"),
-        F.lit(True).alias("opens_day"),
-    )
-    at_opening = F.col(person).eqNullSafe(F.col("who")) & (F.col(bought) == F.col("opening"))
-    placed = copies.join(openings, at_opening, "left").drop("who", "opening")
-    moment = W.partitionBy(person, bought).orderBy(order_id)
-    is_opener = F.col("opens_day") & (F.row_number().over(moment) == 1)
-    first_gap = F.when(is_opener, F.col("opening_gap")).otherwise(0)
+    stretches = sorted_stretches(copies, person, bought, order_id)
+    before = look_back(stretches, [person, bought], [person, bought, order_id])
+    same = F.col(f"before.{person}").eqNullSafe(F.col(person)) & F.col("before").isNotNull()
+    gap = F.when(same, whole_days_between(F.col(f"before.{bought}"), F.col(bought), elapsed))
+    first_gap = before.select(person, order_id, bought, "copies", gap.alias("first_gap"))
     # Copies come back in chunks, so that very many of one order are no large array.
     last_chunk = F.floor((F.col("copies") - 1) / F.lit(COPY_CHUNK))
-    chunks = placed.filter(F.col("opens_day")).withColumn("first_gap", first_gap).unionByName(
-        placed.filter(F.col("opens_day").isNull()).withColumn("first_gap", F.lit(0))
-    )
-    chunks = chunks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
+    chunks = first_gap.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
     size = F.least(F.lit(COPY_CHUNK), F.col("copies") - F.col("chunk") * COPY_CHUNK)
     each = chunks.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
     gap = F.when((F.col("chunk") == 0) & (F.col("copy") == 1), F.col("first_gap")).otherwise(0)
     return each.select(
         person, order_id, bought, F.when(F.col(bought).isNotNull(), gap).cast("int").alias("gap_days")
     )
+
+
+def sorted_stretches(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with the number of their stretch of the order, written; stretches ascend.
+
+    Rows equal in all of ``order`` lie in one stretch, so no two of them should be.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("stretch", F.spark_partition_id())
+    return staged(ranged, "sorted_stretches")
+
+
+def look_back(stretches: DataFrame, wanted: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``before``: the wanted columns of the row before in ``order``; NULL on the first of all."""
+    within = W.partitionBy("stretch").orderBy(*order)
+    ends = stretches.groupBy("stretch").agg(F.max(F.struct(*order)).alias("last"))
+    # one row a stretch
+    previous = F.lag("last").over(W.orderBy("stretch"))
+    ends = ends.select("stretch", previous.alias("end_before"))
+    inside = stretches.withColumn("before", F.lag(F.struct(*wanted)).over(within))
+    opens = F.row_number().over(within) == 1
+    joined = inside.withColumn("opens", opens).join(ends, "stretch", "left")
+    from_end = F.when(F.col("end_before").isNotNull(), F.struct(*[F.col(f"end_before.{c}").alias(c) for c in wanted]))
+    chosen = F.when(F.col("opens"), from_end).otherwise(F.col("before"))
+    return joined.withColumn("before", chosen).drop("opens", "end_before", "stretch")

@@ -1,6 +1,7 @@
 """Customer features, quantiles and gaps against brute force, edge cases and hot keys included."""
 
 import random
+import re
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
@@ -11,10 +12,17 @@ from subledger.functions import quantiles
 from subledger.functions.money import exact_parts, exact_sum, exact_sum_of_parts
 from subledger.functions.quantiles import exact_quantiles
 from subledger.operators.customers import customer_features, int_customer_features
-from subledger.operators.orders import int_order_facts, order_gaps, orders_customers, payments_by_order
+from subledger.operators.orders import (
+    int_order_facts,
+    order_gaps,
+    orders_customers,
+    payments_by_order,
+    sorted_stretches,
+)
 from subledger.operators.profiles import spend_quartiles, with_value_segment
 from subledger.schemas import RAW_SCHEMAS
 from tests import brute
+from tests.test_plans import physical
 
 START = datetime(2020, 1, 1)
 
@@ -235,3 +243,36 @@ def test_exact_sums_of_random_amounts(spark):
     for key in got:
         units = sum(round(Decimal(x) * 10**10) for k, x in rows if k == key)
         assert got[key] == again[key] == float(Decimal(units).scaleb(-10)), key
+
+
+@pytest.mark.parametrize("elapsed", [False, True])
+def test_order_gaps_over_many_stretches(spark, elapsed):
+    rng = random.Random(21)
+    rows = [("hot", f"h{i:05d}", START) for i in range(3000)]  # a third, at one moment
+    rows += [("hot", f"l{i}", START + timedelta(hours=30 * i)) for i in range(50)]
+    for i in range(6000):
+        when = None if i % 40 == 0 else START + timedelta(hours=rng.randrange(3000))
+        rows.append((rng.choice([None, "a", "b", *(f"p{k}" for k in range(200))]), f"o{i % 5900:05d}", when))
+    df = spark.createDataFrame(rows, "customer_unique_id string, order_id string, order_purchase_timestamp timestamp")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        copies = df.distinct()
+        order_by = ["customer_unique_id", "order_purchase_timestamp", "order_id"]
+        sizes = [r["count"] for r in sorted_stretches(copies, *order_by).groupBy("stretch").count().collect()]
+        assert len(sizes) == 8 and max(sizes) < copies.count() / 4
+        found = order_gaps(df, elapsed=elapsed)
+        assert "order_purchase_timestamp" not in " ".join(re.findall(r"Join .*", physical(found)))
+        got = sorted(map(str, (list(r) for r in found.collect())))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    expected, last = [], {}
+    for who, oid, when in sorted(rows, key=lambda r: (r[2] or START, r[1])):
+        gap = None
+        if when is not None:
+            if who in last:
+                past = when - last[who]
+                gap = past.days if elapsed else (when.date() - last[who].date()).days
+            last[who] = when
+        expected.append([who, oid, when, gap])
+    assert got == sorted(map(str, expected))
