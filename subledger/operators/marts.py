@@ -93,6 +93,11 @@ def retention(cycles: DataFrame, key: str) -> DataFrame:
         .groupBy(key, "cycle_number")
         .agg(F.count_distinct(active_subscription()).alias("retained_subscribers"))
     )
+    return rates_of(per_cycle, key)
+
+
+def rates_of(per_cycle: DataFrame, key: str) -> DataFrame:
+    """Counts per cohort key and cycle against those of cycle 1."""
     first_cycle = F.when(F.col("cycle_number") == 1, F.col("retained_subscribers"))
     size = F.max(first_cycle).over(W.partitionBy(key))
     return (

@@ -1,15 +1,16 @@
-"""Features kept up to date by batches of orders, without reading earlier orders again."""
+"""Features and retention kept up to date by batches, without reading earlier ones again."""
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from subledger.operators import bitmaps
 from subledger.operators import customers as person
 from subledger.operators.orders import delivered_orders, orders_customers, orders_payments_left
 from subledger.sources.shared_folder import replaced
 
 
-def stored_days(spark: SparkSession, path: str) -> DataFrame | None:
-    """The days of all batches so far; None before the first."""
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """What all batches so far have left; None before the first."""
     try:
         return spark.read.parquet(path)
     except AnalysisException:
@@ -32,7 +33,28 @@ def update_features(
     given again.
     """
     paid = orders_payments_left(orders_customers(delivered_orders(orders), customers), payments)
-    days, before = person.customer_days(paid, elapsed), stored_days(spark, path)
+    days, before = person.customer_days(paid, elapsed), stored(spark, path)
     if before is not None:
         days = person.merged_days(before, days)
     return person.features_of_days(replaced(days, path), elapsed)
+
+
+def update_retention(
+    spark: SparkSession, root: str, cycles: DataFrame, keys: tuple[str, ...] = ("value_segment", "cohort_month")
+) -> dict[str, DataFrame]:
+    """Add a batch of billing cycles to the bitmaps kept under ``root``; the retention marts by key.
+
+    Batches may repeat and overlap, and a subscription may go on over several.  Its cohort is
+    the month of the first bill of the batch that first has it.  Numbers are written before
+    the bits that use them, so a batch that failed can be given again.
+    """
+    numbers = f"{root}/numbers"
+    known = replaced(bitmaps.numbered(cycles, stored(spark, numbers)), numbers)
+    marts = {}
+    for key in keys:
+        path = f"{root}/active_by_{key}"
+        bits, before = bitmaps.active_bits(cycles, known, key), stored(spark, path)
+        if before is not None:
+            bits = bitmaps.laid_over(before, bits)
+        marts[key] = bitmaps.retention_of_bits(replaced(bits, path), key)
+    return marts

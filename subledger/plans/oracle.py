@@ -756,6 +756,8 @@ def oracle_sql() -> dict[str, str]:
         "cohort_sizes": sql("select * from cohort_sizes", "cohort_sizes"),
         "mart_segment_retention": sql("select * from segment_mart", "segment_mart"),
         "mart_cohort_retention": sql("select * from cohort_mart", "cohort_mart"),
+        "segment_retention_incremental": sql("select * from segment_mart", "segment_mart"),
+        "cohort_retention_incremental": sql("select * from cohort_mart", "cohort_mart"),
         "mart_marketing_efficiency": sql("select * from efficiency", "efficiency"),
         "revenue_by_month_state": sql("select * from revenue", "revenue"),
         "spend_by_month_state": sql("select * from spend", "spend"),

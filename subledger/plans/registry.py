@@ -294,6 +294,14 @@ def customer_features_incremental(spark: SparkSession, sf_dir: str) -> DataFrame
     return found
 
 
+def retention_incremental(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The retention mart after three batches: early cycles, late ones, and all once more."""
+    cycles, root = _staged_cycles(spark, sf_dir), new_path(spark, "retention")
+    for batch in (cycles.filter("cycle_number <= 2"), cycles.filter("cycle_number > 2"), cycles):
+        found = incremental.update_retention(spark, root, batch, (key,))[key]
+    return found
+
+
 # --- windows -----------------------------------------------------------------
 
 
@@ -403,6 +411,8 @@ def queries() -> dict[str, Query]:
         ),
         "mart_segment_retention": segment_mart,
         "mart_cohort_retention": cohort_mart,
+        "segment_retention_incremental": partial(retention_incremental, "value_segment"),
+        "cohort_retention_incremental": partial(retention_incremental, "cohort_month"),
         "mart_marketing_efficiency": _efficiency_mart,
         "revenue_by_month_state": _over(marts.revenue_by_month_state, _order_facts),
         "spend_by_month_state": _over(

@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from subledger.operators import metrics, orders, quality
+from subledger.operators import bitmaps, marts, metrics, orders, quality
 from subledger.operators.customers import customer_days, customer_features, features_of_days, merged_days
 from subledger.operators.orders import orders_customers, orders_payments_left
 from subledger.operators.recount import recounted_metrics
@@ -165,3 +165,42 @@ def test_the_recount_agrees_and_tells_planted_errors(spark):
     with pytest.raises(quality.QualityFailure, match="synthetic_subscribers"):
         quality.require_agreement(check)
     assert not re.search("metrics|money|marts", Path(recounted_metrics.__code__.co_filename).read_text().split("from collections")[1].split("def ")[0])
+
+
+def test_bitmaps_count_as_distinct_counts_do(spark, tmp_path, without_broadcast):
+    rows = spark.range(0, 100_000, 1, 8).selectExpr(
+        "concat('sub_', id) as subscription_id", "cast(1 + id % 6 as int) as last", "if(id % 50 = 0, 'b', 'a') as value_segment"
+    )
+    cycles = shared_folder.staged(
+        rows.withColumn("cycle_number", F.explode(F.sequence(F.lit(1), F.least(F.lit(6), F.col("last") + 1))))
+        .withColumn("renewed", (F.col("cycle_number") <= F.col("last")).cast("int"))
+        .withColumn("billing_date", F.expr("date_add(date'2020-01-31', 30 * (cycle_number - 1))")),
+        "hot_cohort",
+    )
+    whole = sorted(map(tuple, marts.mart_segment_retention(cycles).collect()))
+    root = str(tmp_path / "state")
+    for number, batch in enumerate((cycles.filter("cycle_number < 3"), cycles.filter("cycle_number > 2"), cycles.limit(500))):
+        found = incremental.update_retention(spark, root, batch)
+        numbers = spark.read.parquet(f"{root}/numbers")
+        if number == 0:
+            first = {r.subscription_id: r.number for r in numbers.collect()}
+            assert sorted(first.values()) == list(range(1, 100_001))
+    assert sorted(map(tuple, found["value_segment"].collect())) == whole
+    assert {r.subscription_id: r.number for r in numbers.collect()} == first
+    cohort = sorted(map(tuple, marts.retention(marts.with_cohort_month(cycles), "cohort_month").collect()))
+    assert sorted(map(tuple, found["cohort_month"].collect())) == cohort
+    plan = physical(bitmaps.active_bits(cycles, numbers, "value_segment"))
+    keys = [re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)]
+    assert sorted(keys)[:2] == ["subscription_id", "subscription_id"] and len(keys) == 3
+
+
+def test_new_subscriptions_follow_the_known_ones(spark, tmp_path):
+    root = str(tmp_path / "state")
+    batches = [[cycle("a", 1), cycle("b", 1), cycle("a", 2, 0, 1)], [cycle("c", 1), cycle("b", 2), cycle("b", 2)], []]
+    rows = []
+    for batch in batches:
+        rows += batch
+        found = incremental.update_retention(spark, root, table(spark, batch), ("value_segment",))["value_segment"]
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, marts.mart_segment_retention(table(spark, rows)).collect()))
+    numbers = {r.subscription_id: r.number for r in spark.read.parquet(f"{root}/numbers").collect()}
+    assert sorted(numbers.values()) == [1, 2, 3] and numbers["sub_c"] == 3
