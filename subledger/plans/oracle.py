@@ -723,6 +723,20 @@ def oracle_sql() -> dict[str, str]:
             "r_orders",
             "items",
         ),
+        "orders_payments_bucketed": sql(
+            "select o.*, coalesce(p.payment_value, 0.0::double) as payment_value"
+            " from r_orders o left join pay p using (order_id)",
+            "r_orders",
+            "pay",
+        ),
+        "orders_items_bucketed": sql(
+            "select o.*, coalesce(i.item_count, 0) as item_count,"
+            " coalesce(i.item_revenue, 0.0::double) as item_revenue,"
+            " coalesce(i.freight_value, 0.0::double) as freight_value"
+            " from r_orders o left join items i using (order_id)",
+            "r_orders",
+            "items",
+        ),
         "revenue_spend_full_outer": sql(
             "select month, customer_state, orders, observed_revenue_brl, marketing_spend_brl"
             " from efficiency",

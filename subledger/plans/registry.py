@@ -28,6 +28,7 @@ from subledger.plans import incremental, pipeline
 from subledger.plans.models import TABLE
 from subledger.schemas import RAW_SCHEMAS, TIMESTAMP_COLUMNS
 from subledger.sources import files, star_schema
+from subledger.sources.bucketed import Bucketed, by_key, laid_out
 from subledger.sources.contract import source_contract
 from subledger.sources.files import RawFile
 from subledger.sources.modelled import catalog_tiers, marketing_spend
@@ -206,6 +207,22 @@ def _over(build: Callable[..., DataFrame], source: Query, *args) -> Query:
     return lambda spark, sf_dir: build(source(spark, sf_dir), *args)
 
 
+def _bucketed(spark: SparkSession, sf_dir: str) -> dict[str, Bucketed]:
+    raw = raw_tables(spark, sf_dir)
+    tables = {name: raw[name] for name in ("orders", "payments", "order_items")}
+    return laid_out(tables, "order_id", 16, new_path(spark, "by_order"))
+
+
+def orders_payments_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _bucketed(spark, sf_dir)
+    return by_key(orders_payments_left, tables["orders"], tables["payments"])
+
+
+def orders_items_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = _bucketed(spark, sf_dir)
+    return by_key(orders_items_left, tables["orders"], tables["order_items"])
+
+
 # --- joins and aggregations ----------------------------------------------------
 
 
@@ -388,6 +405,8 @@ def queries() -> dict[str, Query]:
         "orders_items_left": lambda s, d: orders_items_left(
             star_schema.orders(s, d), star_schema.order_items(s, d)
         ),
+        "orders_payments_bucketed": orders_payments_bucketed,
+        "orders_items_bucketed": orders_items_bucketed,
         "revenue_spend_full_outer": lambda s, d: marts.revenue_spend_full_outer(
             *_efficiency_sides(s, d)
         ),

@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 
 from subledger.operators.customers import customer_features
 from subledger.operators.marts import mart_segment_retention
-from subledger.operators.orders import delivered_orders, int_order_facts, orders_customers
+from subledger.operators.orders import (
+    delivered_orders,
+    int_order_facts,
+    orders_customers,
+    orders_items_left,
+    orders_payments_left,
+)
 from subledger.plans.registry import queries
 from subledger.sources import star_schema
+from subledger.sources.bucketed import by_key, laid_out
 from subledger.sources.shared_folder import staged
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +99,25 @@ def test_a_hot_customer_id_is_split(without_broadcast):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_joins_of_laid_out_tables_need_no_shuffle(without_broadcast, bronze, tmp_path):
+    tables = laid_out({n: bronze[n] for n in ("orders", "payments", "order_items")}, "order_id", 8, str(tmp_path))
+    cold = orders_items_left(orders_payments_left(tables["orders"].cold, tables["payments"].cold), tables["order_items"].cold)
+    assert "Exchange" not in physical(cold)
+    assert cold.count() == bronze["orders"].count() and tables["orders"].hot.count() == 0
+
+
+def test_hot_and_missing_keys_lie_apart(without_broadcast, tmp_path):
+    spark = without_broadcast
+    rows = spark.range(0, 30_000, 1, 8)
+    order_id = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id").cast("string"))
+    payments = staged(rows.select(order_id.alias("order_id"), (F.col("id") % 1000 / 8).alias("payment_value")), "p")
+    orders = staged(payments.select("order_id").distinct().withColumn("n", F.lit(1)), "o")
+    tables = laid_out({"orders": orders, "payments": payments}, "order_id", 8, str(tmp_path))
+    largest = tables["payments"].cold.groupBy("order_id").count().agg(F.max("count")).first()[0]
+    assert largest == 1 and tables["payments"].hot.filter("order_id = 'hot'").count() == 10_000
+    assert len(list((tmp_path / "payments").glob("*.parquet"))) == 8
+    found = by_key(orders_payments_left, tables["orders"], tables["payments"])
+    assert sorted(map(str, found.collect())) == sorted(map(str, orders_payments_left(orders, payments).select(*found.columns).collect()))
+    assert not re.search("Exchange", physical(orders_payments_left(tables["orders"].cold, tables["payments"].cold)))
