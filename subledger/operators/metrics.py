@@ -195,18 +195,16 @@ def kpi_snapshot(kpi_mart: DataFrame) -> DataFrame:
 def segment_retention_pivot(
     segment_mart: DataFrame, segments: Sequence[str] = tuple(m.VALUE_SEGMENTS)
 ) -> DataFrame:
-    """Cycles down, segments across; naming the segments spares Spark a job to find them.
+    """Cycles down, segments across: the named ones, then any others there are, by name.
 
-    A segment that is not named ends the job, so none is left out unseen.
+    A segment without a name is none.  ``segment_mart`` is read twice, so pass a written table.
     """
     label = F.col("value_segment")
-    unknown = F.raise_error(F.concat(F.lit("segment not listed: "), F.coalesce(label, F.lit("NULL"))))
-    listed = F.when(label.isin(*segments), label).otherwise(unknown)
+    others = segment_mart.filter(label.isNotNull() & ~label.isin(*segments)).select(label).distinct()
+    # one row a segment, of which there are few: each becomes a column
+    columns = [*segments, *sorted(r.value_segment for r in others.collect())]
     return (
-        segment_mart.withColumn("value_segment", listed)
-        .groupBy("cycle_number")
-        .pivot("value_segment", list(segments))
-        .agg(F.max("retention_rate"))
+        segment_mart.groupBy("cycle_number").pivot("value_segment", columns).agg(F.max("retention_rate"))
     )
 
 

@@ -547,11 +547,6 @@ def _unpivot(record: str, prefix: str) -> str:
     return " union all ".join(rows)
 
 
-FEATURE_COLUMNS = (
-    "customer_unique_id, customer_state, first_order_date, order_count, avg_order_value, total_spend,"
-    " {delay} as avg_delivery_delay_days, observed_cadence_days"
-)
-
 NOT_NULL = {
     "stg_customers": ("r_customers", ["customer_id", "customer_unique_id"]),
     "stg_orders": ("r_orders", ["order_id"]),
@@ -758,10 +753,7 @@ def oracle_sql() -> dict[str, str]:
         "int_order_facts": sql("select * from facts", "facts"),
         "customer_features": sql("select * from features", "features"),
         "customer_features_incremental": sql("select * from features", "features"),
-        "customer_features_elapsed": sql(
-            "select " + FEATURE_COLUMNS.format(delay="round(avg_delivery_delay_days, 9)") + " from ef",
-            "ef",
-        ),
+        "customer_features_elapsed": sql("select * from ef", "ef"),
         "int_customer_features": sql("select * from person_facts", "person_facts"),
         "spend_quartiles": sql("select q1, q2, q3 from thresholds", "thresholds"),
         "fallback_cadence": sql("select fallback_cadence_days from thresholds", "thresholds"),

@@ -252,10 +252,9 @@ def customer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def customer_features_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     shop = star_schema.event_shop_tables(spark, sf_dir)
-    found = customers.customer_features(
+    return customers.customer_features(
         shop["orders"], shop["customers"], shop["payments"], elapsed=True
     )
-    return found.withColumn("avg_delivery_delay_days", F.round("avg_delivery_delay_days", 9))
 
 
 def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -445,7 +444,9 @@ def queries() -> dict[str, Query]:
         "avg_ltv": _over(metrics.avg_ltv, _cycles),
         "summary_metrics": summary_metrics,
         "monthly_revenue_vs_spend": _over(metrics.monthly_revenue_vs_spend, _efficiency_mart),
-        "segment_retention_pivot": _over(metrics.segment_retention_pivot, segment_mart),
+        "segment_retention_pivot": lambda s, d: metrics.segment_retention_pivot(
+            staged(segment_mart(s, d), "segment_mart")
+        ),
         "cohort_curve": _over(
             metrics.cohort_curve, _over(marts.mart_cohort_retention, _staged_cycles)
         ),

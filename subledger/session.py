@@ -1,5 +1,11 @@
 """Session settings the operators are planned for."""
 
+import atexit
+import re
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Calendar days and months are those of UTC.  Partition counts start high and are
@@ -18,7 +24,7 @@ SETTINGS = {
 
 
 def session(app_name: str, initial_partitions: int | None = None, **settings: str) -> SparkSession:
-    """A session on whatever master the launcher names.
+    """A session on whatever master the launcher names; its workers get this package.
 
     ``initial_partitions``: about the largest shuffle in bytes / 128 MB; at 100 TB of
     input tens of thousands.  Further settings are passed through.
@@ -29,4 +35,17 @@ def session(app_name: str, initial_partitions: int | None = None, **settings: st
     builder = SparkSession.builder.appName(app_name)
     for key, value in chosen.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> str:
+    """Send this package to the workers, which import functions that run there by name."""
+    folder = tempfile.mkdtemp(prefix="subledger-")  # served from here as long as the driver runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    return archive

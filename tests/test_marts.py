@@ -194,10 +194,11 @@ def test_metric_gates_threshold(spark):
     assert [r.passed for r in quality.metric_gates(record, 99).collect()] == [1, 1, 1]
 
 
-def test_an_unlisted_segment_stops_the_pivot(spark):
+def test_unlisted_segments_get_columns_of_their_own(spark):
     mart = spark.createDataFrame([(1, "value_1", 1.0), (1, "gold", 0.5)], "cycle_number int, value_segment string, retention_rate double")
-    with pytest.raises(Exception, match="segment not listed: gold"):
-        metrics.segment_retention_pivot(mart).collect()
+    pivot = metrics.segment_retention_pivot(mart)
+    assert pivot.columns == ["cycle_number", "value_1", "value_2", "value_3", "value_4", "gold"]
+    assert tuple(pivot.first()) == (1, 1.0, None, None, None, 0.5)
     row = metrics.segment_retention_pivot(mart, ["gold", "value_1"]).first()
     assert (row.gold, row.value_1) == (0.5, 1.0)
 

@@ -1,6 +1,7 @@
 """What the physical plans must and must not contain."""
 
 import re
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from subledger.operators.orders import (
     orders_payments_left,
 )
 from subledger.plans.registry import queries
+from subledger.session import ship
 from subledger.sources import star_schema
 from subledger.sources.bucketed import by_key, laid_out
 from subledger.sources.shared_folder import staged
@@ -121,3 +123,9 @@ def test_hot_and_missing_keys_lie_apart(without_broadcast, tmp_path):
     found = by_key(orders_payments_left, tables["orders"], tables["payments"])
     assert sorted(map(str, found.collect())) == sorted(map(str, orders_payments_left(orders, payments).select(*found.columns).collect()))
     assert not re.search("Exchange", physical(orders_payments_left(tables["orders"].cold, tables["payments"].cold)))
+
+
+def test_the_package_is_sent_whole(spark):
+    with zipfile.ZipFile(ship(spark)) as archive:
+        names = set(archive.namelist())
+    assert {"subledger/__init__.py", "subledger/operators/marts.py", "subledger/plans/models.py"} <= names
