@@ -1,7 +1,6 @@
 """Session settings the operators are planned for."""
 
 import atexit
-import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -36,8 +35,7 @@ def session(app_name: str, initial_partitions: int | None = None, **settings: st
     for key, value in chosen.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        ship(spark)
+    ship(spark)
     return spark
 
 
