@@ -1,14 +1,16 @@
 """Document quality by co-training of two views.
 
-The text view sees a document's words and their endings, hashed. The page view sees what
-surrounds the words: language, source, length, lines, shares of capitals, digits, signs and
-white space, how often words recur. Both are linear classifiers. They start from labelled
-rows; in each round either one labels the unlabelled rows it is surest of, for the other.
-Held-out labels calibrate both, and every document gets the sum of both calibrated log odds,
-less the prior that they share.
-
-Only the fit works on a sample, of at most ``LABELLED`` labelled and ``POOL`` unlabelled rows,
-those with the least hash of their key. All documents are scored.
+The text view sees a document's words and their endings, hashed, and what the text looks like:
+lines, shares of capitals, digits, signs and white space, how often words recur. The page view
+sees only the metadata that came with it: language, source and length as given. Both are linear
+classifiers. They start from labelled rows; in each round either one labels the unlabelled rows
+it is surest of, for the other. Held-out labels calibrate both, and every document gets the sum
+of both calibrated log odds, less the prior that they share. A view that tells nothing is
+calibrated to the prior and leaves the decision to the other.
+
+Only the fit works on a sample, of at most ``LABELLED`` labelled and ``POOL`` unlabelled keys,
+those with the least hash, one row of each: that of the least hash of its text. All documents
+are scored.
 """
 
 from typing import NamedTuple
@@ -54,8 +56,8 @@ def _bucket(values: pa.Array, n: int) -> np.ndarray:
     return out
 
 
-def page(texts, words: Words, hashes, langs: np.ndarray, sources: np.ndarray, n_chars: np.ndarray) -> np.ndarray:
-    """The page view of each text as a row of numbers."""
+def looks(texts, words: Words, hashes) -> np.ndarray:
+    """What each text looks like, as a row of numbers."""
     sizes = np.diff(texts.bounds)
     safe = np.maximum(sizes, 1)
     counts = np.diff(words.rows)
@@ -73,26 +75,31 @@ def page(texts, words: Words, hashes, langs: np.ndarray, sources: np.ndarray, n_
     distinct = np.bincount(row[order][new], minlength=len(counts)) / np.maximum(counts, 1)
     letters = np.append(0, np.cumsum(words.ends - words.starts))
     mean_word = (letters[words.rows[1:]] - letters[words.rows[:-1]]) / np.maximum(counts, 1)
-    numbers = [*shares, np.log1p(n_chars), np.log1p(sizes), np.log1p(lines), np.log1p(sizes / lines), distinct, np.log1p(mean_word)]
-    marks = np.zeros((len(counts), LANGS + SOURCES))
-    marks[np.arange(len(counts)), langs] = 1
-    marks[np.arange(len(counts)), LANGS + sources] = 1
-    return np.column_stack([*numbers, marks])
+    return np.column_stack([*shares, np.log1p(sizes), np.log1p(lines), np.log1p(sizes / lines), distinct, np.log1p(mean_word)])
 
 
-PAGE_COLUMNS = len(KINDS) + 6 + LANGS + SOURCES
+def page(langs: np.ndarray, sources: np.ndarray, n_chars: np.ndarray) -> np.ndarray:
+    """The metadata of each row as numbers."""
+    rows = np.arange(len(langs))
+    marks = np.zeros((len(langs), LANGS + SOURCES))
+    marks[rows, langs] = 1
+    marks[rows, LANGS + sources] = 1
+    return np.column_stack([np.log1p(n_chars), marks])
+
+
+LOOK_COLUMNS = len(KINDS) + 5
+PAGE_COLUMNS = 1 + LANGS + SOURCES
 
 
 def views(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array):
-    """For slices of a batch: first row, word features by row, page features."""
+    """For slices of a batch: the texts, their words, word features, looks and page features."""
     langs, sources = _bucket(lang, LANGS), _bucket(source, SOURCES)
     chars = np.nan_to_num(n_chars.cast(pa.float64()).to_numpy(zero_copy_only=False))
-    chars = np.maximum(chars, 0)
+    pages = page(langs, sources, np.maximum(chars, 0))
     for texts in slices(text):
         words = words_of(texts, texts.data, NON_SPACE)
         hashes = span_hashes(texts.data, words.starts, words.ends)
-        part = slice(texts.first, texts.last)
-        yield texts, words, content(texts, words, hashes), page(texts, words, hashes, langs[part], sources[part], chars[part])
+        yield texts, words, content(texts, words, hashes), looks(texts, words, hashes), pages[texts.first : texts.last]
 
 
 class Sparse(NamedTuple):
@@ -118,6 +125,19 @@ class Dense(NamedTuple):
         return errors @ self.matrix
 
 
+class Both(NamedTuple):
+    """The words of a text beside its looks."""
+
+    words: Sparse
+    looks: Dense
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return self.words.times(weights[:BUCKETS]) + self.looks.times(weights[BUCKETS:])
+
+    def back(self, errors: np.ndarray) -> np.ndarray:
+        return np.append(self.words.back(errors), self.looks.back(errors))
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -134,17 +154,32 @@ def fitted(features, n_columns: int, labels: np.ndarray, weights: np.ndarray, st
     return w
 
 
+class Scaling(NamedTuple):
+    means: np.ndarray
+    spreads: np.ndarray
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        return (rows - self.means) / self.spreads
+
+
+def scaling(rows: np.ndarray) -> Scaling:
+    return Scaling(rows.mean(axis=0), rows.std(axis=0) + 1e-3)
+
+
 class Model(NamedTuple):
     text: np.ndarray
     page: np.ndarray
-    means: np.ndarray
-    spreads: np.ndarray
+    looks_scaling: Scaling
+    page_scaling: Scaling
     scales: tuple[tuple[float, float], tuple[float, float]]  # of text and page log odds
     prior: float  # log odds
 
-    def scores(self, text_sums: np.ndarray, page_rows: np.ndarray) -> np.ndarray:
+    def scores(self, word_sums: np.ndarray, looks_rows: np.ndarray, page_rows: np.ndarray) -> np.ndarray:
         """Text, page and joint probability of good quality, one row each."""
-        raw = (text_sums + self.text[-1], ((page_rows - self.means) / self.spreads) @ self.page[:-1] + self.page[-1])
+        raw = (
+            word_sums + self.looks_scaling.of(looks_rows) @ self.text[BUCKETS:-1] + self.text[-1],
+            self.page_scaling.of(page_rows) @ self.page[:-1] + self.page[-1],
+        )
         odds = [np.clip(a * x + b, -20, 20) for x, (a, b) in zip(raw, self.scales, strict=True)]
         return np.column_stack([sigmoid(odds[0]), sigmoid(odds[1]), sigmoid(odds[0] + odds[1] - self.prior)])
 
@@ -156,15 +191,17 @@ def calibrated(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> t
     return max(0.0, float(w[0] / spread)), float(w[1])
 
 
-def co_trained(text: Sparse, pages: np.ndarray, labels: np.ndarray, share_good: float) -> Model:
+def co_trained(
+    text: Sparse, looks_rows: np.ndarray, pages: np.ndarray, labels: np.ndarray, share_good: float, rounds: int = ROUNDS
+) -> Model:
     """``labels``: 1, 0, or -1 for unlabelled rows; every fourth labelled row calibrates."""
     known = np.flatnonzero(labels >= 0)
     held = np.zeros(len(labels), dtype=bool)
     for value in (0, 1):
         held[known[labels[known] == value][::4]] = True
-    means, spreads = pages.mean(axis=0), pages.std(axis=0) + 1e-3
-    features = [text, Dense((pages - means) / spreads)]
-    columns = [BUCKETS, pages.shape[1]]
+    of_looks, of_pages = scaling(looks_rows), scaling(pages)
+    features = [Both(text, Dense(of_looks.of(looks_rows))), Dense(of_pages.of(pages))]
+    columns = [BUCKETS + looks_rows.shape[1], pages.shape[1]]
     given = [np.where(held, -1, labels).astype(float) for _ in features]
 
     def one(view: int) -> np.ndarray:
@@ -175,7 +212,7 @@ def co_trained(text: Sparse, pages: np.ndarray, labels: np.ndarray, share_good:
         return fitted(features[view], columns[view], target, balance * use)
 
     weights = [one(0), one(1)]
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         for view in (0, 1):
             other = 1 - view
             chance = sigmoid(features[view].times(weights[view][:-1]) + weights[view][-1])
@@ -192,7 +229,7 @@ def co_trained(text: Sparse, pages: np.ndarray, labels: np.ndarray, share_good:
         scores = features[view].times(weights[view][:-1]) + weights[view][-1]
         scales.append(calibrated(scores[on], truth, weigh))
     prior = float(np.log(share_good / (1 - share_good)))
-    return Model(weights[0], weights[1], means, spreads, (scales[0], scales[1]), prior)
+    return Model(weights[0], weights[1], of_looks, of_pages, (scales[0], scales[1]), prior)
 
 
 INPUTS = ["text", "lang", "source", "n_chars"]
@@ -204,20 +241,23 @@ def _sample(docs: DataFrame, keys: DataFrame) -> list:
     def run(batches):
         for batch in batches:
             out = []
-            for texts, words, (one, two), rows in views(*(batch.column(i) for i in range(2, 6))):
+            for texts, words, (one, two), seen, rows in views(*(batch.column(i) for i in range(2, 6))):
                 for k in range(texts.last - texts.first):
                     span = slice(words.rows[k], words.rows[k + 1])
                     both = np.concatenate([one[span], two[span]])
                     columns, counts = np.unique(both, return_counts=True)
-                    out.append((columns, counts * (SCALE / max(1, span.stop - span.start)), rows[k]))
+                    out.append((columns, counts * (SCALE / max(1, span.stop - span.start)), np.append(seen[k], rows[k])))
             if out:
                 columns, values, rows = zip(*out, strict=True)
                 lists = [pa.array(columns, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(rows, pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["key", "label", "columns", "counts", "page"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["key", "label", "columns", "counts", "others"])
 
     own = docs.select(docs["doc_id"].alias("own_key"), *(docs[c] for c in INPUTS))
-    chosen = own.join(F.broadcast(keys), F.col("own_key") == F.col("key")).select("key", "label", *INPUTS)
-    schema = "key long, label int, columns array<int>, counts array<float>, page array<double>"
+    # at most LABELLED + POOL keys; one row of each, however often a key comes up
+    chosen = own.join(F.broadcast(keys), F.col("own_key") == F.col("key"))
+    one = F.min(F.struct(F.xxhash64("text").alias("order"), *INPUTS)).alias("row")
+    chosen = chosen.groupBy("key", "label").agg(one).select("key", "label", *(f"row.{c}" for c in INPUTS))
+    schema = "key long, label int, columns array<int>, counts array<float>, others array<double>"
     return chosen.mapInArrow(run, schema).toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
 
 
@@ -245,8 +285,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model | None:
         np.repeat(np.arange(len(sizes)), sizes), columns.flatten().to_numpy().astype(np.int64),
         counts.flatten().to_numpy().astype(np.float64), len(sizes),
     )
-    pages = rows["page"].combine_chunks().flatten().to_numpy().reshape(len(sizes), PAGE_COLUMNS)
-    return co_trained(text, pages, label, share_good)
+    others = rows["others"].combine_chunks().flatten().to_numpy().reshape(len(sizes), LOOK_COLUMNS + PAGE_COLUMNS)
+    return co_trained(text, others[:, :LOOK_COLUMNS], others[:, LOOK_COLUMNS:], label, share_good)
 
 
 def with_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -261,10 +301,10 @@ def with_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         n = len(columns[0])
         out = np.ones((n, 3))
         if model is not None:
-            for texts, words, (one, two), rows in views(*columns):
+            for texts, words, (one, two), seen, rows in views(*columns):
                 sums = np.append(0, np.cumsum(model.text[one] + model.text[two]))
                 sums = (sums[words.rows[1:]] - sums[words.rows[:-1]]) * SCALE / np.maximum(1, np.diff(words.rows))
-                out[texts.first : texts.last] = model.scores(sums, rows)
+                out[texts.first : texts.last] = model.scores(sums, seen, rows)
         return pa.StructArray.from_arrays([pa.array(out[:, i]) for i in range(3)], ["text", "page", "joint"])
 
     return with_column(docs, INPUTS, make, "quality_scores", "struct<text:double,page:double,joint:double>")

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from subledger.llm import decontamination, ngram_join, quality
@@ -49,6 +50,52 @@ def test_held_out_quality(spark, tmp_path, corpus):
     assert all(0 <= s <= 1 for r in rows.values() for s in (r.text_score, r.page_score, r.quality_score))
 
 
+def features_of(rng, n):
+    """Good and poor texts whose words tell them apart half the time, and their source nearly always."""
+    kinds = np.array([rng.random() < 0.6 for _ in range(n)], dtype=int)
+    columns, rows = [], []
+    for i, kind in enumerate(kinds):
+        for _ in range(12):
+            columns.append(rng.randrange(400) if rng.random() < 0.85 else 400 + 50 * kind + rng.randrange(50))
+            rows.append(i)
+    sparse = quality.Sparse(np.array(rows), np.array(columns), np.full(len(rows), quality.SCALE / 12), n)
+    looks = np.array([[rng.gauss(0, 1) for _ in range(quality.LOOK_COLUMNS)] for _ in range(n)])
+    pages = quality.page(np.zeros(n, int), np.array([2 * rng.randrange(8) + (k if rng.random() < 0.93 else 1 - k) for k in kinds]), np.full(n, 9.0))
+    return kinds, sparse, looks, pages
+
+
+def test_views_teach_each_other():
+    """With few labels the exchange changes both models, and the held-out rows are told better."""
+    gains, apart = [], []
+    for seed in range(5):
+        rng = random.Random(seed)
+        kinds, sparse, looks, pages = features_of(rng, 1500)
+        labels = np.where(np.arange(1500) < 60, kinds, -1)
+        test = np.arange(900, 1500)
+        right = []
+        for rounds in (0, quality.ROUNDS):
+            model = quality.co_trained(sparse, looks, pages, labels, 0.6, rounds)
+            scores = model.scores(sparse.times(model.text[: quality.BUCKETS]), looks, pages)
+            right.append((scores[test] >= 0.5).astype(int) == kinds[test, None])
+            if rounds == 0:
+                before = model
+        assert not np.allclose(before.text, model.text) and not np.allclose(before.page, model.page)
+        apart.append(right[1].mean(axis=0) - right[0].mean(axis=0))
+        gains.append(right[1][:, 2].mean())
+    text_gain, _, joint_gain = np.mean(apart, axis=0)
+    assert text_gain > 0.02 and joint_gain > -0.01 and np.mean(gains) > 0.9
+
+
+def test_the_sample_takes_one_row_of_a_key(spark, corpus):
+    texts = corpus[1][:6]
+    df = documents(spark, texts).withColumn("doc_id", F.expr("doc_id % 2")).union(documents(spark, texts).withColumn("doc_id", F.expr("doc_id % 2")))
+    keys = spark.createDataFrame([(0, 1), (1, 0)], "key long, label int")
+    rows = quality._sample(df, keys)
+    assert rows["key"].to_pylist() == [0, 1]
+    again = quality._sample(df.orderBy(F.rand(3)).repartition(3), keys)
+    assert again.to_pylist() == rows.to_pylist()
+
+
 def test_no_or_one_sided_labels_reject_nothing(spark, corpus):
     df = documents(spark, corpus[1][:20])
     for labels in ([], [(1, 1, 0)], [(1, 1, 0), (2, 0, 0)]):
