@@ -31,7 +31,7 @@ BLOCK_IDS = 1 << 21
 LANES, LEAST_STEPS = 8192, 256
 TOTAL_BITS = 24  # resolution of a step's distribution
 LEAST_ORDER0_BITS, SPARE_BITS = 16, 2  # order 0 has four units an id, at least so many bits in all
-REBUILD = 8  # steps between new order-0 tables
+REBUILD = 4  # a new order-0 table comes when a quarter as many ids are new as it was made from
 ID_BITS, MOST_RUN = 20, 7
 ORDER2_BITS = 18
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
@@ -50,7 +50,8 @@ class Model:
         self.bits = max(LEAST_ORDER0_BITS, vocabulary.bit_length() + SPARE_BITS)
         self.order1 = np.zeros(vocabulary, dtype=np.int32)  # id | run << ID_BITS
         self.order2 = np.zeros(1 << ORDER2_BITS, dtype=np.int32)
-        self.seen, self.unforeseen = np.zeros(vocabulary, dtype=np.int64), []
+        self.seen, self.unforeseen, self.new, self.total = np.zeros(vocabulary, dtype=np.int64), [], 0, 0
+        self.bounds = np.zeros(vocabulary + 1, dtype=np.int64)
         self.outcomes = np.tile(np.array([2, 2, 4], dtype=np.int64), (2 * (MOST_RUN + 1) ** 2, 1))
         self.last = np.zeros(lanes, dtype=np.int64)
         self.before = np.zeros(lanes, dtype=np.int64)
@@ -61,12 +62,12 @@ class Model:
         """Order-0 intervals of a fixed total; every id keeps at least one unit."""
         if self.unforeseen:
             self.seen += np.bincount(np.concatenate(self.unforeseen), minlength=self.vocabulary)
-            self.unforeseen = []
-        room, total = (1 << self.bits) - self.vocabulary, max(1, int(self.seen.sum()))
+            self.total += self.new
+            self.unforeseen, self.new = [], 0
+        room = (1 << self.bits) - self.vocabulary
         # whole parts of quotients of numbers below 2^53: doubles give them exactly
-        units = 1 + (self.seen * room / total).astype(np.int64)
+        units = 1 + (self.seen * room / max(1, self.total)).astype(np.int64)
         units[0] += (1 << self.bits) - units.sum()
-        self.bounds = np.zeros(self.vocabulary + 1, dtype=np.int64)
         np.cumsum(units, out=self.bounds[1:])
         if self.reading:
             self.owner = np.repeat(np.arange(self.vocabulary, dtype=np.int32), units)
@@ -116,9 +117,10 @@ class Model:
             np.copyto(new, entry + one * (run < MOST_RUN), where=hit)
             table[at] = new
         self.unforeseen.append(ids[missed])
+        self.new += len(self.unforeseen[-1])
         self.before, self.last = self.last, ids
         self.step += 1
-        if self.step % REBUILD == 0 or self.step < REBUILD:
+        if self.new * REBUILD > self.total:
             self.rebuild()
 
 
@@ -243,6 +245,20 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     return head + lengths.astype("<u4").tobytes() + payload
 
 
+class Documents(NamedTuple):
+    """Ids of whole documents in pieces, their numbers of ids, and their keys."""
+
+    ids: list
+    lengths: list
+    keys: list
+
+    def held(self) -> int:
+        return sum(self.lengths)
+
+    def __add__(self, other: "Documents") -> "Documents":
+        return Documents(*(a + b for a, b in zip(self, other, strict=True)))
+
+
 class Block(NamedTuple):
     ids: np.ndarray  # little-endian unsigned 32-bit
     lengths: np.ndarray
@@ -273,12 +289,13 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key: s
     """
 
     def run(batches):
-        file, block, ids, lengths, keys, held = TaskContext.get().partitionId(), 0, [], [], [], 0
+        file, block = TaskContext.get().partitionId(), 0
+        whole, open_ = Documents([], [], []), Documents([], [], [])  # a full block waits for what follows
         key_type = pa.int64()
 
-        def row() -> pa.RecordBatch:
-            data = encode_block(np.concatenate(ids), np.array(lengths, dtype=np.int64))
-            columns = [(file, pa.int32()), (block, pa.int32()), (held, pa.int64()), (keys, pa.list_(key_type)), (data, pa.binary())]
+        def row(docs: Documents) -> pa.RecordBatch:
+            data = encode_block(np.concatenate(docs.ids), np.array(docs.lengths, dtype=np.int64))
+            columns = [(file, pa.int32()), (block, pa.int32()), (docs.held(), pa.int64()), (docs.keys, pa.list_(key_type)), (data, pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns], ["file", "block", "n_ids", "keys", "data"])
 
         for batch in batches:
@@ -289,18 +306,21 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key: s
                 first = 0
                 while first < len(names):
                     # documents up to the one that fills the block
-                    last = int(np.searchsorted(rows, rows[first] + BLOCK_IDS - held))
+                    last = int(np.searchsorted(rows, rows[first] + BLOCK_IDS - open_.held()))
                     last = min(max(last, first + 1), len(names))
-                    ids.append(own[rows[first] : rows[last]])
-                    lengths += np.diff(rows[first : last + 1]).tolist()
-                    keys += names[first:last]
-                    held += int(rows[last] - rows[first])
+                    lengths = np.diff(rows[first : last + 1]).tolist()
+                    open_ = open_ + Documents([own[rows[first] : rows[last]]], lengths, names[first:last])
                     first = last
-                    if held >= BLOCK_IDS:
-                        yield row()
-                        block, ids, lengths, keys, held = block + 1, [], [], [], 0
-        if keys:
-            yield row()
+                    if open_.held() >= BLOCK_IDS:
+                        if whole.keys:
+                            yield row(whole)
+                            block += 1
+                        whole, open_ = open_, Documents([], [], [])
+        if whole.keys and open_.held() >= BLOCK_IDS // 2:
+            yield row(whole)
+            block, whole = block + 1, Documents([], [], [])
+        if rest := (whole + open_).keys and whole + open_:  # a short end joins the block before
+            yield row(rest)
 
     kind = df.schema[key].dataType.simpleString()
     ordered = df.select(df[key], df[text]).repartitionByRange(df[key]).sortWithinPartitions(key)
