@@ -7,8 +7,8 @@ moves all open tokens on. Where one ends, a place after it opens; its ids are th
 the token plus the token, and of all tokens that end there exactly one may follow its
 predecessor, namely that which merging the two tokens' bytes alone leaves as they are.
 Ids that all places agree on are emitted. A place closes when its bytes begin no token, so
-the look-ahead is bounded by the longest token. States and steps are kept, up to a bound;
-beyond it the places are moved without being kept.
+the look-ahead is bounded by the longest token. States and steps are kept up to a bound; a piece
+that reaches it moves its places without keeping them, and the next one begins anew.
 
 ``Utf8Stream`` turns ids back into text as they arrive, and holds back the bytes of a
 character that is not complete yet.
@@ -54,6 +54,10 @@ class Transducer:
             self.accepts[node] = i
         self.pairs: dict[tuple[int, int], bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin with the first state alone."""
         start = ((0, ()),)
         self.states = {start: 0}
         self.members: list[tuple] = [start]
@@ -153,6 +157,8 @@ class Transducer:
             return [direct]
         if not piece:
             return []
+        if len(self.members) >= self.most_states:
+            self.forget()  # between pieces; what comes up again is built again
         out: list[int] = []
         state, steps = 0, self.steps
         for i, byte in enumerate(piece):
