@@ -13,7 +13,9 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
     """What all batches so far have left; None before the first."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

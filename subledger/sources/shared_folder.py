@@ -73,7 +73,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def replaced(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` beside ``path``, then put it in the place of what was there, and read it.
 
-    A failed write leaves the old table as it was, and ``df`` may read it.
+    A failed write leaves the old table as it was, and ``df`` may read it. Between the two
+    renames there is no table for a moment; where the store has no renames, they copy.
     """
     spark, mark = df.sparkSession, uuid.uuid4().hex
     fresh, aside = f"{path}.{mark}.new", f"{path}.{mark}.old"
