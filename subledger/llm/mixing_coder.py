@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from subledger.llm.library_ids import library_cache, with_end
-from subledger.llm.text import documents, slices
+from subledger.llm.text import documents, rows_a_batch, slices
 from subledger.sources.shared_folder import new_path, staged
 
 MAGIC = b"MXR1"
 HEADER = struct.Struct("<4sIIIII")  # magic, ids, lanes, vocabulary, checksum of the ids, documents
 BLOCK_IDS = 1 << 21
+TEXTS_A_BATCH = 4000
 LANES, LEAST_STEPS = 8192, 256
 TOTAL_BITS = 24  # resolution of a step's distribution
 LEAST_ORDER0_BITS, SPARE_BITS = 16, 2  # order 0 has four units an id, at least so many bits in all
@@ -325,7 +326,8 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key: s
     kind = df.schema[key].dataType.simpleString()
     ordered = df.select(df[key], df[text]).repartitionByRange(df[key]).sortWithinPartitions(key)
     blocks = ordered.mapInArrow(run, f"file int, block int, n_ids long, keys array<{kind}>, data binary")
-    blocks.write.parquet(path)
+    with rows_a_batch(df.sparkSession, TEXTS_A_BATCH):  # bounded by bytes as well
+        blocks.write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, key: str = "doc_id", digest: bool = False) -> DataFrame:
@@ -361,13 +363,8 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id", digest: bool =
                 )
 
     schema = f"file int, block int, {key} {kind}, at long, n_tokens long, {last}"
-    rows_a_batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows_a_batch)
-    spark.conf.set(rows_a_batch, "4")  # a row is a block
-    try:
+    with rows_a_batch(spark, 4):  # a row is a block
         docs = staged(stored.select("file", "block", "keys", "data").mapInArrow(run, schema), "read_ids")
-    finally:
-        spark.conf.set(rows_a_batch, before)
     sizes = staged(stored.select("file", "block", "n_ids"), "block_sizes")
     inside = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
