@@ -13,6 +13,7 @@ Integers throughout: reading gives the same numbers on any machine.
 
 import struct
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from subledger.llm.library_ids import library_cache, with_end
-from subledger.llm.text import documents, rows_a_batch, slices
+from subledger.llm.text import Texts, documents, rows_a_batch, slices
 from subledger.sources.shared_folder import new_path, staged
 
 MAGIC = b"MXR1"
 HEADER = struct.Struct("<4sIIIII")  # magic, ids, lanes, vocabulary, checksum of the ids, documents
 BLOCK_IDS = 1 << 21
-TEXTS_A_BATCH = 4000
+TEXTS_A_BATCH, TEXT_BYTES = 1000, 1 << 20  # sent to a worker at once, split at once
 LANES, LEAST_STEPS = 8192, 256
 TOTAL_BITS = 24  # resolution of a step's distribution
 LEAST_ORDER0_BITS, SPARE_BITS = 16, 2  # order 0 has four units an id, at least so many bits in all
@@ -152,7 +153,7 @@ def compressed(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes]:
     """Lanes, and the lanes' word counts and words."""
     n = len(ids)
     lanes, steps = _layout(n)
-    grid = np.zeros(lanes * steps, dtype=np.int64)
+    grid = np.zeros(lanes * steps, dtype=np.uint32)
     grid[:n] = ids
     grid = grid.reshape(lanes, steps).T.copy()
     model = Model(vocabulary, lanes)
@@ -160,7 +161,7 @@ def compressed(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes]:
     out_lanes, out_words = [], []
     for step in range(steps):
         active = _active(n, steps, step)
-        own = grid[step, :active]
+        own = grid[step, :active].astype(np.int64)
         model.predict(active)
         begin, room = model.interval(own)
         low, width = low[:active], width[:active]  # what lanes that ended have left is in ``out``
@@ -186,10 +187,10 @@ def compressed(ids: np.ndarray, vocabulary: int) -> tuple[int, bytes]:
     return lanes, counts.astype("<u4").tobytes() + words.astype("<u2").tobytes()
 
 
-def expanded(n: int, lanes: int, vocabulary: int, payload: bytes) -> np.ndarray:
+def expanded(n: int, lanes: int, vocabulary: int, payload: memoryview) -> np.ndarray:
     steps = -(-n // lanes)
     counts = np.frombuffer(payload, dtype="<u4", count=lanes).astype(np.int64)
-    words = np.append(np.frombuffer(payload, dtype="<u2", offset=4 * lanes), np.zeros(8, "<u2")).astype(np.uint64)
+    words = np.append(np.frombuffer(payload, dtype="<u2", offset=4 * lanes), np.zeros(8, "<u2"))
     place = np.cumsum(counts) - counts
     code = np.zeros(lanes, dtype=np.uint64)
     for _ in range(4):
@@ -197,7 +198,7 @@ def expanded(n: int, lanes: int, vocabulary: int, payload: bytes) -> np.ndarray:
         place += 1
     model = Model(vocabulary, lanes, reading=True)
     low, width = np.zeros(lanes, dtype=np.uint64), np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-    grid = np.zeros((steps, lanes), dtype=np.int64)
+    grid = np.zeros((steps, lanes), dtype="<u4")
     for step in range(steps):
         active = _active(n, steps, step)
         model.predict(active)
@@ -241,8 +242,8 @@ def encode_block(ids: np.ndarray, lengths: np.ndarray) -> bytes:
     vocabulary = int(ids.max()) + 1 if len(ids) else 1
     if vocabulary > 1 << 19:
         raise ValueError("ids from 524288 on are not supported")
-    lanes, payload = compressed(ids.astype(np.int64), vocabulary) if len(ids) else (1, b"")
-    head = HEADER.pack(MAGIC, len(ids), lanes, vocabulary, zlib.crc32(ids.tobytes()), len(lengths))
+    lanes, payload = compressed(ids, vocabulary) if len(ids) else (1, b"")
+    head = HEADER.pack(MAGIC, len(ids), lanes, vocabulary, zlib.crc32(ids), len(lengths))
     return head + lengths.astype("<u4").tobytes() + payload
 
 
@@ -265,23 +266,28 @@ class Block(NamedTuple):
     lengths: np.ndarray
 
 
-def decode_block(data: bytes) -> Block:
+def decode_block(data: bytes | pa.Buffer) -> Block:
     """The ids and documents' lengths; ``BadBlock`` if the checksum does not fit."""
     try:
         magic, n, lanes, vocabulary, checksum, n_docs = HEADER.unpack_from(data)
         if magic != MAGIC:
             raise BadBlock("not a block of token ids")
         lengths = np.frombuffer(data, dtype="<u4", count=n_docs, offset=HEADER.size)
-        payload = data[HEADER.size + 4 * n_docs :]
-        ids = expanded(n, lanes, vocabulary, payload) if n else np.empty(0, np.int64)
+        payload = memoryview(data)[HEADER.size + 4 * n_docs :]
+        ids = expanded(n, lanes, vocabulary, payload) if n else np.empty(0, "<u4")
     except (struct.error, ValueError, IndexError, ZeroDivisionError, MemoryError) as error:
         raise BadBlock(str(error)) from error
-    ids = ids.astype("<u4")
-    if zlib.crc32(ids.tobytes()) != checksum or lengths.sum() != n:
+    if zlib.crc32(ids) != checksum or lengths.sum() != n:
         raise BadBlock("checksum does not fit")
     return Block(ids, lengths)
 
 
+def encoded(column: pa.Array, tokenizer_path: str, end_id: int) -> Iterator[tuple[Texts, np.ndarray, np.ndarray]]:
+    """The texts of a column a MB at a time, all their ids, and where each text's begin."""
+    for texts in slices(column, TEXT_BYTES):
+        yield texts, *with_end(*library_cache(tokenizer_path).encoded(texts), end_id)
+
+
 def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Blocks of whole documents in ascending order of ``key`` (null first), as a table.
 
@@ -301,8 +307,7 @@ def write_ids(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key: s
 
         for batch in batches:
             key_type = batch.column(0).type
-            for texts in slices(batch.column(1)):
-                own, rows = with_end(*library_cache(tokenizer_path).encoded(texts), end_id)
+            for texts, own, rows in encoded(batch.column(1), tokenizer_path, end_id):
                 names = batch.column(0).slice(texts.first, texts.last - texts.first).to_pylist()
                 first = 0
                 while first < len(names):
@@ -342,13 +347,13 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id", digest: bool =
     def run(batches):
         for batch in batches:
             for i, data in enumerate(batch.column(3)):
-                block = decode_block(data.as_py())
+                block = decode_block(data.as_buffer())
                 bounds = np.append(0, np.cumsum(block.lengths.astype(np.int64)))
                 if digest:
-                    raw = memoryview(block.ids.tobytes())
+                    raw = memoryview(block.ids.view(np.uint8))
                     own = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.int64())
                 else:
-                    own = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(block.ids.astype(np.int32)))
+                    own = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(block.ids.view(np.int32)))
                 n = len(block.lengths)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -363,7 +368,7 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id", digest: bool =
                 )
 
     schema = f"file int, block int, {key} {kind}, at long, n_tokens long, {last}"
-    with rows_a_batch(spark, 4):  # a row is a block
+    with rows_a_batch(spark, 1):  # a row is a block
         docs = staged(stored.select("file", "block", "keys", "data").mapInArrow(run, schema), "read_ids")
     sizes = staged(stored.select("file", "block", "n_ids"), "block_sizes")
     inside = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,7 +1,9 @@
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -67,3 +69,30 @@ def test_ids_come_back(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     folder = with_tables(spark, tmp_path, documents=documents(spark).limit(0))
     assert mixing_coder.op6_token_output(spark, folder).collect() == []
+
+
+def peak_mb(work) -> float:
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_block():
+    ids = (np.random.default_rng(3).zipf(1.3, 1 << 21) % 50_000).astype(np.int32)
+    lengths = np.full(1 << 10, 1 << 11)
+    data = encode_block(ids, lengths)
+    assert peak_mb(lambda: encode_block(ids, lengths)) < 50
+    assert peak_mb(lambda: decode_block(data)) < 35
+    assert (decode_block(pa.py_buffer(data)).ids == ids).all()
+
+
+def test_memory_of_encoding():
+    words = ["the", "of", "thing", "eau", "über", "x1", "(token)", "end."]
+    text = " ".join(np.random.default_rng(4).choice(words, 2000))
+    column = pa.array([text] * 800)  # 8 MB
+    assert sum(len(t.bounds) - 1 for t, _, _ in mixing_coder.encoded(column, TOKENIZER, 2)) == 800
+    peak = peak_mb(lambda: [None for _ in mixing_coder.encoded(column, TOKENIZER, 2)])
+    assert peak < 60, peak
