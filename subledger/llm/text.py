@@ -202,17 +202,26 @@ def small_batches(spark: SparkSession) -> None:
 
 
 @contextmanager
-def rows_a_batch(spark: SparkSession, n: int) -> Iterator[None]:
-    """At most n rows an Arrow batch for the jobs that run inside the block."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the jobs that run inside the block."""
     before = spark.conf.get(name)
-    spark.conf.set(name, str(n))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def rows_a_batch(spark: SparkSession, n: int):
+    """At most n rows an Arrow batch for the jobs that run inside the block."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+
+def rows_a_read(spark: SparkSession, n: int):
+    """At most n rows at once from a Parquet file for the jobs that run inside the block."""
+    return setting(spark, "spark.sql.parquet.columnarReaderBatchSize", str(n))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)

@@ -16,12 +16,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from subledger.llm.library_ids import library_cache, with_end
-from subledger.llm.text import documents, slices
+from subledger.llm.text import documents, rows_a_batch, rows_a_read, slices
 from subledger.sources.shared_folder import new_path, staged
 
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 15  # 128 KB: the JVM gives a larger array regions of its own and lets its heap grow for them
 WIDTH = np.dtype("<u4")
 KEYS_A_ROW = 4096
+TEXT_BYTES = 1 << 20  # encoded at once
+BLOCKS_AT_ONCE = 4  # read from a file, sent to a worker
+#: A page is a few blocks, not the hundred rows that are written before its size is first looked at.
+LAYOUT = {
+    "compression": "zstd",
+    "parquet.page.size": str(1 << 18),
+    "parquet.page.size.row.check.min": "1",
+    "parquet.block.size": str(8 << 20),
+}
 STORED = "file int, block int, data binary, keys array<{kind}>"
 
 
@@ -60,7 +69,7 @@ def write_flat(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key="
         key_type = pa.int64()
         for batch in batches:
             key_type = batch.column(0).type
-            for texts in slices(batch.column(1)):
+            for texts in slices(batch.column(1), TEXT_BYTES):
                 # an added token's string is text here: its id may be the separator
                 ids, _ = with_end(*library_cache(tokenizer_path, special=False).encoded(texts), end_id)
                 held.append(ids)
@@ -75,7 +84,7 @@ def write_flat(df: DataFrame, path: str, tokenizer_path: str, end_id: int, key="
 
     kind = df.schema[key].dataType.simpleString()
     stored = df.select(df[key], df[text]).mapInArrow(run, STORED.format(kind=kind))
-    stored.write.option("compression", "zstd").parquet(path)
+    stored.write.options(**LAYOUT).parquet(path)
 
 
 def blocks_of_files(spark: SparkSession, path: str, id_bytes: int = 4, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -156,12 +165,14 @@ def token_counts(spark: SparkSession, path: str, end_id: int, key: str = "doc_id
     Starts count the ids, separators too, of all files in order of their numbers.
     """
     stored = spark.read.parquet(path)
-    found = staged(separators(stored.where(F.col("data").isNotNull()), end_id), "separators")
+    with rows_a_batch(spark, BLOCKS_AT_ONCE), rows_a_read(spark, BLOCKS_AT_ONCE):
+        found = staged(separators(stored.where(F.col("data").isNotNull()), end_id), "separators")
     names = stored.where(F.col("keys").isNotNull()).select(
         "file", "block", F.posexplode("keys").alias("at", key)
     )
     names = names.select("file", (F.col("block") * KEYS_A_ROW + F.col("at")).cast("long").alias("nth"), key)
-    return names.join(counted(found), ["file", "nth"]).select(key, "start", "n_tokens")
+    # A row a document on both sides: the sizes of the files, where lists are packed, do not tell.
+    return names.join(counted(found).hint("merge"), ["file", "nth"]).select(key, "start", "n_tokens")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -43,3 +48,39 @@ def test_raw_files(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     folder = with_tables(spark, tmp_path, documents=documents(spark).limit(0))
     assert token_counts.op4_token_counts(spark, folder).collect() == []
+
+
+def test_documents_are_not_broadcast(spark, tmp_path):
+    folder = with_tables(spark, tmp_path, documents=documents(spark, awkward_texts()))
+    plan = token_counts.op4_token_counts(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [file#" in plan and plan.count("BroadcastHashJoin") == 1  # of one row a file
+
+
+SMALL_HEAP = """
+import sys
+from types import SimpleNamespace
+
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from subledger.llm import token_counts
+
+conf = {"master": "local[2]", "ui.enabled": "false", "ui.showConsoleProgress": "false", "driver.memory": "512m"}
+spark = SparkSession.builder.config(map={f"spark.{k}": v for k, v in conf.items()}).getOrCreate()
+bytes_as_ids = SimpleNamespace(encoded=lambda texts: (texts.data.astype("int32"), texts.bounds))
+token_counts.library_cache = lambda path, special: bytes_as_ids
+docs = spark.range(0, 8000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.lit(9999)).alias("text"))
+token_counts.write_flat(docs, sys.argv[1], "", 50256)
+counts = token_counts.token_counts(spark, sys.argv[1], 50256)
+wrong = counts.where("n_tokens <> 9999 or start <> doc_id * 10000").count()
+print("rows", counts.count(), "wrong", wrong)
+"""
+
+
+def test_file_larger_than_half_the_heap(tmp_path):
+    run = subprocess.run(
+        [sys.executable, "-c", SMALL_HEAP, str(tmp_path / "flat")],
+        env=os.environ | {"PYTHONPATH": str(Path(__file__).parents[2])},
+        capture_output=True, text=True, timeout=300,
+    )
+    assert "rows 8000 wrong 0" in run.stdout, run.stderr[-3000:]
